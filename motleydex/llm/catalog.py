@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import duplicate_pairs
+
+    return duplicate_pairs(table(spark, sf_dir, "memes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbors import similar_pairs
 
@@ -24,7 +30,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p4_found, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
