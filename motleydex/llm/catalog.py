@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_pairs(table(spark, sf_dir, "memes"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import corrections
+
+    return corrections(table(spark, sf_dir, "memes"), table(spark, sf_dir, "lang_codes")).drop("confidence")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbors import similar_pairs
 
@@ -29,8 +35,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_fields(table(spark, sf_dir, "memes"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .canonical import mapped_fields
+
+    return mapped_fields(table(spark, sf_dir, "memes"), table(spark, sf_dir, "label_vocab")).drop("score")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .encode import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
