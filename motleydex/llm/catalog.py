@@ -47,8 +47,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import text_quality
+
+    return text_quality(table(spark, sf_dir, "documents")).filter("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
