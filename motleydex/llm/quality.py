@@ -31,14 +31,16 @@ from .common import map_batches
 
 STATES = ("prose", "list", "table", "junk")
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-MARKER = re.compile("\\s*(?:[-*+\u2022\u2023\u25aa\u25cf\u25e6\u00b7\u2013\u2014\u2190-\u21ff\u25a0-\u25ff\u2700-\u27bf\u27f6>]\\s|\\(?\\d{1,4}[.)\\]:]\\s|\\(?[a-zA-Z\\u0900-\\u0dff]{1,2}[.)]\\s|\\[[ xX\u2713]?\\]|[\u2610\u2611\u2612\u2713\u2714])")
+MARKER = re.compile("\\s*(?:#\\d+\\s|[-*+\u2022\u2023\u25aa\u25cf\u25e6\u00b7\u2013\u2014\u2190-\u21ff\u25a0-\u25ff\u2700-\u27bf\u27f6>]\\s|\\(?\\d{1,4}[.)\\]:]\\s|\\(?[a-zA-Z\\u0900-\\u0dff]{1,2}[.)]\\s|\\[[ xX\u2713]?\\]|[\u2610\u2611\u2612\u2713\u2714])")
 END = re.compile("[.!?\u0964\u0965\u2026](?:[\"'\u201d\u2019)\\]]|\\s)*$")
 LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\S+\.(?:com|org|net|example)\b\S*", re.I)
 PAIR = re.compile(r"(?:^|[\s;,|])[\w.-]{1,24}\s?=\s?[^\s;,|=]+")
 KEYED = re.compile("^\\s*[\"']?[\\w\\u0300-\\u036f\\u0900-\\u0dff .-]{1,28}[\"']?\\s*:\\s*(\\S.*)?$")
-BROKEN = re.compile("[\ufffd\u00c0-\u00f6\u00f8-\u00ff\u00a2-\u00bf\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u2018-\u201e\u2020-\u2022\u2030\u2039\u203a]")
+BROKEN = re.compile("[\ufffd\u00c0-\u00f6\u00f8-\u00ff\u00a2-\u00bf\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u2018-\u201e\u2020\u2021\u2030\u2039\u203a]")
 SEPARATORS = (" / ", " | ", " \u2022 ", " \u00b7 ", ", ", "; ", ",", ";", " - ", " > ", " + ", "/", " \u2013 ", " & ")
 WORDS = re.compile("[^\\W\\d_][\\w\\u0300-\\u036f\\u0900-\\u0dff'\u2019\u200c\u200d]*")
+BAR = re.compile(r"(?:^|(?<=\s))\|(?=\s|$)")
+BOX = re.compile(r"\s*[\[(]\s*-?\d+(?:\.\d+)?(?:\s*[,; ]\s*-?\d+(?:\.\d+)?)+\s*[\])]")
 STRIP = ".,;:!?\"'()[]{}|*#<>=&@~^-_/\\\u0964\u2026\u201c\u201d\u2018\u2019"
 
 
@@ -56,17 +58,43 @@ def lines(text: str | None) -> list[str]:
     return [x for x in LINE.split(text or "") if x.strip()]
 
 
+@lru_cache(1 << 16)
+def mashed(word: str) -> bool:
+    """Whether a piece cannot be a word: no vowels to speak of, letters mixed with signs or digits, or far too long."""
+    core = word.strip(STRIP)
+    if not core:
+        return False
+    if len(core) > 40 and core.isascii():
+        return True
+    low = core.lower()
+    if not core.isascii():
+        return False
+    letters = [c for c in low if c.isalpha()]
+    if not letters:
+        return False
+    if re.search(r"[a-z][;:|~^<>{}\\][a-z]", low) or (len(core) >= 5 and re.search(r"[a-z]\d+[a-z]", low)):
+        return True
+    if len(letters) >= 4 and sum(c in "aeiouy" for c in letters) < 0.2 * len(letters):
+        return True
+    if re.search(r"[bcdfghjklmnpqrstvwxz]{5}", low) or re.search(r"(.)\1{3}", low):
+        return True
+    return bool(len(core) >= 4 and re.search(r"[a-z][A-Z]", core) and not core[1:].islower() and not core.isupper() and sum(c.isupper() for c in core) > 1)
+
+
 def seed(line: str) -> str:
     """Whether a line is clearly prose, clearly not, or neither."""
     pieces = line.split()
     if MARKER.match(line) or "\t" in line or len(pieces) <= 4:
         return "other"
+    if len(pieces) >= 6 and not END.search(line) and re.fullmatch("[^\\d;=|/,#@<>{}\\[\\]]+", line):
+        plain = not any(p.isupper() and len(p) > 1 or mashed(p) for p in pieces) and not BROKEN.search(line)
+        return "prose" if plain and len({p.lower() for p in pieces}) > 0.8 * len(pieces) else ""
     if len(pieces) >= 8 and END.search(line) and not re.search(r"[;=|\t]|https?:", line) and sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in line) > 0.7 * len(line):
         return "prose"
     return ""
 
 
-def common_words(documents: DataFrame, text: str = "text", common_share: float = 0.003) -> dict[str, float]:
+def common_words(documents: DataFrame, text: str = "text", common_share: float = 0.0015) -> dict[str, float]:
     """The common words of prose, by script, with the logarithm of how much more frequent they are there than elsewhere."""
 
     def make():
@@ -90,29 +118,6 @@ def common_words(documents: DataFrame, text: str = "text", common_share: float =
     return {r.word: r.w for r in found.collect()}
 
 
-@lru_cache(1 << 16)
-def mashed(word: str) -> bool:
-    """Whether a piece cannot be a word: no vowels to speak of, letters mixed with signs or digits, or far too long."""
-    core = word.strip(STRIP)
-    if not core:
-        return False
-    if len(core) > 40 and core.isascii():
-        return True
-    low = core.lower()
-    if not core.isascii():
-        return False
-    letters = [c for c in low if c.isalpha()]
-    if not letters:
-        return False
-    if re.search(r"[a-z][;:|~^<>{}\\][a-z]", low) or (len(core) >= 5 and re.search(r"[a-z]\d+[a-z]", low)):
-        return True
-    if len(letters) >= 4 and sum(c in "aeiouy" for c in letters) < 0.2 * len(letters):
-        return True
-    if re.search(r"[bcdfghjklmnpqrstvwxz]{5}", low) or re.search(r"(.)\1{3}", low):
-        return True
-    return bool(len(core) >= 4 and re.search(r"[a-z][A-Z]", core) and not core[1:].islower() and not core.isupper() and sum(c.isupper() for c in core) > 1)
-
-
 def fields(line: str) -> tuple[int, float]:
     """The largest number of short items that one separator cuts a line into, and their mean number of pieces."""
     best = (1, float(len(line.split())))
@@ -132,26 +137,30 @@ def emission(line: str, common: dict[str, float]) -> tuple[np.ndarray, int]:
     n = len(pieces)
     ws = words(line)
     chars = len(line.replace(" ", "")) or 1
-    signs = sum(1 for p in pieces if not any(c.isalnum() for c in p))
+    items, _ = fields(line)
+    mark = MARKER.match(line)
+    rest = line[mark.end() :].split() if mark else pieces
+    signs = sum(1 for p in rest if not any(c.isalnum() for c in p) and not (items >= 3 and len(p) == 1))
     letters = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in line) / chars
     hits = [common[w] for w in ws if w in common]
     plain = len(hits) / max(1, len(ws))
     weight = sum(min(x, 3.0) for x in hits)
     ends = bool(END.search(line))
     links = sum(len(m.group().split()) for m in LINK.finditer(line))
-    tags = sum(1 for p in pieces if p[0] in "#@" and len(p) > 1)
+    tags = sum(1 for p in rest if p[0] in "#@" and len(p) > 1)
     mash = sum(1 for p in pieces if mashed(p)) - links
     broken = sum(1 for p in pieces if BROKEN.search(p.strip(STRIP)) and len(BROKEN.findall(p)) * 2 >= min(4, len(p.strip(STRIP)))) + line.count("\ufffd")
     noise = (signs + links + tags + max(0, mash) + broken) / max(1, n)
     distinct = len({p.lower() for p in pieces}) / max(1, n)
-    marked = bool(MARKER.match(line))
+    marked = bool(mark)
     tabs = line.count("\t")
-    bars = line.count("|")
+    bars = len(BAR.findall(line))
+    tiny = n >= 8 and sum(len(p) <= 3 for p in pieces) > 0.9 * n and plain < 0.3 and line.isascii() | ("\ufffd" in line)
+    boxes = bool(BOX.match(line))
     gaps = len(re.findall(r"\S {2,}\S", line))
     eq = len(PAIR.findall(line))
     quoted = len(re.findall(r"[\"'][;,][\"']", line))
     digits = sum(1 for p in pieces if any(c.isdigit() for c in p))
-    items, _ = fields(line)
     keyed = KEYED.match(line)
 
     prose = 0.9 * min(weight, 8.0) + (1.0 if n >= 7 else -0.3) + (0.8 if ends and n >= 4 else 0.0) - 9 * max(0.0, noise - 0.25)
@@ -167,11 +176,14 @@ def emission(line: str, common: dict[str, float]) -> tuple[np.ndarray, int]:
         value = len((keyed.group(1) or "").split())
         table += 4.0 if value <= 5 and weight < 2.5 and not marked else 0.0
     if re.fullmatch(r"[\s|+:=_-]{3,}", line) and ("|" in line or "+" in line or line.strip("-=_ ") == ""):
-        table += 2.0
+        table += 9.0 if "|" in line and "-" in line else 2.0
+    table += (7.0 if boxes else 0.0) - (6.0 if tiny else 0.0)
+    lst -= 5.0 if tiny else 0.0
     junk = -0.5 + 7.0 * noise + (2.5 if letters < 0.35 and not cells and not digits else 0.0)
-    junk += 4.5 if n >= 8 and distinct < 0.5 else 2.5 if 3 <= n < 8 and distinct <= 0.5 else 0.0
+    junk += 0.0 if items >= 3 else 4.5 if n >= 8 and distinct < 0.5 else 2.5 if 3 <= n < 8 and distinct <= 0.5 else 0.0
     junk += 4.0 if n >= 6 and plain < 0.08 and items < 3 and not marked and not cells else 0.0
     junk += 5.0 if n <= 2 and max(0, mash) + links == n else 0.0
+    junk += 4.0 if tiny else 0.0
     junk -= 4.0 if cells and noise < 0.5 else 0.0
     return np.array([prose, lst, table, junk]), n
 
@@ -225,7 +237,7 @@ def statistics(text: str | None, common: dict[str, float]) -> dict[str, float |
     }
 
 
-def text_quality(documents: DataFrame, key: str = "doc_id", text: str = "text", common_share: float = 0.003) -> DataFrame:
+def text_quality(documents: DataFrame, key: str = "doc_id", text: str = "text", common_share: float = 0.0015) -> DataFrame:
     """The statistics, label shares and kind of every document."""
     common = documents.sparkSession.sparkContext.broadcast(common_words(documents, text, common_share))
     names = ("pieces", "words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "prose", "list", "table", "junk", "kind")
