@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_pairs(table(spark, sf_dir, "memes"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .names import name_pairs
+
+    return name_pairs(table(spark, sf_dir, "meme_people"), table(spark, sf_dir, "memes"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import corrections
 
@@ -54,7 +60,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
