@@ -53,6 +53,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    from .mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reaches."""
+    from .mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import text_quality
 
@@ -60,7 +74,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
