@@ -138,7 +138,7 @@ def sample(memes: DataFrame, train_rows: int) -> list[tuple[str | None, str | No
     A bound on the hash, from the number of rows, keeps each task from sending more than its share.
     """
     share = min(1.0, 1.5 * train_rows / max(1, memes.count()))
-    some = memes.filter(F.xxhash64("id") <= int(-(2**63) + share * (2**64 - 1)))
+    some = memes.filter(F.xxhash64("id") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))
     return [tuple(r) for r in some.orderBy(F.xxhash64("id"), "id").limit(train_rows).select("caption", "primary_language").collect()]
 
 
