@@ -73,7 +73,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     tiny source cannot shrink the mixture.
     """
     spark = documents.sparkSession
-    docs = persist_table(packed(sized(documents, targets, vocabulary), block_tokens, max(1, documents.count() // bucket_docs)), "sized")
+    # encoding is the costly step, so its sizes are stored and used for all sums
+    docs = packed(persist_table(sized(documents, targets, vocabulary), "sized"), block_tokens, max(1, documents.count() // bucket_docs))
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have_tokens"), (F.max("block") + 1).alias("blocks"), F.count("*").alias("docs"))
     goal = persist_table(targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(have, "source", "left").na.fill(0, ["have_tokens", "blocks", "docs"]), "targets")
     rows = sorted((r.source, max(0.0, r.target_share or 0.0), r.max_repeats or 0, r.blocks, r.have_tokens) for r in goal.filter("source is not null").collect())  # a row per target source
