@@ -1,5 +1,7 @@
 """Full-text search: BM25 over search texts, with a query language of AND, OR, NOT, phrases and prefixes.
 
+Column filters, NEAR groups and the sign for a text's first term are not part of it.
+
 score = sum over phrases of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)),
 idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; k1 = 1.2, b = 0.75.
 
@@ -108,8 +110,10 @@ class _Reader:
         return self.chain("NOT", self.group)
 
     def group(self) -> object:
+        """A parenthesis, or phrases one after another, which all must match."""
+        bracket = self.peek() == "("
         node = self.one()
-        while self.peek() in ("text", "("):
+        while not bracket and self.peek() == "text":
             node = Op("AND", node, self.one())
         return node
 

@@ -72,7 +72,7 @@ def nearest_for_queries(vectors: DataFrame, queries: DataFrame, k: int | str) ->
     spark = vectors.sparkSession
     ids = [r["query_id"] for r in rows]
     most = [int(r[k]) if isinstance(k, str) else k for r in rows]
-    matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+    matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["vector"]) if rows else 0)
     norms = np.linalg.norm(matrix, axis=1)
     shared = spark.sparkContext.broadcast((ids, most, matrix, norms))
     kind = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
@@ -103,9 +103,9 @@ def nearest_for_queries(vectors: DataFrame, queries: DataFrame, k: int | str) ->
 
     met = vectors.select("meme_id", "embedding").mapInArrow(local_best, f"query_id {'string' if kind == 'string' else 'long'}, meme_id string, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "meme_id")
-    limits = spark.createDataFrame(list(zip(ids, most)), f"query_id {'string' if kind == 'string' else 'long'}, _k int") if rows else None
     out = met.withColumn("pos", F.row_number().over(w))
-    if isinstance(k, str) and limits is not None:
+    if isinstance(k, str):
+        limits = spark.createDataFrame(list(zip(ids, most)), f"query_id {'string' if kind == 'string' else 'long'}, _k int")
         return out.join(F.broadcast(limits), "query_id").filter(F.col("pos") <= F.col("_k")).drop("_k")
     return out.filter(F.col("pos") <= (max(most) if most else 0))
 
