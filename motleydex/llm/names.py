@@ -11,7 +11,7 @@ the initial; a block that is too common is refined by the core's other end, and
 only then discarded if it still holds more than ``most`` cores (longer suffixes of the same
 cores stay indexed). Pairs are compared by the ratio of their longest common
 subsequence. Each core follows the more frequent core that it resembles, so a group
-gathers around its usual spelling. Names without a first name, and abbreviations, join a group
+gathers around its usual spelling; groups that hold spellings a single edit apart are joined. Names without a first name, and abbreviations, join a group
 through the aliases that records state in parentheses, or the only or clearly
 most frequent bearer of that core.
 
@@ -276,7 +276,7 @@ def resembling(left: DataFrame, right: DataFrame, least: float, shortest: int, m
     return map_batches(pairs, make, "key_a string, key_b string, ratio double").filter(F.col("ratio") >= least)
 
 
-def name_groups(meme_people: DataFrame, memes: DataFrame | None = None, least: float = 0.8, shortest: int = 4, most: int = 400) -> DataFrame:
+def name_groups(meme_people: DataFrame, memes: DataFrame | None = None, least: float = 0.8, shortest: int = 4, most: int = 400, one_edit: float = 0.88) -> DataFrame:
     """(person_name, grp): the group of every distinct name."""
     spark = meme_people.sparkSession
     names = meme_people.filter(F.length(F.trim("person_name")) > 0).groupBy("person_name").agg(F.count("*").alias("n"))
@@ -307,7 +307,15 @@ def name_groups(meme_people: DataFrame, memes: DataFrame | None = None, least: f
     for _ in range(3):
         link = link.alias("x").join(link.alias("y").select(F.col("key").alias("k"), F.col("to").alias("t")), F.col("to") == F.col("k"), "left").select("key", "n", F.coalesce("t", "to").alias("to"))
     link = persist_table(link, "name-roots")
-    roots = link.groupBy(F.col("to").alias("key")).agg(F.sum("n").alias("n")).withColumn("initial", F.split("key", r"\|")[0]).withColumn("core", F.split("key", r"\|")[1])
+    # groups whose spellings are a single edit apart are one, though their usual spellings may be further apart
+    ends = {x: link.select(F.col("key").alias(f"key_{x}"), F.col("to").alias(f"to_{x}")) for x in "ab"}
+    close = pairs.filter(F.col("ratio") >= one_edit).join(ends["a"], "key_a").join(ends["b"], "key_b").filter("to_a <> to_b").select("to_a", "to_b").distinct()
+    close = persist_table(close.unionByName(close.select(F.col("to_b").alias("to_a"), F.col("to_a").alias("to_b"))).distinct(), "name-joins")
+    least_label = close.groupBy("to_a").agg(F.least(F.min("to_b"), F.first("to_a")).alias("label"))
+    for _ in range(3):
+        reached = close.join(least_label.select(F.col("to_a").alias("to_b"), F.col("label").alias("l")), "to_b").groupBy("to_a").agg(F.min("l").alias("l"))
+        least_label = least_label.join(reached, "to_a", "left").select("to_a", F.least("label", "l").alias("label"))
+    link = persist_table(link.join(least_label, F.col("to") == F.col("to_a"), "left").select("key", "n", F.coalesce("label", "to").alias("to")), "name-groups")
     # names without a first name: the bearers of the most similar core, if one of them is clearly the most frequent
     bare = cores.filter("initial = ''")
     near = resembling(bare, known, 0.86, shortest, most, True).join(link.select(F.col("key").alias("key_b"), "to", F.col("n").alias("n_b")), "key_b")
