@@ -18,12 +18,12 @@ result; long texts and long lines are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +41,29 @@ SEPARATORS = (" / ", " | ", " \u2022 ", " \u00b7 ", ", ", "; ", ",", ";", " - ",
 WORDS = re.compile("[^\\W\\d_][\\w\\u0300-\\u036f\\u0900-\\u0dff'\u2019\u200c\u200d]*")
 BAR = re.compile(r"(?:^|(?<=\s))\|(?=\s|$)")
 BOX = re.compile(r"\s*[\[(]\s*-?\d+(?:\.\d+)?(?:\s*[,; ]\s*-?\d+(?:\.\d+)?)+\s*[\])]")
+GAP = re.compile(r"\S {2,}\S")
+QUOTED = re.compile(r"[\"'][;,][\"']")
+VALUE = re.compile(r"[\"']?-?\d+(?:[.,]\d+)?%?[\"']?")
+RULE = re.compile(r"[\s|+:=_-]{3,}")
 STRIP = ".,;:!?\"'()[]{}|*#<>=&@~^-_/\\\u0964\u2026\u201c\u201d\u2018\u2019"
 
 
+NOT_LETTERS = re.compile("[^\\w\u0300-\u036f\u0900-\u0dff]+|[\\d_]+")
+NOT_SIGNS = re.compile("[\\w\\s\u0300-\u036f\u0900-\u0dff]+")
+DIGIT = re.compile(r"\d")
+
+
+def letter_count(text: str) -> int:
+    """Letters and their marks."""
+    return len(NOT_LETTERS.sub("", text))
+
+
+@lru_cache(1 << 16)
+def spoken(piece: str) -> bool:
+    """Whether a piece has a letter or a digit."""
+    return any(c.isalnum() for c in piece)
+
+
 @lru_cache(65536)
 def script(ch: str) -> str:
     return unicodedata.name(ch, "").partition(" ")[0]
@@ -89,7 +109,7 @@ def seed(line: str) -> str:
     if len(pieces) >= 6 and not END.search(line) and re.fullmatch("[^\\d;=|/,#@<>{}\\[\\]]+", line):
         plain = not any(p.isupper() and len(p) > 1 or mashed(p) for p in pieces) and not BROKEN.search(line)
         return "prose" if plain and len({p.lower() for p in pieces}) > 0.8 * len(pieces) else ""
-    if len(pieces) >= 8 and END.search(line) and not re.search(r"[;=|\t]|https?:", line) and sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in line) > 0.7 * len(line):
+    if len(pieces) >= 8 and END.search(line) and not re.search(r"[;=|\t]|https?:", line) and letter_count(line) > 0.7 * len(line):
         return "prose"
     return ""
 
@@ -131,25 +151,25 @@ def fields(line: str) -> tuple[int, float]:
     return best
 
 
-def emission(line: str, common: dict[str, float]) -> tuple[np.ndarray, int]:
+def emission(line: str, common: dict[str, float], ws: list[str] | None = None) -> tuple[tuple[float, ...], int]:
     """A line's log-score in each state, and its pieces."""
     pieces = line.split()
     n = len(pieces)
-    ws = words(line)
+    ws = words(line) if ws is None else ws
     chars = len(line.replace(" ", "")) or 1
     items, _ = fields(line)
     mark = MARKER.match(line)
     rest = line[mark.end() :].split() if mark else pieces
-    signs = sum(1 for p in rest if not any(c.isalnum() for c in p) and not (items >= 3 and len(p) == 1))
-    letters = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in line) / chars
+    signs = sum(1 for p in rest if not spoken(p) and not (items >= 3 and len(p) == 1))
+    letters = letter_count(line) / chars
     hits = [common[w] for w in ws if w in common]
     plain = len(hits) / max(1, len(ws))
     weight = sum(min(x, 3.0) for x in hits)
     ends = bool(END.search(line))
-    links = sum(len(m.group().split()) for m in LINK.finditer(line))
+    links = sum(len(m.group().split()) for m in LINK.finditer(line)) if "." in line else 0
     tags = sum(1 for p in rest if p[0] in "#@" and len(p) > 1)
     mash = sum(1 for p in pieces if mashed(p)) - links
-    broken = sum(1 for p in pieces if BROKEN.search(p.strip(STRIP)) and len(BROKEN.findall(p)) * 2 >= min(4, len(p.strip(STRIP)))) + line.count("\ufffd")
+    broken = 0 if line.isascii() or not BROKEN.search(line) else sum(1 for p in pieces if BROKEN.search(p.strip(STRIP)) and len(BROKEN.findall(p)) * 2 >= min(4, len(p.strip(STRIP)))) + line.count("\ufffd")
     noise = (signs + links + tags + max(0, mash) + broken) / max(1, n)
     distinct = len({p.lower() for p in pieces}) / max(1, n)
     marked = bool(mark)
@@ -157,11 +177,11 @@ def emission(line: str, common: dict[str, float]) -> tuple[np.ndarray, int]:
     bars = len(BAR.findall(line))
     tiny = n >= 8 and sum(len(p) <= 3 for p in pieces) > 0.9 * n and plain < 0.3 and line.isascii() | ("\ufffd" in line)
     boxes = bool(BOX.match(line))
-    gaps = len(re.findall(r"\S {2,}\S", line))
-    eq = len(PAIR.findall(line))
-    quoted = len(re.findall(r"[\"'][;,][\"']", line))
-    digits = sum(1 for p in pieces if any(c.isdigit() for c in p))
-    keyed = KEYED.match(line)
+    gaps = len(GAP.findall(line)) if "  " in line else 0
+    eq = len(PAIR.findall(line)) if "=" in line else 0
+    quoted = len(QUOTED.findall(line)) if '"' in line or "'" in line else 0
+    digits = sum(1 for p in pieces if DIGIT.search(p)) if DIGIT.search(line) else 0
+    keyed = KEYED.match(line) if ":" in line else None
 
     prose = 0.9 * min(weight, 8.0) + (1.0 if n >= 7 else -0.3) + (0.8 if ends and n >= 4 else 0.0) - 9 * max(0.0, noise - 0.25)
     prose += 2.5 if n >= 7 and plain >= 0.25 else 0.0
@@ -170,12 +190,12 @@ def emission(line: str, common: dict[str, float]) -> tuple[np.ndarray, int]:
     lst += 4.5 + 0.2 * min(items, 10) if items >= 3 and plain < 0.25 and n > 3 else 0.0
     cells = max(tabs, bars - 1 if bars >= 2 else 0, quoted, eq if eq >= 2 else 0, gaps if gaps >= 2 else 0)
     table = -1.0 + (4.5 + 0.7 * min(cells, 5) if cells >= 1 else 0.0) + (1.5 if digits and cells else 0.0) - 6 * max(0.0, noise - 0.5)
-    if items >= 3 and digits >= 1 and any(re.fullmatch(r"[\"']?-?\d+(?:[.,]\d+)?%?[\"']?", x.strip()) for x in re.split(r"[,;|\t]", line)):
+    if items >= 3 and digits >= 1 and any(VALUE.fullmatch(x.strip()) for x in re.split(r"[,;|\t]", line)):
         table += 6.5
     if keyed and not cells and not links:
         value = len((keyed.group(1) or "").split())
         table += 4.0 if value <= 5 and weight < 2.5 and not marked else 0.0
-    if re.fullmatch(r"[\s|+:=_-]{3,}", line) and ("|" in line or "+" in line or line.strip("-=_ ") == ""):
+    if RULE.fullmatch(line) and ("|" in line or "+" in line or line.strip("-=_ ") == ""):
         table += 9.0 if "|" in line and "-" in line else 2.0
     table += (7.0 if boxes else 0.0) - (6.0 if tiny else 0.0)
     lst -= 5.0 if tiny else 0.0
@@ -185,40 +205,42 @@ def emission(line: str, common: dict[str, float]) -> tuple[np.ndarray, int]:
     junk += 5.0 if n <= 2 and max(0, mash) + links == n else 0.0
     junk += 4.0 if tiny else 0.0
     junk -= 4.0 if cells and noise < 0.5 else 0.0
-    return np.array([prose, lst, table, junk]), n
+    return (prose, lst, table, junk), n
 
 
-STAY = np.log(0.85)
-MOVE = np.log(0.05)
+STAY = math.log(0.85)
+MOVE = math.log(0.05)
 
 
-def label(text: str | None, common: dict[str, float]) -> tuple[list[int], list[int]]:
+def label(text: str | None, common: dict[str, float], spoken_words: list[list[str]] | None = None) -> tuple[list[int], list[int]]:
     """The states of a text's lines by Viterbi, and their pieces."""
     ls = lines(text)
-    if not ls:
+    scored = [emission(x, common, w) for x, w in zip(ls, spoken_words or [None] * len(ls))]
+    if not scored:
         return [], []
-    scored = [emission(x, common) for x in ls]
-    v, back = scored[0][0], []
+    v = list(scored[0][0])
+    back = []
     for e, _ in scored[1:]:
-        top = int(v.argmax())
-        stay, move = v + STAY, v[top] + MOVE
-        from_ = np.where(stay >= move, np.arange(4), top)
-        v = np.maximum(stay, move) + e
-        back.append(from_)
-    path = [int(v.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
+        top = max(v)
+        best, move = v.index(top), top + MOVE
+        came = [k if v[k] + STAY >= move else best for k in range(4)]
+        v = [max(v[k] + STAY, move) + e[k] for k in range(4)]
+        back.append(came)
+    path = [v.index(max(v))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
     return path[::-1], [n for _, n in scored]
 
 
 def statistics(text: str | None, common: dict[str, float]) -> dict[str, float | int | str | None]:
     """The statistics of one text."""
     ls = lines(text)
-    ws = [w for x in ls for w in words(x)]
-    states, pieces = label(text, common)
+    per_line = [words(x) for x in ls]
+    ws = [w for x in per_line for w in x]
+    states, pieces = label(text, common, per_line)
     total = sum(pieces)
     share = [sum(n for s, n in zip(states, pieces) if s == k) / total if total else None for k in range(4)]
-    chars = sum(not c.isspace() for c in text or "")
+    chars = len("".join((text or "").split()))
     kind = None
     if total and 1 - share[0] > 0.5:
         kind = STATES[max((1, 2, 3), key=lambda k: (share[k], -k))]
@@ -226,7 +248,7 @@ def statistics(text: str | None, common: dict[str, float]) -> dict[str, float |
         "pieces": total,
         "words": len(ws),
         "mean_word_length": sum(map(len, ws)) / len(ws) if ws else None,
-        "symbol_ratio": sum(not (c.isalnum() or c.isspace() or unicodedata.category(c)[0] == "M") for c in text or "") / chars if chars else None,
+        "symbol_ratio": (len(NOT_SIGNS.sub("", text or "")) + (text or "").count("_")) / chars if chars else None,
         "punctuated_lines": sum(bool(END.search(x)) for x in ls) / len(ls) if ls else None,
         "common_words": sum(w in common for w in ws) / len(ws) if ws else None,
         "prose": share[0],
