@@ -120,6 +120,12 @@ def image_files(spark: SparkSession, folder: str, limit: int | None = None, cont
     return files.select("path", "name", *(["content"] if content else []))
 
 
+def file_content(spark: SparkSession, folder: str, name: str) -> bytes | None:
+    """A file of a folder by its name under the URL prefix, or None where there is none."""
+    path = f"{folder}/{name.removeprefix('/memes/')}"
+    return bytes(spark.read.format("binaryFile").load(path).first().content) if exists(spark, path) else None
+
+
 def sample_names(spark: SparkSession, n: int = 4, of: int = 200, seed: int | None = None) -> DataFrame:
     """(id, image_path, image_url): a random sample of the names 0.jpg ..."""
     names = spark.range(of).select(F.concat(F.col("id").cast("string"), F.lit(".jpg")).alias("id"))
@@ -131,6 +137,11 @@ def read_panels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PANELS).option("multiLine", True).json(path)
 
 
+def write_panels(analyses: DataFrame, path: str) -> None:
+    """Writes panel analyses, a JSON document per line."""
+    analyses.write.mode("overwrite").json(path)
+
+
 def read_captions(spark: SparkSession, path: str) -> dict[str, str]:
     """The captions of panels by id, from a small JSON file."""
     rows = spark.read.schema("c string").text(path, wholetext=True).collect()

@@ -43,6 +43,16 @@ def items(spark: SparkSession, sf_dir: str, columns: list[str], raw: bool = Fals
     return live if raw else live.withColumns({c: parsed(c) for c in columns if c in NESTED})
 
 
+def compact_items(memes: DataFrame, path: str, files: int) -> None:
+    """Writes the live rows once, in ranges of id, so that later reads need no window and prune by id.
+
+    Every query over raw rows pays a shuffle of the columns it reads to find the live ones; a
+    stored table of live rows removes it.
+    """
+    columns = memes.columns
+    live_rows(memes, columns).repartitionByRange(files, "id").sortWithinPartitions("id").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def usable(column: str, dim: int) -> Column:
     """Whether a vector has ``dim`` finite numbers."""
     return (F.size(column) == dim) & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from motleydex.functions.text import natural_key, normalise_person
 from motleydex.operators import embed_job, evaluation, maintenance, panels
 from motleydex.sources import files
-from motleydex.sources.items import latest_vectors, list_or_single, live_rows, string_list
+from motleydex.sources.items import compact_items, latest_vectors, list_or_single, live_rows, string_list
 from motleydex.sources.schema import ITEM_COLUMNS, ITEMS
 from motleydex.sources.tables import scratch_root
 from motleydex.streaming.ingest import debounced, fill_vectors
@@ -87,6 +87,13 @@ def test_live_rows_and_latest_vectors(spark):
     assert [(r.meme_id, r.embedding) for r in latest_vectors(v, 2).collect()] == [("a", [0.0, 1.0])]
 
 
+def test_compaction(spark, data, tmp_path):
+    raw = spark.read.parquet(f"{data}/memes.parquet")
+    compact_items(raw, str(tmp_path / "live"), 3)
+    stored = spark.read.parquet(str(tmp_path / "live"))
+    assert stored.columns == raw.columns and stored.count() == raw.select("id").distinct().count()
+
+
 def test_missing_aspects_with_null_ids(spark):
     items = spark.createDataFrame([("a",), ("b",)], "id string")
     have = lambda *ids: spark.createDataFrame([(i,) for i in ids], "meme_id string")
