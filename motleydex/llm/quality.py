@@ -27,6 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import persist_table
 from .common import map_batches
 
 STATES = ("prose", "list", "table", "junk")
@@ -44,6 +45,7 @@ BOX = re.compile(r"\s*[\[(]\s*-?\d+(?:\.\d+)?(?:\s*[,; ]\s*-?\d+(?:\.\d+)?)+\s*[
 GAP = re.compile(r"\S {2,}\S")
 QUOTED = re.compile(r"[\"'][;,][\"']")
 VALUE = re.compile(r"[\"']?-?\d+(?:[.,]\d+)?%?[\"']?")
+PLAIN_LINE = re.compile("[^\t=|#@<>~^{}\\[\\]\\\\\ufffd_/&*+\u00a0-\u00ff]+")
 RULE = re.compile(r"[\s|+:=_-]{3,}")
 STRIP = ".,;:!?\"'()[]{}|*#<>=&@~^-_/\\\u0964\u2026\u201c\u201d\u2018\u2019"
 
@@ -131,8 +133,9 @@ def common_words(documents: DataFrame, text: str = "text", common_share: float =
         return step
 
     counted = map_batches(documents.select(text), make, "word string, script string, p long, q long")
-    per = counted.groupBy("script", "word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    total = counted.groupBy("script").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
+    # the texts are read once: the counts are stored and summed per script from there
+    per = persist_table(counted.groupBy("script", "word").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "word-counts")
+    total = per.groupBy("script").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
     rate_p, rate_q = (F.col("p") + 1) / (F.col("tp") + 100), (F.col("q") + 1) / (F.col("tq") + 100)
     found = per.join(F.broadcast(total), "script").filter(F.col("p") >= F.col("tp") * common_share).filter(F.col("p") >= 3).select("word", F.log(rate_p / rate_q).alias("w")).filter("w > 0.4")
     return {r.word: r.w for r in found.collect()}
@@ -156,15 +159,17 @@ def emission(line: str, common: dict[str, float], ws: list[str] | None = None) -
     pieces = line.split()
     n = len(pieces)
     ws = words(line) if ws is None else ws
+    hits = [common[w] for w in ws if w in common]
+    weight = sum(min(x, 3.0) for x in hits)
+    if n >= 7 and weight >= 5 and 4 * len(hits) >= len(ws) and PLAIN_LINE.fullmatch(line) and not MARKER.match(line):
+        return (0.9 * min(weight, 8.0) + 3.5 + (0.8 if END.search(line) else 0.0), -3.0, -1.0, -0.5), n  # nothing but prose comes into question
     chars = len(line.replace(" ", "")) or 1
     items, _ = fields(line)
     mark = MARKER.match(line)
     rest = line[mark.end() :].split() if mark else pieces
     signs = sum(1 for p in rest if not spoken(p) and not (items >= 3 and len(p) == 1))
     letters = letter_count(line) / chars
-    hits = [common[w] for w in ws if w in common]
     plain = len(hits) / max(1, len(ws))
-    weight = sum(min(x, 3.0) for x in hits)
     ends = bool(END.search(line))
     links = sum(len(m.group().split()) for m in LINK.finditer(line)) if "." in line else 0
     tags = sum(1 for p in rest if p[0] in "#@" and len(p) > 1)
