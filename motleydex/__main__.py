@@ -55,10 +55,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or SparkSession.builder.appName("motleydex").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     e = HashEmbedder()
     if a.command == "search":
-        vectors = items.aspect_vectors(spark, a.data)
-        texts = maintenance.build_search_texts(items.items(spark, a.data, ["id", *catalog.TEXTS]))
+        vectors = items.vector_versions(spark, a.data)
+        texts = maintenance.build_search_texts(items.versions(spark, a.data, ["id", *catalog.TEXTS]))
         request = SearchRequest(a.query, a.language, a.region, a.emotion, a.limit, not a.no_rerank)
-        out = fusion.search(vectors, texts, items.table(spark, a.data, "meme_people"), items.items(spark, a.data, catalog.DISPLAY), e.embed([a.query])[0].tolist(), request)
+        out = fusion.search(vectors, texts, items.table(spark, a.data, "meme_people"), catalog.shown(spark, a.data, catalog.DISPLAY), e.embed([a.query])[0].tolist(), request)
         rows = [json.loads(r) for r in out.orderBy("rank").toJSON().collect()]
         print(json.dumps({"memes": rows, "query": a.query, "total_results": rows[0]["total_results"] if rows else 0}, ensure_ascii=False, indent=2))
     elif a.command == "stats":

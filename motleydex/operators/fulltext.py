@@ -186,7 +186,8 @@ def bm25(texts: DataFrame, query: str, limit: int) -> DataFrame:
     """(meme_id, score, pos): the best ``limit`` texts for a query, from (meme_id, search_text).
 
     A query that the language does not accept gives no rows, as does one without a term.
-    Higher scores are better; ties go to the smaller id.
+    Higher scores are better; ties go to the smaller id. If there is a ``labeled_at``, an id may have several texts
+    and the latest counts: all are counted where they are read, and only the counts are moved to choose among them.
     """
     none = texts.select("meme_id", F.lit(0.0).alias("score"), F.lit(0).alias("pos")).limit(0)
     try:
@@ -197,7 +198,11 @@ def bm25(texts: DataFrame, query: str, limit: int) -> DataFrame:
     if not found:
         return none
     name = {p: f"tf{i}" for i, p in enumerate(found)}
-    counted = texts.select("meme_id", terms(F.col("search_text")).alias("t")).select("meme_id", F.size("t").alias("dl"), *[occurrences(F.col("t"), p).alias(n) for p, n in name.items()])
+    version = ["labeled_at"] if "labeled_at" in texts.columns else []
+    counted = texts.select("meme_id", *version, terms(F.col("search_text")).alias("t")).select("meme_id", *version, F.size("t").alias("dl"), *[occurrences(F.col("t"), p).alias(n) for p, n in name.items()])
+    if version:
+        numbers = ["dl", *name.values()]
+        counted = counted.groupBy("meme_id").agg(F.max(F.struct("labeled_at", *numbers)).alias("v")).select("meme_id", *[f"v.{n}" for n in numbers])
     corpus = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(n) > 0).cast("long")).alias(f"n_{n}") for n in name.values()])
     scored = counted.filter(_matches(tree, name)).join(F.broadcast(corpus))  # one row of corpus figures
     score: Column = F.lit(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shown_caption
+from ..sources.items import Items, as_items
 from ..sources.schema import SearchOptions, SearchRequest
 from .fulltext import bm25
 from .people import exact_people
@@ -34,7 +35,7 @@ def fused_order() -> list[Column]:
     return [F.desc("rrf_score"), F.col("first_list"), F.col("first_pos")]
 
 
-def fused_search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: DataFrame, query: list[float], text: str, names: list[str], options: SearchOptions) -> DataFrame:
+def fused_search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: Items | DataFrame, query: list[float], text: str, names: list[str], options: SearchOptions) -> DataFrame:
     """The fused hits: items with rrf_score and their place, up to 4 x limit, after the metadata filter.
 
     Lists in order: exact people twice, the four vector rankings, BM25. Rankings carry ids only;
@@ -44,7 +45,8 @@ def fused_search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFr
     exact = exact_people(people, names)
     rankings = [exact, exact, *[search_aspect(vectors[a], items, query, k, options.min_similarity) for a in ("main", "people", "context", "use_case")], bm25(texts, text, k)]
     top = rrf(union_rankings(rankings)).orderBy(*fused_order()).limit(options.limit * 4)
-    hits = items.join(F.broadcast(top), items["id"] == top["meme_id"]).drop("meme_id").filter(metadata_filter(options))
+    top = top.withColumnRenamed("meme_id", "id")
+    hits = as_items(items).pick(top).join(F.broadcast(top), "id").filter(metadata_filter(options))
     return hits.withColumn("similarity", F.lit(1.0)).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*fused_order())))
 
 
@@ -74,7 +76,7 @@ def response(ranked: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: DataFrame, query: list[float], request: SearchRequest, reranker: Reranker | None = None, names: list[str] | None = None) -> DataFrame:
+def search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: Items | DataFrame, query: list[float], request: SearchRequest, reranker: Reranker | None = None, names: list[str] | None = None) -> DataFrame:
     """A whole search: fused with three times the limit, reranked if asked for, ranked, cut. One plan but for the reranker's rows.
 
     The live request names no people, as nothing detects them; pass ``names`` to use that ranking.

@@ -41,7 +41,7 @@ def save_labels(spark: SparkSession, root: str, labelled: DataFrame) -> DataFram
     items = added.withColumns({c: parsed(c) for c in schema.NESTED})
     people = index_people(items).join(have["people"], ["person_name", "meme_id"], "left_anti")
     people.select("person_name", "meme_id").write.mode("append").parquet(f"{root}/people.parquet")
-    texts = build_search_texts(items).join(have["search_texts"].select("meme_id"), "meme_id", "left_anti")
+    texts = build_search_texts(items.drop("labeled_at")).join(have["search_texts"].select("meme_id"), "meme_id", "left_anti")
     texts.write.mode("append").parquet(f"{root}/search_texts.parquet")
     return rejected
 

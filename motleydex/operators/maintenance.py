@@ -75,8 +75,9 @@ def migrate_items(items: DataFrame) -> DataFrame:
 
 
 def build_search_texts(items: DataFrame, backfill: bool = False) -> DataFrame:
-    """(meme_id, search_text) of parsed items."""
-    return items.select(F.col("id").alias("meme_id"), search_text(backfill).alias("search_text"))
+    """(meme_id, search_text) of parsed items, with ``labeled_at`` if they are versions."""
+    version = ["labeled_at"] if "labeled_at" in items.columns else []
+    return items.select(F.col("id").alias("meme_id"), search_text(backfill).alias("search_text"), *version)
 
 
 TABLES = {"items": "ITEMS", "vectors": "VECTORS", "people": "PEOPLE", "search_texts": "SEARCH_TEXTS"}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..sources.items import Items, as_items
 from ..sources.schema import SearchOptions
 
 MOST_QUERIES = 10_000
@@ -20,18 +21,27 @@ def as_vector(values: list[float]) -> Column:
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(meme_id, similarity): the k nearest vectors; ties go to the smaller id. A plan without a shuffle of vectors."""
-    scored = vectors.select("meme_id", cosine(F.col("embedding"), as_vector(query)).alias("similarity"))
+    """(meme_id, similarity): the k nearest vectors; ties go to the smaller id. No vector is shuffled.
+
+    If there is a ``created_at``, an id may have several vectors and the latest counts (null is the oldest): all are
+    scored where they are read and only (id, time, similarity) is moved to choose among them.
+    """
+    similarity = cosine(F.col("embedding"), as_vector(query)).alias("similarity")
+    if "created_at" in vectors.columns:
+        scored = vectors.select("meme_id", F.struct("created_at", similarity).alias("v")).groupBy("meme_id").agg(F.max("v").alias("v")).select("meme_id", "v.similarity")
+    else:
+        scored = vectors.select("meme_id", similarity)
     return scored.orderBy(F.desc("similarity"), "meme_id").limit(k)
 
 
-def search_aspect(vectors: DataFrame, items: DataFrame, query: list[float], k: int, min_similarity: float) -> DataFrame:
+def search_aspect(vectors: DataFrame, items: Items | DataFrame, query: list[float], k: int, min_similarity: float) -> DataFrame:
     """(meme_id, similarity, pos): the k nearest vectors first, then those with an item and at least the similarity, by rank.
 
     The order of steps is the meaning: an orphan or a distant vector uses up one of the k places.
     """
     top = nearest(vectors, query, k)
-    kept = top.join(items.select(F.col("id").alias("meme_id")), "meme_id", "left_semi").filter(F.col("similarity") >= min_similarity)
+    known = as_items(items).known(top.select(F.col("meme_id").alias("id"))).select(F.col("id").alias("meme_id"))
+    kept = top.join(F.broadcast(known), "meme_id", "left_semi").filter(F.col("similarity") >= min_similarity)
     return ranked(kept)
 
 
@@ -52,10 +62,11 @@ def metadata_filter(options: SearchOptions) -> Column:
     return cond
 
 
-def search(vectors: DataFrame, items: DataFrame, query: list[float], options: SearchOptions) -> DataFrame:
+def search(vectors: DataFrame, items: Items | DataFrame, query: list[float], options: SearchOptions) -> DataFrame:
     """Single-vector search: the 5 x limit nearest, joined to items, filtered, then the first ``limit``."""
     top = nearest(vectors, query, options.limit * 5)
-    hits = items.join(F.broadcast(top), items["id"] == top["meme_id"]).drop("meme_id").filter(metadata_filter(options)).filter(F.col("similarity") >= options.min_similarity)
+    top = top.withColumnRenamed("meme_id", "id")
+    hits = as_items(items).pick(top).join(F.broadcast(top), "id").filter(metadata_filter(options)).filter(F.col("similarity") >= options.min_similarity)
     return hits.orderBy(F.desc("similarity"), "id").limit(options.limit)
 
 
@@ -110,14 +121,15 @@ def nearest_for_queries(vectors: DataFrame, queries: DataFrame, k: int | str) ->
     return out.filter(F.col("pos") <= (max(most) if most else 0))
 
 
-def batch_search(vectors: DataFrame, items: DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float = 0.35) -> DataFrame:
+def batch_search(vectors: DataFrame, items: Items | DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float = 0.35) -> DataFrame:
     """Single-vector search for many queries (query_id, vector[, language, region]) in one plan.
 
     Per query: 10 x limit nearest, items joined, filters, at most 2 x limit, boosts, the best ``limit``.
     """
     top = nearest_for_queries(vectors, queries, limit * 10)
     options = queries.select("query_id", *[F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c) for c in ("language", "region")])
-    hits = top.join(items, items["id"] == top["meme_id"]).drop("meme_id").join(F.broadcast(options), "query_id")
+    top = top.withColumnRenamed("meme_id", "id")
+    hits = top.join(as_items(items).among(top), "id").join(F.broadcast(options), "query_id")
     lang = F.col("language").isNull() | (F.col("language") == "") | F.array_contains("supported_languages", F.col("language")) | F.col("primary_language").eqNullSafe(F.col("language"))
     region = F.col("region").isNull() | (F.col("region") == "") | F.array_contains("regions", F.col("region")) | F.array_contains("regions", "pan_india")
     kept = hits.filter(lang & region & (F.col("similarity") >= min_similarity))

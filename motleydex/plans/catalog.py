@@ -12,7 +12,7 @@ from ..functions.vectors import cosine
 from ..operators import embed_job, evaluation, fulltext, fusion, labels, maintenance, panels, people, rerank, vector_search
 from ..operators.labels_query import label_hits
 from ..sources import files
-from ..sources.items import aspect_vectors, items, usable
+from ..sources.items import Items, aspect_vectors, items, usable, vector_versions, versions
 from ..sources.schema import SearchOptions, SearchRequest
 from ..sources.tables import table
 
@@ -25,10 +25,19 @@ NAMES = ["Arvind Tipanusopu (ALT)", "Kevobedulu"]
 
 def query_vector(vectors: DataFrame, at: int = QUERY_AT) -> list[float]:
     """A fixed query: the vector of the id at a place of the order; one row goes to the driver."""
-    rows = vectors.orderBy("meme_id").limit(at + 1).collect()
+    if "created_at" in vectors.columns:
+        # the first ids, then their versions: the vectors of all others stay where they are
+        ids = vectors.select("meme_id").distinct().orderBy("meme_id").limit(at + 1).collect()
+        rows = vectors.filter(F.col("meme_id") == (ids[-1][0] if ids else None)).orderBy(F.desc_nulls_last("created_at"), "embedding").limit(1).collect()
+    else:
+        rows = vectors.orderBy("meme_id").limit(at + 1).collect()
     return [float(x) for x in rows[-1].embedding] if rows else [0.0]
 
 
+def shown(spark: SparkSession, d: str, columns: list[str]) -> Items:
+    return Items(table(spark, d, "memes"), columns)
+
+
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -38,18 +47,18 @@ def flat(c: str) -> Column:
 
 
 def vec_topk_main(spark: SparkSession, d: str) -> DataFrame:
-    v = aspect_vectors(spark, d)["main"]
+    v = vector_versions(spark, d)["main"]
     return vector_search.nearest(v, query_vector(v), 50).select("meme_id", r6("similarity").alias("similarity"))
 
 
 def vec_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
-    v = aspect_vectors(spark, d)["main"]
-    return vector_search.search_aspect(v, items(spark, d, ["id"]), query_vector(v), 200, 0.1).select("pos", "meme_id", r6("similarity").alias("similarity"))
+    v = vector_versions(spark, d)["main"]
+    return vector_search.search_aspect(v, shown(spark, d, ["id"]), query_vector(v), 200, 0.1).select("pos", "meme_id", r6("similarity").alias("similarity"))
 
 
 def vec_search_legacy(spark: SparkSession, d: str) -> DataFrame:
-    v = aspect_vectors(spark, d)["main"]
-    hits = vector_search.search(v, items(spark, d, DISPLAY), query_vector(v), SearchOptions(language="hinglish", limit=20, min_similarity=0.1))
+    v = vector_versions(spark, d)["main"]
+    hits = vector_search.search(v, shown(spark, d, DISPLAY), query_vector(v), SearchOptions(language="hinglish", limit=20, min_similarity=0.1))
     return hits.select("id", "image_path", r6("similarity").alias("similarity"), flat("supported_languages").alias("languages"))
 
 
@@ -61,12 +70,12 @@ def numbered(c: str = "id") -> Column:
 def batch_vec_search(spark: SparkSession, d: str) -> DataFrame:
     v = aspect_vectors(spark, d)["main"]
     queries = v.filter(numbered("meme_id") % 50 == 0).select(F.col("meme_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit("hindi").alias("language"), F.lit("delhi").alias("region"))
-    out = vector_search.batch_search(v, items(spark, d, ["id", "image_path", "primary_language", "supported_languages", "regions", "caption", "popularity_score"]), queries)
+    out = vector_search.batch_search(v, shown(spark, d, ["id", "image_path", "primary_language", "supported_languages", "regions", "caption", "popularity_score"]), queries)
     return out.select("query_id", "rank", "id", r6("similarity").alias("similarity"), r6("score").alias("score"))
 
 
 def labels_json_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = aspect_vectors(spark, d)["main"]
+    v = vector_versions(spark, d)["main"]
     return label_hits(v, items(spark, d, ["id", "image_path", "caption"]), query_vector(v), 40).select("id", r6("similarity").alias("similarity"), "image_path", "caption_original")
 
 
@@ -77,9 +86,9 @@ def zero_norm_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, d: str, least: float, k: int = 80) -> list[DataFrame]:
-    vs = aspect_vectors(spark, d)
+    vs = vector_versions(spark, d)
     q = query_vector(vs["main"])
-    ids = items(spark, d, ["id"])
+    ids = shown(spark, d, ["id"])
     return [vector_search.search_aspect(vs[a], ids, q, k, least) for a in ("main", "people", "context", "use_case")]
 
 
@@ -102,15 +111,19 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.build_search_texts(items(spark, d, ["id", *TEXTS]))
 
 
+def _text_versions(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.build_search_texts(versions(spark, d, ["id", *TEXTS]))
+
+
 def _search(spark: SparkSession, d: str, request: SearchRequest, reranker: rerank.Reranker | None = None, names: list[str] | None = None) -> DataFrame:
-    vs = aspect_vectors(spark, d)
-    return fusion.search(vs, _texts(spark, d), table(spark, d, "meme_people"), items(spark, d, DISPLAY), query_vector(vs["main"]), request, reranker, names)
+    vs = vector_versions(spark, d)
+    return fusion.search(vs, _text_versions(spark, d), table(spark, d, "meme_people"), shown(spark, d, DISPLAY), query_vector(vs["main"]), request, reranker, names)
 
 
 def fused_search_filters(spark: SparkSession, d: str) -> DataFrame:
-    vs = aspect_vectors(spark, d)
+    vs = vector_versions(spark, d)
     options = SearchOptions("hinglish", "delhi", None, 30, 0.1)
-    hits = fusion.fused_search(vs, _texts(spark, d), table(spark, d, "meme_people"), items(spark, d, DISPLAY), query_vector(vs["main"]), QUERY_TEXT, NAMES, options)
+    hits = fusion.fused_search(vs, _text_versions(spark, d), table(spark, d, "meme_people"), shown(spark, d, DISPLAY), query_vector(vs["main"]), QUERY_TEXT, NAMES, options)
     return hits.select("pos", "id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
@@ -159,7 +172,7 @@ def fts_postings(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(query: str, limit: int = 100) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return fulltext.bm25(_texts(spark, d), query, limit).select("pos", "meme_id", r6("score").alias("score"))
+        return fulltext.bm25(_text_versions(spark, d), query, limit).select("pos", "meme_id", r6("score").alias("score"))
 
     return run
 

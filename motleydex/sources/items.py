@@ -43,6 +43,55 @@ def items(spark: SparkSession, sf_dir: str, columns: list[str], raw: bool = Fals
     return live if raw else live.withColumns({c: parsed(c) for c in columns if c in NESTED})
 
 
+class Items:
+    """Stored items by id, with the columns that a search shows.
+
+    Searches ask for the few ids that survived, so these are broadcast to the raw rows first and only what
+    is left is reduced to live versions and parsed; the texts of all other items never move.
+    """
+
+    def __init__(self, memes: DataFrame, columns: list[str]):
+        self.memes, self.columns = memes, columns
+
+    def _read(self, rows: DataFrame) -> DataFrame:
+        return live_rows(rows, self.columns).withColumns({c: parsed(c) for c in self.columns if c in NESTED})
+
+    def known(self, ids: DataFrame) -> DataFrame:
+        """(id): those of the few ids that have a row."""
+        return self.memes.select("id").join(F.broadcast(ids.select("id")), "id", "left_semi").distinct()
+
+    def pick(self, ids: DataFrame) -> DataFrame:
+        """The live items of the few ids."""
+        return self._read(self.memes.join(F.broadcast(ids.select("id")), "id", "left_semi"))
+
+    def among(self, ids: DataFrame) -> DataFrame:
+        """The live items of ids that may be many; the join is left to the optimizer."""
+        return self._read(self.memes.join(ids.select("id").distinct(), "id", "left_semi"))
+
+    def every(self) -> DataFrame:
+        return self._read(self.memes)
+
+
+class LiveItems(Items):
+    """Items that are live and parsed already."""
+
+    def __init__(self, rows: DataFrame):
+        super().__init__(rows, rows.columns)
+
+    def _read(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+
+def as_items(items: Items | DataFrame) -> Items:
+    return LiveItems(items) if isinstance(items, DataFrame) else items
+
+
+def versions(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """All stored versions of items, parsed, with ``labeled_at``: for operators that reduce to a few numbers before they choose the live one."""
+    raw = table(spark, sf_dir, "memes").filter("id is not null").select(*dict.fromkeys([*columns, "labeled_at"]))
+    return raw.withColumns({c: parsed(c) for c in columns if c in NESTED})
+
+
 def compact_items(memes: DataFrame, path: str, files: int) -> None:
     """Writes the live rows once, in ranges of id, so that later reads need no window and prune by id.
 
@@ -64,6 +113,15 @@ def latest_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return vectors.filter("meme_id is not null").filter(usable("embedding", dim)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("meme_id", "embedding")
 
 
+def vector_versions(spark: SparkSession, sf_dir: str, dim: int = 64) -> dict[str, DataFrame]:
+    """The usable vectors by aspect in all their versions, with ``created_at``."""
+    out = {}
+    for a in ASPECTS:
+        t = table(spark, sf_dir, f"embeddings_{'context' if a == 'use_case' else a}")
+        out[a] = t.filter("meme_id is not null").filter(usable("embedding", dim)).select("meme_id", "embedding", "created_at")
+    return out
+
+
 def aspect_vectors(spark: SparkSession, sf_dir: str, dim: int = 64) -> dict[str, DataFrame]:
     """The latest vectors by aspect. The data have no use-case vectors; the use-case ranking reads the context vectors."""
     return {a: latest_vectors(table(spark, sf_dir, f"embeddings_{'context' if a == 'use_case' else a}"), dim) for a in ASPECTS}

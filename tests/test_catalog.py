@@ -55,3 +55,21 @@ def test_pushdown_and_pruning(spark, data):
     plan = catalog.queries()["people_normalise"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string,people:string,labeled_at:timestamp_ntz>" in plan
     assert "PushedFilters: [IsNotNull(id)]" in plan
+
+
+def exchanges(df):
+    """The input columns of every exchange of a plan."""
+    import re
+
+    jvm = df.sparkSession._jvm
+    text = df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+
+
+@pytest.mark.parametrize("name", ["vec_topk_main", "multi_aspect_rankings", "search_end_to_end_no_rerank", "bm25_and"])
+def test_vectors_and_texts_do_not_move(spark, data, name):
+    """Scores and counts are shuffled, neither vectors nor texts; items only where few ids were broadcast to them."""
+    moved = exchanges(catalog.queries()[name](spark, data))
+    assert moved and not any("embedding#" in m or "search_text#" in m for m in moved)
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
