@@ -50,7 +50,7 @@ def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 def sized(documents: DataFrame, targets: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, source, tokens) of the documents of target sources with at least one token."""
-    wanted = F.broadcast(targets.select("source").distinct())
+    wanted = F.broadcast(targets.select("source").distinct())  # at most most_targets rows, checked by mixture
     return encoded(documents.join(wanted, "source", "left_semi"), "doc_id", vocabulary=vocabulary, extra=("source",), sizes_only=True).filter("tokens > 0")
 
 
@@ -65,7 +65,7 @@ def packed(sizes: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
     return d.join(before.select("source", "bucket", "before"), ["source", "bucket"]).withColumn("block", F.floor(start / block_tokens).cast("long")).select("doc_id", "source", "tokens", "block")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 1024, shard_slots: int = 256, seed: int = 5, vocabulary: str = VOCABULARY, bucket_docs: int = 5000) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 1024, shard_slots: int = 256, seed: int = 5, vocabulary: str = VOCABULARY, bucket_docs: int = 5000, most_targets: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """The chosen documents (doc_id, source, tokens, repeats) and the report by source.
 
     ``total_tokens`` defaults to the largest total at which every source that is present can
@@ -73,6 +73,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     tiny source cannot shrink the mixture.
     """
     spark = documents.sparkSession
+    if targets.limit(most_targets + 1).count() > most_targets:
+        raise ValueError(f"more than {most_targets} targets")
     # encoding is the costly step, so its sizes are stored and used for all sums
     docs = packed(persist_table(sized(documents, targets, vocabulary), "sized"), block_tokens, max(1, documents.count() // bucket_docs))
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have_tokens"), (F.max("block") + 1).alias("blocks"), F.count("*").alias("docs"))
