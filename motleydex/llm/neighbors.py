@@ -11,7 +11,9 @@ window on both sides is its ascent, as all branches give up prefix length togeth
 until ``window`` candidates are reached. Cosines of candidates are computed in the
 run from vectors held as 16-bit fractions (error of a cosine about 1e-5).
 
-Cost is linear in the number of vectors for a fixed forest. Exact copies need no
+``forest_plan`` gives the length of runs and the number of trees for a number of vectors: longer runs first, then
+more trees, so that two vectors with a cosine of 0.92 are parted by the ends of runs in all trees in at most
+2 % of cases. Cost is linear in the number of vectors for a fixed forest. Exact copies need no
 special handling: a group of copies is a stretch of the sorted arrays, and each of
 its members keeps only its k best neighbours before anything is shuffled.
 
@@ -22,6 +24,7 @@ the oldest); ties between neighbours go to the smaller id; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,15 +94,29 @@ def best(i: np.ndarray, j: np.ndarray, cos: np.ndarray, ids: np.ndarray, k: int)
     return a[keep], b[keep], c[keep]
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64, trees: int = 4, branches: int = 14, window: int = 96, run_rows: int = 24576, seed: int = 11, rows: int | None = None) -> DataFrame:
+def forest_plan(rows: int, same_bit: float = 0.872, miss: float = 0.02) -> tuple[int, int]:
+    """(rows of a run, trees) for a number of vectors of one aspect.
+
+    A run is a sixteenth of the vectors, from 24,576 up to 262,144 (67 MB of floats in a task). Then a tree's runs are told apart by log2(rows / run)
+    bits, which two near vectors have in common with probability ``same_bit`` each.
+    """
+    run = min(262_144, max(24_576, rows // 16))
+    together = same_bit ** max(0.0, math.log2(max(1, rows) / run))
+    return run, max(4, math.ceil(math.log(miss) / math.log(1 - together)) if together < 1 else 0)
+
+
+def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64, branches: int = 14, window: int = 96, seed: int = 11, run_rows: int | None = None, trees: int | None = None, most_tasks: int = 100_000) -> DataFrame:
     """(aspect, id, neighbour, cosine, rank): up to k most similar vectors of every vector, of at least ``least``.
 
-    ``vectors`` has ``aspect, meme_id, embedding, created_at``; ``rows`` is their
-    number (counted when not given; it only sizes the runs).
+    ``vectors`` has ``aspect, meme_id, embedding, created_at``. ``run_rows`` and ``trees`` follow from their number
+    unless given. A task takes one run, or several one after another where there are more than ``most_tasks``.
     """
-    spark = vectors.sparkSession
-    rows = vectors.count() if rows is None else rows
-    runs = max(1, -(-rows * trees // run_rows))
+    sizes = [r["count"] for r in vectors.groupBy("aspect").count().collect()]  # a row per aspect
+    planned = forest_plan(max(sizes, default=0))
+    run_rows, trees = run_rows or planned[0], trees or planned[1]
+    runs = max(1, -(-sum(sizes) * trees // run_rows))
+    tasks = min(runs, most_tasks)
+    whole_run = run_rows * 4 if tasks == runs else run_rows  # unsorted rows are cut only to protect memory
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,19 +135,14 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: in
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), b.column("aspect"), pa.array(s[:, t]), b.column("meme_id"), b.column("v")], ["tree", "aspect", "prefix", "meme_id", "v"])
 
-    forest = live.mapInArrow(strung, "tree int, aspect string, prefix long, meme_id string, v binary").repartitionByRange(runs, "tree", "aspect", "prefix")
+    forest = live.mapInArrow(strung, "tree int, aspect string, prefix long, meme_id string, v binary").repartitionByRange(tasks, "tree", "aspect", "prefix")
+    if tasks < runs:
+        forest = forest.sortWithinPartitions("tree", "aspect", "prefix")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        t = pa.Table.from_batches(whole)
-        del whole
-        groups = t.select(["tree", "aspect"]).group_by(["tree", "aspect"]).aggregate([]).to_pylist()
+    def of_run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         tree, aspect = t.column("tree").to_numpy(), np.array(t.column("aspect").to_pylist(), dtype=object)
-        for g in groups:
-            at = np.flatnonzero((tree == g["tree"]) & (aspect == g["aspect"]))
-            part = t.take(pa.array(at))
+        for g in t.select(["tree", "aspect"]).group_by(["tree", "aspect"]).aggregate([]).to_pylist():
+            part = t.take(pa.array(np.flatnonzero((tree == g["tree"]) & (aspect == g["aspect"]))))
             ids = np.array(part.column("meme_id").to_pylist())
             v = np.frombuffer(b"".join(part.column("v").to_pylist()), "<i2").reshape(-1, dim).astype(np.float32)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -139,6 +151,16 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: in
             a, b, c = best(i[ok], j[ok], cos[ok], ids, k)
             yield pa.RecordBatch.from_arrays([pa.array([g["aspect"]] * len(a), pa.string()), pa.array(ids[a].tolist(), pa.string()), pa.array(ids[b].tolist(), pa.string()), pa.array(c, pa.float64())], ["aspect", "id", "neighbour", "cosine"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= whole_run:  # a range is cut by sampling, so one may exceed a run
+                yield from of_run(pa.Table.from_batches(held))
+                held = []
+        if sum(x.num_rows for x in held):
+            yield from of_run(pa.Table.from_batches(held))
+
     met = forest.mapInArrow(meet, "aspect string, id string, neighbour string, cosine double")
     # one exchange on (aspect, id) serves the removal of repeats and the ranking
     once = met.repartition("aspect", "id").groupBy("aspect", "id", "neighbour").agg(F.max("cosine").alias("cosine"))

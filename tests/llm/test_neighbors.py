@@ -4,7 +4,7 @@ from datetime import datetime
 
 import numpy as np
 
-from motleydex.llm.neighbors import similar_pairs, similar_vectors
+from motleydex.llm.neighbors import forest_plan, similar_pairs, similar_vectors
 
 SCHEMA = "aspect string, meme_id string, embedding array<float>, created_at timestamp_ntz, v int, tree string"
 
@@ -19,8 +19,8 @@ def test_recall_against_brute_force(spark):
     s = u @ u.T
     np.fill_diagonal(s, -1)
     expected = {tuple(sorted((i, int(j)))) for i in range(len(v)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.85}
-    for run_rows in (24_576, 700):
-        got = {(int(r.id_a), int(r.id_b)) for r in similar_pairs(df, run_rows=run_rows).collect()}
+    for options in ({}, {"run_rows": 700}, {"run_rows": 700, "most_tasks": 3}):
+        got = {(int(r.id_a), int(r.id_b)) for r in similar_pairs(df, **options).collect()}
         assert len(got & expected) >= 0.97 * len(expected) and len(got - expected) <= 0.01 * len(expected)
 
 
@@ -50,3 +50,9 @@ def test_a_large_group_of_copies_stays_linear(spark):
     df = spark.range(2000).selectExpr("'main' aspect", "cast(id as string) meme_id", "transform(sequence(1, 64), x -> cast(x as float)) embedding", "cast(null as timestamp_ntz) created_at")
     got = similar_vectors(df)
     assert got.count() == 10_000 and got.selectExpr("max(rank)").first()[0] == 5
+
+
+def test_plan():
+    assert forest_plan(0) == forest_plan(100_000) == (24_576, 4)
+    run, trees = forest_plan(100_000_000)
+    assert run == 262_144 and 4 < trees < 20
