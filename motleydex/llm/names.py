@@ -36,6 +36,7 @@ from .unify import skeleton
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "shri", "sri", "shree", "smt", "kumari", "ji", "sahab", "saab", "madam", "the", "m/s", "messrs", "ustad", "pandit", "late", "capt", "col"}
 LEGAL = {"pvt", "ltd", "private", "limited", "india", "inc", "llp", "llc", "corp", "co", "company", "group", "&", "and", "plc", "gmbh"}
 ROLE = re.compile(r"\s+(?:as|in the role of|playing|plays)\s+.*$|\s*[\[{<].*$")
+LONGEST_SUFFIX = 64
 SPLIT = re.compile(r"[\s\-_,;/]+")
 
 
@@ -104,14 +105,15 @@ def lcs_ratio(a: str, b: str) -> float:
         return 0.0
     if a == b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return 2 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full  # a bit is cleared for each letter of a subsequence found so far
+    for y in b:
+        hit = open_ & at.get(y, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return 2 * (len(a) - open_.bit_count()) / (len(a) + len(b))
 
 
 class Parser:
@@ -122,6 +124,15 @@ class Parser:
         self.firsts = sorted((t for t, k in common.items() if k == "F"), key=lambda t: (-len(t), t))
         self.kinds = sorted((t for t, k in common.items() if k == "O"), key=lambda t: (-len(t), t))
         self.seen: dict[str, str] = {}
+        self.by_end: dict[tuple[int, str, int], list[str]] = {}
+        for t in common:
+            for end in (0, -1):
+                self.by_end.setdefault((end, t[end], len(t)), []).append(t)
+
+    def near(self, part: str) -> list[tuple[float, str]]:
+        """The common parts of about the same length and with the same first or last letter, with their likeness."""
+        found = {c for end in (0, -1) for n in range(len(part) - 2, len(part) + 3) for c in self.by_end.get((end, part[end], n), ())}
+        return [(lcs_ratio(part, c), c) for c in found]
 
     def kind(self, t: str) -> str:
         """F, O, I for an initial, or the empty string for a rare part."""
@@ -132,7 +143,7 @@ class Parser:
         if got is None:
             got = self.common.get(bare, "")
             if not got:
-                near = [(lcs_ratio(bare, c), c) for c in (*self.firsts, *self.kinds) if abs(len(c) - len(bare)) <= 2 and len(bare) >= 4 and (c[0] == bare[0] or c[-1] == bare[-1])]
+                near = self.near(bare) if len(bare) >= 4 else []
                 if near and max(near)[0] >= 0.82:
                     got = self.common[max(near)[1]]
                 elif t.endswith(".") or len(bare) <= 5:
@@ -249,7 +260,8 @@ def resembling(left: DataFrame, right: DataFrame, least: float, shortest: int, m
                 for key, initial, core in zip(c["key"], c["initial"], c["core"]):
                     core = folded(core) if fold else core
                     for way, s in ((">", core), ("<", core[::-1])):
-                        for i in range(0, max(1, len(s) - shortest + 1)):
+                        first = max(0, len(s) - LONGEST_SUFFIX)  # cores that share a longer suffix share this one too
+                        for i in range(first, max(first + 1, len(s) - shortest + 1)):
                             out["block"].append(f"{'' if fold else initial}{way}{s[i:]}")
                             out["finer"].append(s[:2])
                             out[f"key_{side}"].append(key)

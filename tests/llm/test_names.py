@@ -1,6 +1,7 @@
 """Problem 2."""
 
 import json
+import random
 
 import pytest
 
@@ -51,3 +52,16 @@ def test_aliases_from_records(spark, background):
 def test_empty(spark):
     assert name_pairs(frame(spark, ["x"]).limit(0)).count() == 0
     assert name_pairs(frame(spark, ["a", "a", "very " * 2000 + "long name"])).count() == 0
+    long = "x" * 20_000
+    assert [tuple(r) for r in name_pairs(frame(spark, [f"arvind {long}", f"arvind {long}y", "b"])).collect()] == [(f"arvind {long}", f"arvind {long}y")]
+
+
+def test_ratio_against_the_table_of_lengths():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert lcs_ratio(a, b) == 2 * t[-1][-1] / (len(a) + len(b))
