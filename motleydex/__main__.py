@@ -38,6 +38,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--limit", type=int)
     s = sub.add_parser("embed", help="fill missing vectors of stored items")
     s.add_argument("root")
+    s = sub.add_parser("serve", help="answer requests over stored tables or, with --data, a data folder")
+    s.add_argument("root")
+    s.add_argument("--data", action="store_true")
+    s.add_argument("--images", default="memes")
+    s.add_argument("--port", type=int, default=3000)
     return p
 
 
@@ -45,24 +50,21 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from .operators import fusion, label_store, maintenance
+    from .api import DataFolder, Service, StoredTables, serve
+    from .operators import label_store, maintenance
     from .operators.embed_job import HashEmbedder, label_cache
     from .operators.labels import StubLabeler
-    from .plans import catalog
     from .sources import files, items
-    from .sources.schema import SearchRequest
 
     spark = spark or SparkSession.builder.appName("motleydex").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     e = HashEmbedder()
     if a.command == "search":
-        vectors = items.vector_versions(spark, a.data)
-        texts = maintenance.build_search_texts(items.versions(spark, a.data, ["id", *catalog.TEXTS]))
-        request = SearchRequest(a.query, a.language, a.region, a.emotion, a.limit, not a.no_rerank)
-        out = fusion.search(vectors, texts, items.table(spark, a.data, "meme_people"), catalog.shown(spark, a.data, catalog.DISPLAY), e.embed([a.query])[0].tolist(), request)
-        rows = [json.loads(r) for r in out.orderBy("rank").toJSON().collect()]
-        print(json.dumps({"memes": rows, "query": a.query, "total_results": rows[0]["total_results"] if rows else 0}, ensure_ascii=False, indent=2))
+        body = {k: v for k, v in {"query": a.query, "language": a.language, "region": a.region, "emotion": a.emotion, "limit": a.limit, "rerank": not a.no_rerank}.items() if v is not None}
+        print(json.dumps(Service(spark, DataFolder(spark, a.data)).search(body), ensure_ascii=False, indent=2))
     elif a.command == "stats":
-        print(catalog.queries()["stats_single_row"](spark, a.data).toJSON().first())
+        print(json.dumps(Service(spark, DataFolder(spark, a.data)).stats()))
+    elif a.command == "serve":
+        serve(Service(spark, (DataFolder if a.data else StoredTables)(spark, a.root), a.images), a.port).serve_forever()
     elif a.command == "export":
         n = files.write_labels_file(maintenance.export_labels(items.items(spark, a.data, list(maintenance.EXPORTED), raw=True), a.prefix), a.output)
         print(f"Exported {n} labels to {a.output}")
