@@ -130,3 +130,19 @@ def natural_key(name: Column) -> Column:
     """Sorts names by their numbers' values and without case: digit runs are padded to 20 places."""
     padded = F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x))
     return F.array_join(padded, "")
+
+
+def iso_time(c: Column) -> Column:
+    """A time stamp as ISO text in UTC with milliseconds."""
+    return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def mime(path: Column) -> Column:
+    """The media type of an image by its name."""
+    low = F.lower(path)
+    return F.when(low.endswith(".png"), "image/png").when(low.endswith(".webp"), "image/webp").otherwise("image/jpeg")
+
+
+def data_url(path: Column, content: Column) -> Column:
+    """An image as a data URL."""
+    return F.concat(F.lit("data:"), mime(path), F.lit(";base64,"), F.regexp_replace(F.base64(content), "\\s", ""))

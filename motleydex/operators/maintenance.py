@@ -42,11 +42,20 @@ EXPORTED = ("id", "image_path", "primary_language", "supported_languages", "capt
 
 
 def export_labels(items: DataFrame, path_prefix: str | None = None) -> DataFrame:
-    """The rows of a label file from stored items (JSON text): labelled ones, of a path prefix if given."""
+    """The rows of a label file from stored items (JSON text): labelled ones, of a path prefix if given.
+
+    Only a missing list of languages becomes the empty list; other missing or unreadable values are null.
+    """
     rows = items.filter(F.col("labeled_at").isNotNull())
     if path_prefix and path_prefix.strip():
         rows = rows.filter(like_prefix(path_prefix.strip()))
-    value = lambda c: parsed(c) if c == "supported_languages" else F.when(F.col(c).isNotNull() & (F.col(c) != ""), parsed(c)) if c in NESTED else F.coalesce(F.col(c), F.lit(False)) if c == "reviewed" else F.col(c)
+
+    def value(c: str) -> Column:
+        if c not in NESTED:
+            return F.coalesce(F.col(c), F.lit(False)) if c == "reviewed" else F.col(c)
+        given = F.when(F.col(c) != "", parsed(c) if c == "intent" else F.from_json(c, NESTED[c]))  # the literal null stays null
+        return F.when(F.col(c).isNull() | (F.col(c) == ""), F.expr("cast(array() as array<string>)")).otherwise(given) if c == "supported_languages" else given
+
     return rows.select(*[value(c).alias(c) for c in EXPORTED])
 
 

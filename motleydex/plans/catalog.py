@@ -15,6 +15,7 @@ from ..sources import files
 from ..sources.items import Items, aspect_vectors, items, usable, vector_versions, versions
 from ..sources.schema import SearchOptions, SearchRequest
 from ..sources.tables import table
+from ..streaming import ingest
 
 QUERY_TEXT = "exam result"
 QUERY_AT = 3
@@ -333,11 +334,54 @@ def migrate_columns(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.migrate_items(old).select("id", "ocr_text", "people", "source", "scene_description")
 
 
+def pk_multi_get(spark: SparkSession, d: str) -> DataFrame:
+    """Full rows of given ids, with the fallbacks for missing values: those divisible by 50."""
+    ids = table(spark, d, "memes").select("id").filter(numbered() % 50 == 0)
+    return result_rows(shown(spark, d, DISPLAY).among(ids))
+
+
+def result_rows(df: DataFrame) -> DataFrame:
+    """The columns of a result, empty values for null ones."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return df.select("id", "image_path", "primary_language", *[flat(c).alias(c) for c in ("supported_languages", "emotion", "regions", "people")], F.to_json("intent").alias("intent"), F.coalesce("popularity_score", F.lit(0)).alias("popularity_score"), text("source"), text("scene_description"))
+
+
+def result_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return result_rows(items(spark, d, DISPLAY))
+
+
+def shown_captions(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d, ["id", "caption"]).select("id", fx.shown_caption().alias("caption"))
+
+
+def vector_stats(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.vector_stats(aspect_vectors(spark, d), 64)
+
+
+def media_and_time(spark: SparkSession, d: str) -> DataFrame:
+    live = items(spark, d, ["id", "image_path", "labeled_at"])
+    return live.select("id", fx.mime(F.col("image_path")).alias("mime"), fx.iso_time(F.col("labeled_at")).alias("labeled_at"))
+
+
+def clamp_boxes(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 90).cast("int").alias("x"), (F.col("p_size") % 60).cast("int").alias("y"), F.col("p_size").cast("int").alias("w"), (F.col("p_partkey") % 70).cast("int").alias("h"))
+    return p.select("p_partkey", panels.clamped(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(100), F.lit(80)).alias("c")).select("p_partkey", "c.*")
+
+
+def panel_segments(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", panels.segments(F.array((F.col("p_size") * 3).cast("int"), F.lit(40)), F.lit(200)).alias("s"))
+    return p.select("p_partkey", F.posexplode("s").alias("no", "v")).select("p_partkey", "no", F.col("v.start").alias("start"), F.col("v.end").alias("end"))
+
+
+def debounce_events(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.debounced(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "1 hour").select("event_id", "user_id")
+
+
 PLAIN = (
     vec_topk_main, vec_topk_threshold, vec_search_legacy, batch_vec_search, labels_json_topk, zero_norm_cosine, multi_aspect_rankings, rrf_fusion, rrf_double_weight_people, fused_search_filters, rank_boosts,
     search_end_to_end_no_rerank, search_rerank_failed, search_end_to_end_rerank, people_normalise, people_exact, people_index_merge, fts_doc_stats, fts_postings, missing_aspects, fts_backfill_todo, vector_upsert, embed_missing,
     stats_single_row, export_labels, export_prefix, insert_duplicates, random_sample, natural_sort_names, ocr_line_islands, ocr_block_summary, block_position, caption_region, strip_coverage, panel_anchors, golden_cases, crosslingual_cases,
-    recall_at_k, toon_parse, description_text, migrate_columns,
+    recall_at_k, toon_parse, description_text, migrate_columns, pk_multi_get, result_defaults, shown_captions, vector_stats, media_and_time, clamp_boxes, panel_segments, debounce_events,
 )
 MADE = {
     "bm25_single": _bm25("exam"),

@@ -140,7 +140,11 @@ def answer(cross: str, base: str, boost: str, limit: int, source: str = "found")
 
 
 NO_BOOST = "(CASE WHEN list_contains(regions, 'pan_india') THEN 5 ELSE 0 END) + least(coalesce(popularity_score, 0), 50) * 0.2::DOUBLE"
-EXPORT = f"SELECT id, image_path, primary_language, {joined(lst('supported_languages'), ',')} AS languages, {at('caption', 'original')} AS original, (CASE WHEN emotion IS NOT NULL AND emotion <> '' THEN {joined(lst('emotion'), ',')} END) AS emotion, (CASE WHEN regions IS NOT NULL AND regions <> '' THEN {joined(lst('regions'), ',')} END) AS regions, (CASE WHEN json_valid(safety) THEN json_extract(safety, '$.nsfw')::BOOLEAN END) AS nsfw, round((CASE WHEN json_valid(quality) THEN json_extract(quality, '$.label_confidence')::DOUBLE END), 6) AS confidence, coalesce(reviewed, FALSE) AS reviewed FROM live WHERE labeled_at IS NOT NULL"
+def raw_list(c: str) -> str:
+    return f"(CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN from_json({c}, '[\"VARCHAR\"]') END)"
+
+
+EXPORT = f"SELECT id, image_path, primary_language, array_to_string(CASE WHEN supported_languages IS NULL OR supported_languages = '' THEN [] ELSE {raw_list('supported_languages')} END, ',') AS languages, {at('caption', 'original')} AS original, {joined(raw_list('emotion'), ',')} AS emotion, {joined(raw_list('regions'), ',')} AS regions, (CASE WHEN json_valid(safety) THEN json_extract(safety, '$.nsfw')::BOOLEAN END) AS nsfw, round((CASE WHEN json_valid(quality) THEN json_extract(quality, '$.label_confidence')::DOUBLE END), 6) AS confidence, coalesce(reviewed, FALSE) AS reviewed FROM live WHERE labeled_at IS NOT NULL"
 
 
 def _filter(cond: str) -> str:
@@ -166,6 +170,10 @@ def first_of(x: str) -> str:
     return f"list_filter(list_transform(q_{x}, lambda q: {tr('q')}), lambda q: q <> '')[1]"
 
 
+RESULT = f"SELECT id, image_path, primary_language, {joined('langs', ',')} AS supported_languages, {joined('emotion', ',')} AS emotion, {joined('regions', ',')} AS regions, {joined('people', ',')} AS people, to_json(intent)::VARCHAR AS intent, coalesce(popularity_score, 0) AS popularity_score, coalesce(source, '') AS source, coalesce(scene_description, '') AS scene_description FROM item"
+SEGMENTS = "WITH q AS (SELECT p_partkey, [0] || list_sort([p_size * 3, 40]) || [200] AS b FROM part) SELECT p_partkey, no::INT AS no, b[no + 1]::INT AS start, b[no + 2]::INT AS \"end\" FROM q, (VALUES (0), (1), (2)) t(no)"
+
+
 SQL: dict[str, str] = {
     "vec_topk_main": f"WITH {VECTORS} SELECT meme_id, round(s, 6) AS similarity FROM {top('main', 50)}",
     "vec_topk_threshold": f"WITH {LIVE}, {VECTORS} SELECT row_number() OVER (ORDER BY s DESC, meme_id)::INT AS pos, meme_id, round(s, 6) AS similarity FROM {top('main', 200)} WHERE s >= 0.1 AND meme_id IN (SELECT id FROM live)",
@@ -219,5 +227,13 @@ SQL: dict[str, str] = {
     "golden_cases": f"WITH {LIVE}, {ITEM}, s AS ({SAMPLED}) SELECT id, lang, n::INT AS at, {tr('q')} AS query FROM s WHERE {tr('q')} <> ''",
     "crosslingual_cases": f"WITH {LIVE}, {ITEM} SELECT * FROM (SELECT id, coalesce(image_path, id) AS theme, {first_of('english')} AS english, {first_of('hindi')} AS hindi, {first_of('hinglish')} AS hinglish FROM item) WHERE english IS NOT NULL AND hindi IS NOT NULL AND hinglish IS NOT NULL",
     "description_text": "WITH " + LIVE + ", " + ITEM + " SELECT id, " + filled([f"(CASE WHEN length({x}) > 0 THEN '{p}' || {x} ELSE '' END)" if one else f"(CASE WHEN len({x}) > 0 THEN '{p}' || {joined(x)} ELSE '' END)" for p, x, one in (("Scene: ", "scene_description", 1), ("Source: ", "source", 1), ("People: ", "people", 0), ("Meaning: ", "m_english", 1), ("Caption: ", CAPTION, 1), ("Emotion: ", "emotion", 0))], ". ") + " AS description FROM item",
+    "pk_multi_get": f"WITH {LIVE}, {ITEM} {RESULT} WHERE ('0x' || substr(id, 6, 8))::BIGINT % 50 = 0",
+    "result_defaults": f"WITH {LIVE}, {ITEM} {RESULT}",
+    "shown_captions": f"WITH {LIVE}, {ITEM} SELECT id, {CAPTION} AS caption FROM item",
+    "vector_stats": f"WITH {VECTORS} SELECT (SELECT count(*) FROM v_main) AS total_embeddings, (SELECT count(*) FROM v_people) AS embeddings_people, (SELECT count(*) FROM v_context) AS embeddings_context, (SELECT count(*) FROM v_context) AS embeddings_use_case, (SELECT count(*) FROM v_main) * 64 * 4 / (1024 * 1024)::DOUBLE AS memory_mb, TRUE AS ready",
+    "media_and_time": f"WITH {LIVE} SELECT id, CASE WHEN lower(image_path) LIKE '%.png' THEN 'image/png' WHEN lower(image_path) LIKE '%.webp' THEN 'image/webp' ELSE 'image/jpeg' END AS mime, strftime(labeled_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS labeled_at FROM live",
+    "clamp_boxes": "SELECT p_partkey, greatest(x - 6, 0)::INT AS x0, greatest(y - 6, 0)::INT AS y0, least(x + w + 6, 100)::INT AS x1, least(y + h + 6, 80)::INT AS y1 FROM (SELECT p_partkey, p_partkey % 90 AS x, p_size % 60 AS y, p_size AS w, p_partkey % 70 AS h FROM part)",
+    "panel_segments": SEGMENTS,
+    "debounce_events": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt > ts + INTERVAL 1 HOUR",
     "migrate_columns": f"WITH {LIVE} SELECT id, '' AS ocr_text, '[]' AS people, source, '' AS scene_description FROM live",
 }

@@ -41,5 +41,6 @@ def debounced(events: DataFrame, key: str, time: str, gap: str = "400 millisecon
     """Of a burst of events only the last: those after which ``gap`` passes without another of the same key. For batches."""
     from pyspark.sql import Window
 
-    following = F.lead(time).over(Window.partitionBy(key).orderBy(time))
+    ties = [c for c in events.columns if c not in (key, time)]
+    following = F.lead(time).over(Window.partitionBy(key).orderBy(time, *ties))
     return events.withColumn("_next", following).filter(F.col("_next").isNull() | (F.col("_next") > F.col(time) + F.expr(f"interval {gap}"))).drop("_next")
