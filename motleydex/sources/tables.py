@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -15,17 +16,31 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that none of them needs it installed."""
+    """Sends this package to the executors, once per application, so that none of them needs it installed.
+
+    The archive lies in the shared folder. A cluster without one must have the package installed.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix=f"{root.name}-"), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(f.relative_to(root.parent)))
-    sc.addPyFile(path)  # the driver serves it to executors, also to those that join later
     _SHIPPED.add(sc.applicationId)
+    try:
+        folder = scratch_root(spark)
+    except ValueError:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    path = f"{folder}/{package.name}-{sc.applicationId}.zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(archive.getvalue()))
+    finally:
+        stream.close()
+    sc.addPyFile(path)  # executors fetch it, also those that join later
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
