@@ -42,6 +42,8 @@ SEPARATORS = (" / ", " | ", " \u2022 ", " \u00b7 ", ", ", "; ", ",", ";", " - ",
 WORDS = re.compile("[^\\W\\d_][\\w\\u0300-\\u036f\\u0900-\\u0dff'\u2019\u200c\u200d]*")
 BAR = re.compile(r"(?:^|(?<=\s))\|(?=\s|$)")
 BOX = re.compile(r"\s*[\[(]\s*-?\d+(?:\.\d+)?(?:\s*[,; ]\s*-?\d+(?:\.\d+)?)+\s*[\])]")
+INDIC = re.compile("[\u0900-\u0dff]")
+DATE = re.compile(r"\d/\d")
 GAP = re.compile(r"\S {2,}\S")
 QUOTED = re.compile(r"[\"'][;,][\"']")
 VALUE = re.compile(r"[\"']?-?\d+(?:[.,]\d+)?%?[\"']?")
@@ -145,7 +147,7 @@ def fields(line: str) -> tuple[int, float]:
     """The largest number of short items that one separator cuts a line into, and their mean number of pieces."""
     best = (1, float(len(line.split())))
     for s in SEPARATORS:
-        if line.count(s) >= 2:
+        if line.count(s) >= 2 and not (s == "/" and DATE.search(line)):
             items = [x for x in line.split(s) if x.strip()]
             if len(items) >= 3 and len(items) > best[0]:
                 sizes = [len(x.split()) for x in items]
@@ -160,8 +162,9 @@ def emission(line: str, common: dict[str, float], ws: list[str] | None = None) -
     n = len(pieces)
     ws = words(line) if ws is None else ws
     hits = [common[w] for w in ws if w in common]
+    varied = len({w for w in ws if w in common})
     weight = sum(min(x, 3.0) for x in hits)
-    if n >= 7 and weight >= 5 and 4 * len(hits) >= len(ws) and PLAIN_LINE.fullmatch(line) and not MARKER.match(line):
+    if n >= 7 and weight >= 5 and varied >= 4 and 4 * len(hits) >= len(ws) and PLAIN_LINE.fullmatch(line) and not MARKER.match(line):
         return (0.9 * min(weight, 8.0) + 3.5 + (0.8 if END.search(line) else 0.0), -3.0, -1.0, -0.5), n  # nothing but prose comes into question
     chars = len(line.replace(" ", "")) or 1
     items, _ = fields(line)
@@ -180,7 +183,7 @@ def emission(line: str, common: dict[str, float], ws: list[str] | None = None) -
     marked = bool(mark)
     tabs = line.count("\t")
     bars = len(BAR.findall(line))
-    tiny = n >= 8 and sum(len(p) <= 3 for p in pieces) > 0.9 * n and plain < 0.3 and line.isascii() | ("\ufffd" in line)
+    tiny = n >= 8 and sum(len(p) <= 3 for p in pieces) > 0.9 * n and plain < 0.3 and not INDIC.search(line)
     boxes = bool(BOX.match(line))
     gaps = len(GAP.findall(line)) if "  " in line else 0
     eq = len(PAIR.findall(line)) if "=" in line else 0
@@ -188,11 +191,14 @@ def emission(line: str, common: dict[str, float], ws: list[str] | None = None) -
     digits = sum(1 for p in pieces if DIGIT.search(p)) if DIGIT.search(line) else 0
     keyed = KEYED.match(line) if ":" in line else None
 
-    prose = 0.9 * min(weight, 8.0) + (1.0 if n >= 7 else -0.3) + (0.8 if ends and n >= 4 else 0.0) - 9 * max(0.0, noise - 0.25)
+    itemised = items >= 3 and n > 3 and (plain < 0.25 or varied <= 2)  # articles in items do not make a sentence
+    if itemised and varied <= 2:
+        weight = min(weight, 2.0 * varied)
+    prose = (-4.0 if itemised and varied <= 2 else 0.0) + 0.9 * min(weight, 8.0) + (1.0 if n >= 7 else -0.3) + (0.8 if ends and n >= 4 else 0.0) - 9 * max(0.0, noise - 0.25)
     prose += 2.5 if n >= 7 and plain >= 0.25 else 0.0
     prose -= 2.5 if n >= 7 and plain < 0.1 and letters > 0.5 else 0.0
-    lst = (4.0 if marked else 0.0) + (2.2 if n <= 5 else 0.6 if n <= 7 else -1.5) - 0.8 * min(weight, 6.0) * (n > 4) - 0.5 * min(weight, 4.0) * (n <= 4) - 8 * max(0.0, noise - 0.3 - (0.4 if marked else 0.0))
-    lst += 4.5 + 0.2 * min(items, 10) if items >= 3 and plain < 0.25 and n > 3 else 0.0
+    lst = (4.0 if marked else 0.0) + (2.2 if n <= 5 else 0.6 if n <= 7 else -1.5) - 0.8 * min(weight, 6.0) * (n > 4 and not itemised) - 0.5 * min(weight, 4.0) * (n <= 4) - 8 * max(0.0, noise - 0.3 - (0.4 if marked else 0.0))
+    lst += 4.5 + 0.2 * min(items, 10) if itemised else 0.0
     cells = max(tabs, bars - 1 if bars >= 2 else 0, quoted, eq if eq >= 2 else 0, gaps if gaps >= 2 else 0)
     table = -1.0 + (4.5 + 0.7 * min(cells, 5) if cells >= 1 else 0.0) + (1.5 if digits and cells else 0.0) - 6 * max(0.0, noise - 0.5)
     if items >= 3 and digits >= 1 and any(VALUE.fullmatch(x.strip()) for x in re.split(r"[,;|\t]", line)):

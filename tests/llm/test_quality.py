@@ -16,6 +16,10 @@ CASES = [
     ("→ lamp\n→ red chair\n→ kite", "list"),
     ("lamp, red chair, kite, hall, blue tunnel", "list"),
     ("spoon / red ladder / basket / tree", "list"),
+    ("the spoon; the red ladder; the basket; the tree; the salary", "list"),
+    ("the spoon · the red ladder · a basket · the tree · the salary · a kite", "list"),
+    ("Years later the driver saw it because nobody\nhad told him about it\non 2/2/2015 at 9:12 in the tunnel.", "prose"),
+    ("0O Il| '. 5S l1 ii1 ;: -- 0O \U0001d4b3 5S l1 ~ 5S cl", "junk"),
     (TABLE, "table"),
     ("a | b | c\n--- | --- | ---\nx | 1 | 2\ny | 3 | 4", "table"),
     ('"a";"1";"0.5"\r\n"b";"2";"0.7"', "table"),
