@@ -102,10 +102,10 @@ def forest_plan(rows: int, same_bit: float = 0.872, miss: float = 0.02) -> tuple
     """
     run = min(262_144, max(24_576, rows // 16))
     together = same_bit ** max(0.0, math.log2(max(1, rows) / run))
-    return run, max(4, math.ceil(math.log(miss) / math.log(1 - together)) if together < 1 else 0)
+    return run, max(6, math.ceil(math.log(miss) / math.log(1 - together)) if together < 1 else 0)
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64, branches: int = 14, window: int = 96, seed: int = 11, run_rows: int | None = None, trees: int | None = None, most_tasks: int = 100_000) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64, branches: int = 11, window: int = 96, seed: int = 11, run_rows: int | None = None, trees: int | None = None, most_tasks: int = 100_000) -> DataFrame:
     """(aspect, id, neighbour, cosine, rank): up to k most similar vectors of every vector, of at least ``least``.
 
     ``vectors`` has ``aspect, meme_id, embedding, created_at``. ``run_rows`` and ``trees`` follow from their number

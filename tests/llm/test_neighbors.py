@@ -53,6 +53,6 @@ def test_a_large_group_of_copies_stays_linear(spark):
 
 
 def test_plan():
-    assert forest_plan(0) == forest_plan(100_000) == (24_576, 4)
+    assert forest_plan(0) == forest_plan(100_000) == (24_576, 6)
     run, trees = forest_plan(100_000_000)
-    assert run == 262_144 and 4 < trees < 20
+    assert run == 262_144 and 6 < trees < 20
