@@ -6,7 +6,7 @@ It is fitted on a bounded sample of labelled rows, ``train_rows`` by default 3,0
 (those with the smallest hashes of id): their translations, whose language is the
 key, and the parts of their captions under the record's label. Labels are partly
 wrong, so texts whose label the first fit contradicts are left out of a second fit.
-The matrix of log-probabilities (buckets x languages, 1.4 MB, fixed) is broadcast
+The matrix of log-probabilities (buckets x languages, 0.7 MB, fixed) is broadcast
 and batches of parts are scored at once in numpy.
 
 Everything else covers all rows: one pass scores every part of every record where
