@@ -13,9 +13,11 @@ run from vectors held as 16-bit fractions (error of a cosine about 1e-5).
 
 ``forest_plan`` gives the length of runs and the number of trees for a number of vectors: longer runs first, then
 more trees, so that two vectors with a cosine of 0.92 are parted by the ends of runs in all trees in at most
-2 % of cases. Cost is linear in the number of vectors for a fixed forest. Exact copies need no
-special handling: a group of copies is a stretch of the sorted arrays, and each of
-its members keeps only its k best neighbours before anything is shuffled.
+2 % of cases. Cost is linear in the number of vectors for a fixed forest. Vectors with the same
+16-bit form are one class, told by a 128-bit hash; only the member with the smallest id enters the
+forest. A class is among the k best of another only if its smallest member is, so the k best classes, each
+with its k smallest ids, and the k + 1 smallest ids of the own class hold the k best rows of every
+member, ties included; a group of copies costs k rows a member however large it is.
 
 Defined cases: vectors that are null, of another length, zero or not finite, and
 rows without id, are left out; of several rows of an id the latest counts (null is
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import persist_table
 from .common import age, newest
 
 SCALE = 32767.0
@@ -85,9 +88,9 @@ def run_pairs(v: np.ndarray, seed: int, branches: int, window: int, least: float
 
 
 def best(i: np.ndarray, j: np.ndarray, cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best partners of each end of the pairs."""
+    """The k best partners of each end of the pairs; cosines that agree in five digits are ties."""
     a, b, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([cos, cos])
-    order = np.lexsort((ids[b], -c, a)) if len(a) else np.zeros(0, np.int64)
+    order = np.lexsort((ids[b], -np.round(c, 5), a)) if len(a) else np.zeros(0, np.int64)
     a, b, c = a[order], b[order], c[order]
     start = np.searchsorted(a, a, side="left")
     keep = np.arange(len(a)) - start < k
@@ -127,6 +130,11 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: in
 
     packed = vectors.filter("meme_id is not null").select("aspect", "meme_id", age("created_at").alias("stamp"), "embedding").mapInArrow(pack, "aspect string, meme_id string, stamp timestamp_ntz, v binary")
     live = newest(packed, ["aspect", "meme_id"], "stamp", ["v"])
+    # copies: (aspect, meme_id, rep) of all members of classes of several; only (id, hash) is moved to find them
+    hashed = live.select("aspect", "meme_id", F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y"))
+    shared = hashed.groupBy("aspect", "x", "y").agg(F.min("meme_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = persist_table(hashed.join(shared, ["aspect", "x", "y"]).select("aspect", "meme_id", "rep"), "copies")
+    alone = live.join(copies.filter("meme_id <> rep"), ["aspect", "meme_id"], "left_anti")
 
     def strung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +143,7 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: in
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), b.column("aspect"), pa.array(s[:, t]), b.column("meme_id"), b.column("v")], ["tree", "aspect", "prefix", "meme_id", "v"])
 
-    forest = live.mapInArrow(strung, "tree int, aspect string, prefix long, meme_id string, v binary").repartitionByRange(tasks, "tree", "aspect", "prefix")
+    forest = alone.mapInArrow(strung, "tree int, aspect string, prefix long, meme_id string, v binary").repartitionByRange(tasks, "tree", "aspect", "prefix")
     if tasks < runs:
         forest = forest.sortWithinPartitions("tree", "aspect", "prefix")
 
@@ -165,7 +173,18 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: in
     # one exchange on (aspect, id) serves the removal of repeats and the ranking
     once = met.repartition("aspect", "id").groupBy("aspect", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("aspect", "id").orderBy(F.desc(F.round("cosine", 5)), "neighbour")
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
+    # from classes to members: the first ids of a class stand for it as a neighbour, then each member leaves itself out
+    order = Window.partitionBy("aspect", "rep").orderBy("meme_id")
+    first = copies.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy("aspect", "rep").agg(F.array_sort(F.collect_list("meme_id")).alias("ids"))
+    others = near.join(first.select("aspect", F.col("rep").alias("neighbour"), "ids"), ["aspect", "neighbour"], "left")
+    others = others.select("aspect", "id", "cosine", F.explode(F.slice(F.coalesce("ids", F.array("neighbour")), 1, k)).alias("neighbour"))
+    own = first.select("aspect", F.col("rep").alias("id"), F.lit(1.0).alias("cosine"), F.explode("ids").alias("neighbour"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.round("cosine", 5)).alias("key"), "neighbour", "cosine")))
+    lists = others.unionByName(own).groupBy("aspect", "id").agg(F.slice(ranked, 1, k + 1).alias("best"))
+    members = lists.join(copies.select("aspect", F.col("rep").alias("id"), "meme_id"), ["aspect", "id"], "left").select("aspect", F.coalesce("meme_id", "id").alias("id"), "best")
+    kept = members.select("aspect", "id", F.posexplode(F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("pos", "b"))
+    return kept.select("aspect", "id", "b.neighbour", "b.cosine", (F.col("pos") + 1).alias("rank"))
 
 
 def similar_pairs(vectors: DataFrame, **options) -> DataFrame:

@@ -52,6 +52,31 @@ def test_a_large_group_of_copies_stays_linear(spark):
     assert got.count() == 10_000 and got.selectExpr("max(rank)").first()[0] == 5
 
 
+def test_members_of_a_large_group_get_the_smallest_ids(spark):
+    rng = np.random.default_rng(4)
+    one, near = (np.array([1.0] + [0.0] * 62 + [x]) for x in (0.0, 0.3))
+    ids = [f"{i:05}" for i in rng.permutation(4000)]
+    v = [one if i < 3000 else near if i < 3900 else rng.standard_normal(64) for i in range(4000)]
+    rows = [("main", i, (x * rng.uniform(1, 2) if n > 3990 else x).tolist(), None, 1, "x") for n, (i, x) in enumerate(zip(ids, v))]
+    got = {}
+    for r in similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.id, {})[r.rank] = r.neighbour
+    for members in (ids[:3000], ids[3000:3900]):
+        least = sorted(members)[:6]
+        for i in members:
+            assert [got[i][r] for r in range(1, 6)] == [x for x in least if x != i][:5]
+
+
+def test_copies_of_a_neighbour_are_taken_by_id(spark):
+    one, near = [1.0] + [0.0] * 63, [1.0, 0.1] + [0.0] * 62
+    rows = [("main", i, one, None, 1, "x") for i in ("b", "d")] + [("main", i, near, None, 1, "x") for i in ("a", "c", "e", "f", "g", "h", "i")]
+    got = {i: [] for i in "abcdefghi"}
+    for r in sorted(similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r["rank"]):
+        got[r.id].append(r.neighbour)
+    assert got["b"] == ["d", "a", "c", "e", "f"] and got["d"] == ["b", "a", "c", "e", "f"]
+    assert got["a"] == ["c", "e", "f", "g", "h"] and got["i"] == ["a", "c", "e", "f", "g"]
+
+
 def test_plan():
     assert forest_plan(0) == forest_plan(100_000) == (24_576, 6)
     run, trees = forest_plan(100_000_000)
