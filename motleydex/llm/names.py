@@ -3,7 +3,8 @@
 Each distinct name is cleaned (honorifics, roles, legal forms), put into Latin letters
 and split into a core, the rarest long part (a surname, or what names an organisation),
 and the first name's initial. Common parts, first names and kinds of organisation,
-are those that stand beside parts of many different initials, learned from all names.
+are those that stand beside parts of more different initials than their partners do, learned from
+all names; a part at the back whose partners are first names is a surname, however common.
 
 Cores that may be spellings of one another come from suffix blocking: every suffix of
 at least ``shortest`` letters of a core, read forwards and backwards, is indexed together with
@@ -175,6 +176,9 @@ class Parser:
         kinds = [self.kind(t) for t in ts]
         bare = [t.strip(".") for t in ts]
         rare = [t for t, k in zip(bare, kinds) if k == ""]
+        if len(ts) == 2 and sorted(kinds) in (["F", "O"], ["I", "O"]):  # no part is rare: a person whose surname is common
+            at = kinds.index("O")
+            return bare[1 - at][0], bare[at]
         core = max(rare, key=len) if rare else max((t for t, k in zip(bare, kinds) if k != "O"), key=len, default=bare[0])
         others = [(t, k) for t, k in zip(bare, kinds) if t != core]
         if any(k == "O" for _, k in others):
@@ -200,8 +204,12 @@ class Parser:
 
 
 def common_parts(names: DataFrame, least_initials: int = 5, most_parts: int = 20_000) -> dict[str, str]:
-    """The parts that stand beside parts of at least ``least_initials`` different initials, at the front (F) or the back (O) of names.
+    """The common parts of names, at the front (F) or the back (O).
 
+    A part is more varied than its partners if it has three or more, of two or more initials, and two thirds of its
+    rows are beside parts with fewer initials; that does not depend on the size of the table. F also are parts with
+    ``least_initials`` at the front. O are only those whose partners, by rows,
+    are not mostly first names (at the front, and varied or of four initials): others are surnames.
     At most the ``most_parts`` most varied ones are broadcast; the others count as rare.
     """
 
@@ -216,7 +224,7 @@ def common_parts(names: DataFrame, least_initials: int = 5, most_parts: int = 20
                             for j, u in enumerate(ts):
                                 if i != j and len(u) >= 6:
                                     part.append(t)
-                                    other.append(u[0])
+                                    other.append(u)
                                     front.append(k if i == 0 else 0)
                                     n.append(k)
             return {"part": part, "other": other, "front": front, "n": n}
@@ -224,9 +232,19 @@ def common_parts(names: DataFrame, least_initials: int = 5, most_parts: int = 20
         return step
 
     seen = map_batches(names, make, "part string, other string, front long, n long")
-    found = seen.groupBy("part", "other").agg(F.sum("front").alias("front"), F.sum("n").alias("n")).groupBy("part").agg(F.count("*").alias("initials"), F.sum("front").alias("front"), F.sum("n").alias("n"))
-    rows = found.filter(F.col("initials") >= least_initials).orderBy(F.desc("initials"), "part").limit(most_parts).collect()
-    return {r.part: "F" if 2 * r.front >= r.n else "O" for r in rows}
+    beside = persist_table(seen.groupBy("part", "other").agg(F.sum("front").alias("front"), F.sum("n").alias("n")), "name-parts")
+    found = beside.groupBy("part").agg(F.countDistinct(F.substring("other", 1, 1)).alias("initials"), F.count("*").alias("partners"), F.sum("front").alias("front"), F.sum("n").alias("n"))
+    found = persist_table(found.filter("initials >= 2 and partners >= 3"), "name-kinds")
+    partner = found.select(F.col("part").alias("other"), F.col("initials").alias("its"))
+    edges = beside.select("part", "other", F.col("n").alias("k")).join(partner, "other", "left").join(found.select("part", "initials"), "part")
+    weaker = edges.groupBy("part").agg(F.sum(F.when(F.coalesce("its", F.lit(0)) < F.col("initials"), F.col("k")).otherwise(0)).alias("above"))
+    judged = found.join(weaker, "part", "left").selectExpr("part", "initials", "2 * front >= n as first", "3 * coalesce(above, 0) >= 2 * n as varied", "n")
+    firsts = judged.filter("first and (varied or initials >= 4)").select(F.col("part").alias("other"))  # what names an organisation has few kinds beside it
+    given = beside.join(firsts, "other", "left_semi").groupBy("part").agg(F.sum("n").alias("given"))
+    judged = judged.filter((F.col("first") & (F.col("initials") >= least_initials)) | F.col("varied"))
+    common = judged.join(given, "part", "left").filter("first or 2 * coalesce(given, 0) <= n")
+    rows = common.orderBy(F.desc("initials"), "part").limit(most_parts).collect()
+    return {r.part: "F" if r["first"] else "O" for r in rows}
 
 
 def stated_aliases(memes: DataFrame) -> DataFrame:

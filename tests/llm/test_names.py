@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from motleydex.llm.names import latin, lcs_ratio, name_pairs, tokens
+from motleydex.llm.names import Parser, common_parts, latin, lcs_ratio, name_pairs, tokens
 
 SURNAMES = ["tipanusopu", "takejiteku", "kobipoleju", "dobatevile", "kururumupe", "siparomojo", "lakesibote", "mobikemusa"]
 FIRSTS = ["arvind", "gurleen", "lakshman", "nandini", "devika"]
@@ -43,6 +43,22 @@ def test_spellings_of_one_person(spark, background):
     assert not any(x in p for p in got - expected for x in [*variants, "gurleen nabitodesa"])
 
 
+def test_kinds_of_organisation_in_a_small_table(spark, background):
+    clubs = [f"{x} {k}" for x in ("pakijukore", "tolimesaru", "topumisake") for k in ("club", "broadcasting")]
+    names = frame(spark, background + clubs * 2).groupBy("person_name").count().withColumnRenamed("count", "n")
+    common = common_parts(names)
+    assert {t for t, k in common.items() if k == "O"} == {"club", "broadcasting"} and {t for t, k in common.items() if k == "F"} == set(FIRSTS)
+    assert Parser(common).parse("pakijukore broadcasting") == ("#", "pakijukore")
+
+
+def test_common_surnames_stay_in_the_key(spark):
+    firsts = [*FIRSTS, "bhaskar", "chitra", "yamini", "rajat"]
+    got = groups(name_pairs(frame(spark, [f"{f} {s}" for f in firsts for s in SURNAMES[:6]] + ["a. tipanusopu"])))
+    assert got == {("a. tipanusopu", "arvind tipanusopu")}
+    parser = Parser({"arvind": "F", "tipanusopu": "O"})
+    assert parser.parse("arvind tipanusopu") == parser.parse("a. tipanusopu") == ("a", "tipanusopu")
+
+
 def test_aliases_from_records(spark, background):
     memes = spark.createDataFrame([(json.dumps(["Arvind Vesukoremi (AVX - वेसुकोरेमि)"]), 1), (None, 1), ("[", 1), ("null", 1)], "people string, initial int")
     got = groups(name_pairs(frame(spark, [*background, "arvind vesukoremi", "avx"]), memes))
