@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -73,20 +74,30 @@ def search(vectors: DataFrame, items: Items | DataFrame, query: list[float], opt
 def nearest_for_queries(vectors: DataFrame, queries: DataFrame, k: int | str) -> DataFrame:
     """(query_id, meme_id, similarity, pos): the k nearest vectors of each query (query_id, vector[, k]).
 
-    The queries, at most ``MOST_QUERIES``, are broadcast; each task multiplies its batches of
-    vectors with them and keeps its best k per query, so what is shuffled does not
+    The queries are broadcast in blocks of ``MOST_QUERIES``, each a pass over the vectors; each task multiplies its
+    batches of vectors with them and keeps its best k per query, so what is shuffled does not
     grow with the vectors but with tasks x queries x k.
     """
-    rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one batch")
+    kind = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
+    blocks, rows = [], []
+    for r in queries.toLocalIterator():
+        rows.append(r)
+        if len(rows) == MOST_QUERIES:
+            blocks.append(_nearest_for_block(vectors, rows, kind, k))
+            rows = []
+    if rows or not blocks:
+        blocks.append(_nearest_for_block(vectors, rows, kind, k))
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _nearest_for_block(vectors: DataFrame, rows: list, kind: str, k: int | str) -> DataFrame:
+    """nearest_for_queries() for one block of queries."""
     spark = vectors.sparkSession
     ids = [r["query_id"] for r in rows]
     most = [int(r[k]) if isinstance(k, str) else k for r in rows]
     matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["vector"]) if rows else 0)
     norms = np.linalg.norm(matrix, axis=1)
     shared = spark.sparkContext.broadcast((ids, most, matrix, norms))
-    kind = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
 
     def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, kk, q, qn = shared.value

@@ -107,3 +107,14 @@ def test_batch_and_analysis_checks():
             batch_queries(bad)
     with pytest.raises(ValueError):
         QueryAnalysis("hindi", regions=("a", "b", "c"))
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    from motleydex.operators import vector_search
+
+    vectors = spark.createDataFrame([(f"m{i}", [float(i), 1.0]) for i in range(6)], "meme_id string, embedding array<float>")
+    queries = spark.createDataFrame([(f"q{i}", [float(i), 1.0], 1 + i % 2) for i in range(5)], "query_id string, vector array<float>, k int")
+    whole = {k: sorted(map(tuple, vector_search.nearest_for_queries(vectors, queries, k).collect())) for k in (2, "k")}
+    monkeypatch.setattr(vector_search, "MOST_QUERIES", 2)
+    for k, rows in whole.items():
+        assert sorted(map(tuple, vector_search.nearest_for_queries(vectors, queries, k).collect())) == rows and rows
