@@ -3,10 +3,10 @@
 Values are first made distinct, then normalised (look-alikes, case, separators and
 punctuation removed). An inverted index from letter pairs (adjacent or one apart,
 with marks for both ends) to the names of the list, entries and aliases, retrieves
-candidates; the score is the cosine of pair vectors weighted by rarity. The best
-entry is accepted if its score reaches ``least``, no other entry of that kind comes
-within ``margin``, and an exact check agrees: a bounded number of single edits
-(neighbouring letters swapped count as one) turns the value into the name.
+candidates whose cosine of pair vectors weighted by rarity reaches ``least`` and that
+a bounded number of single edits (neighbouring letters swapped count as one) turns into the
+value. The fewest edits decide; the cosine breaks ties, and none is taken if another
+entry with as many edits comes within ``margin``.
 
 Defined cases: null and blank values are no values; lists may be JSON arrays, single
 JSON strings, null or unreadable (then without values); a value that is nothing but
