@@ -4,7 +4,7 @@ from datetime import datetime
 
 import numpy as np
 
-from motleydex.llm.neighbors import forest_plan, similar_pairs, similar_vectors
+from motleydex.llm.neighbors import ascend, branch_strings, common_prefix, forest_plan, meeting, run_pairs, similar_pairs, similar_vectors
 
 SCHEMA = "aspect string, meme_id string, embedding array<float>, created_at timestamp_ntz, v int, tree string"
 
@@ -77,7 +77,49 @@ def test_copies_of_a_neighbour_are_taken_by_id(spark):
     assert got["a"] == ["c", "e", "f", "g", "h"] and got["i"] == ["a", "c", "e", "f", "g"]
 
 
-def test_plan():
-    assert forest_plan(0) == forest_plan(100_000) == (24_576, 6)
-    run, trees = forest_plan(100_000_000)
-    assert run == 262_144 and 6 < trees < 20
+def near_pairs(rng, n, cosine, m):
+    """Unit vectors of which the first m and the last m are partners of the given cosine."""
+    v = rng.standard_normal((n, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = rng.standard_normal((m, 64)).astype(np.float32)
+    w -= (w * v[:m]).sum(1, keepdims=True) * v[:m]
+    v[-m:] = cosine * v[:m] + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    return v
+
+
+def test_a_run_of_full_size_finds_pairs_at_the_planned_rate():
+    run, _, _, branches, candidates = forest_plan(27_000_000)
+    assert run == 393_216
+    v = near_pairs(np.random.default_rng(8), run, 0.88, 3000)
+    i, j, cos = run_pairs(v, 5, branches, candidates, 0.85)
+    found = set(zip(i.tolist(), j.tolist()))
+    assert sum((k, run - 3000 + k) in found for k in range(3000)) >= 0.94 * 3000
+    assert (cos >= 0.85 - 1e-6).all() and (i < j).all()
+
+
+def test_ascent_stops_at_the_longest_prefix_with_enough_candidates():
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((300, 64)).astype(np.float32)
+    strings = [branch_strings(v, 3, b) for b in range(4)]
+    orders = np.stack([np.argsort(s) for s in strings]).astype(np.int32)
+    shared = np.stack([common_prefix(s[o]) for s, o in zip(strings, orders)])
+    start, end = ascend(orders, shared, 40)
+    depth = 62
+    for x in range(0, 300, 7):
+        groups = [[sum((int(s[x]) ^ int(y)) >> (depth - length) == 0 for y in s) - 1 for s in strings] for length in range(depth + 1)]
+        stop = max(length for length in range(depth + 1) if sum(groups[length]) >= 40)
+        for b in range(4):
+            at = int(np.flatnonzero(orders[b] == x)[0])
+            assert end[b, at] - start[b, at] - 1 == groups[stop][b]
+            assert all((int(strings[b][x]) ^ int(strings[b][y])) >> (depth - stop) == 0 for y in orders[b][start[b, at] : end[b, at]])
+
+
+def test_plan_counts_both_losses():
+    run, trees, _, branches, candidates = forest_plan(0)
+    assert (run, trees) == forest_plan(100_000)[:2] == (24_576, 3) and candidates == 170 * branches
+    for rows in (1_000_000, 27_000_000, 10**10):
+        run, trees, bits, branches, _ = forest_plan(rows)
+        branch = (1 - np.arccos(0.88) / np.pi) ** np.log2(run / 170)
+        inside = 1 - (1 - branch) ** branches
+        assert inside >= 0.95 and 1 - (1 - inside * meeting(0.88, max(0, bits - 1), 2)) ** trees >= 0.97
+    assert forest_plan(27_000_000)[1] == 4
