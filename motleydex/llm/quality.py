@@ -1,15 +1,20 @@
 """Problem 9: text statistics of documents, and what kind of text they are.
 
-Every line of a document gets statistics (pieces, marks at its start, cells,
-separators, signs, common words, ...) and, from them, a score in each of four
-states: prose, list, table, junk. A hidden Markov model with sticky transitions
-finds the likeliest states of a document's lines (Viterbi); the shares of the
-labels are taken over pieces, what stands between blanks.
+A hidden Markov model labels every line of a document. Its hidden states are ways in which prose, lists, tables and junk
+are written (STATES); a line shows quantised statistics (``lines.FEATURES``: pieces, common words, marks
+at its start, cells, separators, signs, ...), each with a table of probabilities in each state. The likeliest
+states of a document's lines (Viterbi) give their labels; the shares of the labels are taken over pieces, what stands between blanks.
+
+Nothing in the model is set by hand but which lines are clear: a line whose statistics leave no doubt about its state
+(``clear_lines``) is held to it. All other probabilities, of statistics in states, of states after states
+and of first states, are estimated by Baum-Welch from the clear lines and those between them, on a sample of at most about
+``sample_documents`` documents of at most ``sample_lines`` lines, chosen by a hash of their texts; a few example lines of each state
+(EXAMPLES) count once each, so that states absent from the sample are known too. Every document is labelled.
 
 Common words are found in the corpus itself, over all documents: words of a script
 that make up at least ``common_share`` of what clear prose lines of that script
-hold and are rarer in marked list items and short lines. That bounds their number
-(at most 1 / common_share per script); they are broadcast.
+hold and are rarer elsewhere. That bounds their number
+(at most 1 / common_share per script); they are broadcast as 64-bit hashes.
 
 Defined cases: null, empty and blank texts have zero pieces, null ratios and no
 kind; lines end at any of the usual line ends; an empty table gives an empty
@@ -18,271 +23,301 @@ result; long texts and long lines are read whole.
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
-from collections import Counter
-from functools import lru_cache
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import persist_table
 from .common import map_batches
-
-STATES = ("prose", "list", "table", "junk")
-LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-MARKER = re.compile("\\s*(?:#\\d+\\s|[-*+\u2022\u2023\u25aa\u25cf\u25e6\u00b7\u2013\u2014\u2190-\u21ff\u25a0-\u25ff\u2700-\u27bf\u27f6>]\\s|\\(?\\d{1,4}[.)\\]:]\\s|\\(?[a-zA-Z\\u0900-\\u0dff]{1,2}[.)]\\s|\\[[ xX\u2713]?\\]|[\u2610\u2611\u2612\u2713\u2714])")
-END = re.compile("[.!?\u0964\u0965\u2026](?:[\"'\u201d\u2019)\\]]|\\s)*$")
-LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\S+\.(?:com|org|net|example)\b\S*", re.I)
-PAIR = re.compile(r"(?:^|[\s;,|])[\w.-]{1,24}\s?=\s?[^\s;,|=]+")
-KEYED = re.compile("^\\s*[\"']?[\\w\\u0300-\\u036f\\u0900-\\u0dff .-]{1,28}[\"']?\\s*:\\s*(\\S.*)?$")
-BROKEN = re.compile("[\ufffd\u00c0-\u00f6\u00f8-\u00ff\u00a2-\u00bf\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u2018-\u201e\u2020\u2021\u2030\u2039\u203a]")
-SEPARATORS = (" / ", " | ", " \u2022 ", " \u00b7 ", ", ", "; ", ",", ";", " - ", " > ", " + ", "/", " \u2013 ", " & ")
-WORDS = re.compile("[^\\W\\d_][\\w\\u0300-\\u036f\\u0900-\\u0dff'\u2019\u200c\u200d]*")
-BAR = re.compile(r"(?:^|(?<=\s))\|(?=\s|$)")
-BOX = re.compile(r"\s*[\[(]\s*-?\d+(?:\.\d+)?(?:\s*[,; ]\s*-?\d+(?:\.\d+)?)+\s*[\])]")
-INDIC = re.compile("[\u0900-\u0dff]")
-DATE = re.compile(r"\d/\d")
-GAP = re.compile(r"\S {2,}\S")
-QUOTED = re.compile(r"[\"'][;,][\"']")
-VALUE = re.compile(r"[\"']?-?\d+(?:[.,]\d+)?%?[\"']?")
-PLAIN_LINE = re.compile("[^\t=|#@<>~^{}\\[\\]\\\\\ufffd_/&*+\u00a0-\u00ff]+")
-RULE = re.compile(r"[\s|+:=_-]{3,}")
-STRIP = ".,;:!?\"'()[]{}|*#<>=&@~^-_/\\\u0964\u2026\u201c\u201d\u2018\u2019"
-
-
-NOT_LETTERS = re.compile("[^\\w\u0300-\u036f\u0900-\u0dff]+|[\\d_]+")
-NOT_SIGNS = re.compile("[\\w\\s\u0300-\u036f\u0900-\u0dff]+")
-DIGIT = re.compile(r"\d")
-
-
-def letter_count(text: str) -> int:
-    """Letters and their marks."""
-    return len(NOT_LETTERS.sub("", text))
-
-
-@lru_cache(1 << 16)
-def spoken(piece: str) -> bool:
-    """Whether a piece has a letter or a digit."""
-    return any(c.isalnum() for c in piece)
-
-
-@lru_cache(65536)
-def script(ch: str) -> str:
-    return unicodedata.name(ch, "").partition(" ")[0]
-
-
-def words(line: str) -> list[str]:
-    return WORDS.findall(line.lower())
-
-
-def lines(text: str | None) -> list[str]:
-    """The lines of a text that are not blank."""
-    return [x for x in LINE.split(text or "") if x.strip()]
-
-
-@lru_cache(1 << 16)
-def mashed(word: str) -> bool:
-    """Whether a piece cannot be a word: no vowels to speak of, letters mixed with signs or digits, or far too long."""
-    core = word.strip(STRIP)
-    if not core:
-        return False
-    if len(core) > 40 and core.isascii():
-        return True
-    low = core.lower()
-    if not core.isascii():
-        return False
-    letters = [c for c in low if c.isalpha()]
-    if not letters:
-        return False
-    if re.search(r"[a-z][;:|~^<>{}\\][a-z]", low) or (len(core) >= 5 and re.search(r"[a-z]\d+[a-z]", low)):
-        return True
-    if len(letters) >= 4 and sum(c in "aeiouy" for c in letters) < 0.2 * len(letters):
-        return True
-    if re.search(r"[bcdfghjklmnpqrstvwxz]{5}", low) or re.search(r"(.)\1{3}", low):
-        return True
-    return bool(len(core) >= 4 and re.search(r"[a-z][A-Z]", core) and not core[1:].islower() and not core.isupper() and sum(c.isupper() for c in core) > 1)
-
-
-def seed(line: str) -> str:
-    """Whether a line is clearly prose, clearly not, or neither."""
-    pieces = line.split()
-    if MARKER.match(line) or "\t" in line or len(pieces) <= 4:
-        return "other"
-    if len(pieces) >= 6 and not END.search(line) and re.fullmatch("[^\\d;=|/,#@<>{}\\[\\]]+", line):
-        plain = not any(p.isupper() and len(p) > 1 or mashed(p) for p in pieces) and not BROKEN.search(line)
-        return "prose" if plain and len({p.lower() for p in pieces}) > 0.8 * len(pieces) else ""
-    if len(pieces) >= 8 and END.search(line) and not re.search(r"[;=|\t]|https?:", line) and letter_count(line) > 0.7 * len(line):
-        return "prose"
-    return ""
-
-
-def common_words(documents: DataFrame, text: str = "text", common_share: float = 0.0015) -> dict[str, float]:
-    """The common words of prose, by script, with the logarithm of how much more frequent they are there than elsewhere."""
+from .lines import FEATURES, Lines, bins, chunks, measure
+
+KINDS = ("prose", "list", "table", "junk")
+# The hidden states, with the kind that each is a way of writing.
+STATES = {"sentence": 0, "part of a sentence": 0, "marked item": 1, "bare item": 1, "items in a line": 1, "cells": 2, "key and value": 2, "values": 2, "signs": 3, "mash": 3, "links": 3, "broken": 3, "words": 3}
+KIND_OF = np.array(list(STATES.values()))
+EXAMPLES = {
+    "marked item": ("- blue door", "* tea", "1. rain coat", "b) late", "[x] sugar", "• old boots", "→ milk"),
+    "bare item": ("blue door", "tea.", "rain coat", "sugar"),
+    "items in a line": ("blue door, tea, rain coat, sugar, milk", "tea / rain coat / milk / old boots / sugar", "milk; tea; sugar; boots; door"),
+    "cells": ("| tea | 3 | 0.5 |", "tea\t3\t0.5\tcup", '"tea";"3";"0.5"', "name=tea; n=3; p=0.5", "--- | --- | --- | ---", "tea | 3 | 0.5 | cup", "size  3  0.5  cup"),
+    "key and value": ("name: tea", "  size: 3", "price: 0.50", "kind[2]: hot,cold"),
+    "values": ("tea,3,0.5,cup", "milk,17,0.25,jug", "[12, 40, 7, 9] 15 tea"),
+    "signs": ("### <<< &&&", "----", "~~~ !!! ^^", "0O |I -- ;: ~ '.", "rn |I 0O ii1 ;: vv -- l1 ;: cl"),
+    "mash": ("sdkfj wrtkl xcvbn qwrty", "aG8xK2mQ9zRt4LpW7vBn3YcD6fHs1JkE5uTo0iPqA", "fd;gk sl;dfk gh;jk"),
+    "links": ("https://tea.example/cup?id=5", "#tea #milk #sugar4u", "www.tea.example/milk"),
+    "broken": ("Ã©té â€na Â»po à¤lo Ã±i", "�� te� ��mi �"),
+    "words": ("door sugar boots LADDER milk window TABLE spoon kettle", "tea tea tea tea tea tea tea tea tea tea"),
+}
+
+
+@dataclass
+class Model:
+    """Logarithms of the probabilities: of first states, of states after states, and of each statistic's values in each state."""
+
+    first: np.ndarray
+    after: np.ndarray
+    shown: dict[str, np.ndarray]
+
+    def scores(self, values: dict[str, np.ndarray]) -> np.ndarray:
+        """(lines, states): the log-probability of a line's statistics in each state."""
+        n = len(values["pieces"])
+        out = np.zeros((n, len(STATES)))
+        for f, table in self.shown.items():
+            out += table[values[f]]
+        return out
+
+
+@dataclass
+class Words:
+    """The common words by hash, ascending."""
+
+    hashes: np.ndarray
+
+    def values(self, found: Lines) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """All statistics of lines, with those that depend on common words; and the common words of each line."""
+        n = len(found.doc)
+        at = np.minimum(np.searchsorted(self.hashes, found.word_hash), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == found.word_hash if len(self.hashes) else np.zeros(len(found.word_hash), bool)
+        hits = np.bincount(found.word_line[known], minlength=n)
+        words = np.bincount(found.word_line, minlength=n)
+        return found.values | {"hits": bins(hits, (1, 2, 3, 4, 6)), "common": bins(hits / np.maximum(1, words), (0.001, 0.15, 0.3, 0.5))}, hits
+
+
+def plain_lines(v: dict[str, np.ndarray]) -> np.ndarray:
+    """Lines without marks, cells and anything odd in them."""
+    return (v["marker"] == 0) & (v["signs"] == 0) & (v["mash"] == 0) & (v["links"] == 0) & (v["broken"] == 0) & (v["cells"] == 0) & (v["capitals"] == 0)
+
+
+def clear_prose(v: dict[str, np.ndarray]) -> np.ndarray:
+    """Lines that look like sentences without knowing any words: six pieces or more, varied, few commas and digits."""
+    return plain_lines(v) & (v["pieces"] >= 5) & (v["distinct"] >= 1) & (v["item_size"] >= 2) & (v["items"] <= 2) & (v["digits"] <= 1) & (v["tight"] == 0)
+
+
+def clear_lines(v: dict[str, np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """The state of each line that is clear about it, else -1."""
+    state = np.full(len(doc), -1, np.int8)
+    plain = plain_lines(v)
+    number = {s: k for k, s in enumerate(STATES)}
+    quiet = (v["marker"] == 0) & (v["cells"] == 0) & (v["signs"] <= 1) & (v["mash"] <= 1) & (v["links"] <= 1) & (v["broken"] <= 1)
+    short = v["pieces"] <= 3
+    few = v["hits"] <= 1
+    odd = (v["signs"] > 2) | (v["mash"] > 1) | (v["links"] > 1) | (v["broken"] > 1)
+    docs = int(doc.max(initial=-1)) + 1
+    lines = np.bincount(doc, minlength=docs)
+    every = lambda x: (np.bincount(doc, weights=x, minlength=docs) == lines)[doc]
+    mostly = lambda x: (2 * np.bincount(doc, weights=x, minlength=docs) >= lines)[doc]
+    rules = (
+        ("sentence", quiet & (v["pieces"] >= 5) & (v["hits"] >= 3) & (v["common"] >= 2) & (v["item_size"] >= 3) & (v["distinct"] >= 1) & (v["tight"] == 0)),
+        ("part of a sentence", plain & (v["pieces"] >= 2) & (v["pieces"] <= 5) & (v["hits"] >= 2) & (v["common"] >= 3) & (v["key"] == 0) & mostly((v["common"] >= 3) & (v["pieces"] >= 2))),
+        ("marked item", (v["marker"] > 0) & ~odd & (v["pieces"] <= 5) & few & (v["cells"] == 0) & (v["links"] == 0)),
+        ("bare item", plain & short & few & (v["key"] == 0) & (v["tight"] == 0) & every(v["pieces"] <= 4) & mostly(v["hits"] == 0) & (lines >= 4)[doc]),
+        ("items in a line", ~odd & (v["items"] >= 3) & (v["item_size"] <= 2) & (v["cells"] == 0) & (v["digits"] == 0) & (v["marker"] == 0) & (v["common"] <= 2) & (v["tight"] == 0) & (v["pieces"] >= 4)),
+        ("cells", (v["cells"] >= 2) & ~((v["signs"] > 3) & (v["cells"] < 3))),
+        ("key and value", (v["key"] > 0) & short & few & (v["marker"] == 0) & ~odd & (v["cells"] == 0) & mostly((v["key"] > 0) & (v["pieces"] <= 4))),
+        ("values", (v["tight"] >= 3) & (v["digits"] > 0) & (v["pieces"] <= 4) & (v["cells"] == 0)),
+        ("values", (v["first"] == 4) & (v["digits"] >= 3) & (v["items"] >= 2) & (v["cells"] == 0)),
+        ("signs", (v["signs"] == 4) & (v["cells"] == 0)),
+        ("mash", (v["mash"] >= 3) & (v["cells"] == 0)),
+        ("links", (v["links"] == 4) & (v["cells"] == 0)),
+        ("broken", (v["broken"] >= 3) & (v["cells"] == 0)),
+        ("words", (v["marker"] == 0) & (v["pieces"] >= 5) & (v["hits"] == 0) & (v["items"] == 0) & (v["cells"] == 0) & (v["digits"] == 0) & (v["end"] == 0) & ~odd & (v["signs"] == 0) & (v["key"] == 0)),
+        ("words", (v["distinct"] == 0) & (v["pieces"] >= 6) & (v["items"] == 0) & (v["cells"] == 0) & ~odd),
+    )
+    seen = np.zeros(len(doc), np.int64)
+    for name, where in rules:
+        seen += where & (state != number[name])
+        state[where] = number[name]
+    state[seen > 1] = -1  # clear about two states is not clear
+    return state
+
+
+def steps(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents that have lines, longest first: where their lines begin, and how many there are."""
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[begin, len(doc)])
+    order = np.argsort(-size, kind="stable")
+    return begin[order], size[order]
+
+
+def likeliest(model: Model, scores: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The likeliest states of all lines (Viterbi), all documents abreast."""
+    begin, size = steps(doc)
+    if not len(begin):
+        return np.zeros(0, np.int8)
+    came = np.zeros(scores.shape, np.int8)
+    best = np.empty((len(begin), scores.shape[1]))
+    best[:] = model.first + scores[begin]
+    for t in range(1, int(size[0])):
+        k = int(np.searchsorted(-size, -t, "left"))  # documents longer than t lines
+        ways = best[:k, :, None] + model.after
+        came[begin[:k] + t] = ways.argmax(axis=1)
+        best[:k] = ways.max(axis=1) + scores[begin[:k] + t]
+    state = np.empty(len(doc), np.int8)
+    now = best.argmax(axis=1)
+    for t in range(int(size[0]) - 1, -1, -1):
+        k = int(np.searchsorted(-size, -t, "left"))
+        state[begin[:k] + t] = now[:k]
+        now[:k] = came[begin[:k] + t, now[:k]]
+    return state
+
+
+def expected(model: Model, scores: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line the probability of its states (forward and backward), and the expected numbers of first states and of states after states."""
+    begin, size = steps(doc)
+    shown = np.exp(scores - scores.max(axis=1, keepdims=True))
+    after = np.exp(model.after)
+    forward, backward = np.empty(scores.shape), np.ones(scores.shape)
+    forward[begin] = np.exp(model.first) * shown[begin]
+    forward[begin] /= forward[begin].sum(axis=1, keepdims=True)
+    for t in range(1, int(size[0])):
+        at = begin[: int(np.searchsorted(-size, -t, "left"))] + t
+        x = (forward[at - 1] @ after) * shown[at]
+        forward[at] = x / x.sum(axis=1, keepdims=True)
+    moves = np.zeros(after.shape)
+    for t in range(int(size[0]) - 1, 0, -1):
+        at = begin[: int(np.searchsorted(-size, -t, "left"))] + t
+        x = shown[at] * backward[at]
+        y = x @ after.T
+        total = (forward[at - 1] * y).sum(axis=1, keepdims=True)
+        moves += after * ((forward[at - 1] / total).T @ x)
+        backward[at - 1] = y / y.sum(axis=1, keepdims=True)
+    held = forward * backward
+    held /= held.sum(axis=1, keepdims=True)
+    return held, held[begin].sum(axis=0), moves
+
+
+def fit(values: dict[str, np.ndarray], doc: np.ndarray, examples: dict[str, np.ndarray], example_states: np.ndarray, rounds: int = 8, smoothing: float = 0.3) -> Model:
+    """The model of the lines of a sample, in which clear lines are held to their states (Baum-Welch)."""
+    n = len(STATES)
+    clear = clear_lines(values, doc)
+    number = np.arange(n)
+    held = np.where(clear[:, None] >= 0, clear[:, None] == number, 0.0)
+    after, start = np.full((n, n), 1.0) + 20 * np.eye(n), np.ones(n)
+    own = (example_states[:, None] == number).astype(float)
+    barred = np.where((clear[:, None] >= 0) & (clear[:, None] != number), -60.0, 0.0)
+    for _ in range(rounds):
+        shown = {}
+        for f, size in FEATURES.items():
+            table = np.full((size, n), smoothing)
+            for v, w in ((values[f], held), (examples[f], own)):
+                for s in range(n):
+                    table[:, s] += np.bincount(v, weights=w[:, s], minlength=size)
+            shown[f] = np.log(table / table.sum(axis=0))
+        model = Model(np.log(start / start.sum()), np.log(after / after.sum(axis=1, keepdims=True)), shown)
+        if not len(doc):
+            break
+        held, start, moves = expected(model, model.scores(values) + barred, doc)
+        after, start = moves + 0.5, start + 0.5
+    return model
+
+
+def common_words(documents: DataFrame, text: str = "text", common_share: float = 0.0015) -> Words:
+    """The common words of prose, by script, over all documents."""
 
     def make():
         def step(c):
-            prose: Counter[str] = Counter()
-            other: Counter[str] = Counter()
-            for t in c[text]:
-                for line in lines(t):
-                    if kind := seed(line):
-                        (prose if kind == "prose" else other).update(words(line))
-            ws = list(prose.keys() | other.keys())
-            return {"word": ws, "script": [script(w[0]) for w in ws], "p": [prose[w] for w in ws], "q": [other[w] for w in ws]}
+            parts: list[np.ndarray] = []
+            for _, some in chunks(c[text]):
+                found = measure(some)
+                v = found.values
+                prose = clear_prose(v)
+                other = (v["pieces"] <= 3) | (v["marker"] > 0) | (v["cells"] > 0)
+                kind = np.where(prose, 1, np.where(other, 2, 0))[found.word_line]
+                for k in (1, 2):
+                    h, at, n = np.unique(found.word_hash[kind == k], return_index=True, return_counts=True)
+                    parts.append(np.stack([found.word_script[kind == k][at], h, n * (k == 1), n * (k == 2)]))
+            got = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+            return dict(zip(("script", "word", "p", "q"), got.tolist()))
 
         return step
 
-    counted = map_batches(documents.select(text), make, "word string, script string, p long, q long")
+    counted = map_batches(documents.select(text), make, "script long, word long, p long, q long")
     # the texts are read once: the counts are stored and summed per script from there
     per = persist_table(counted.groupBy("script", "word").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "word-counts")
     total = per.groupBy("script").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
     rate_p, rate_q = (F.col("p") + 1) / (F.col("tp") + 100), (F.col("q") + 1) / (F.col("tq") + 100)
-    found = per.join(F.broadcast(total), "script").filter(F.col("p") >= F.col("tp") * common_share).filter(F.col("p") >= 3).select("word", F.log(rate_p / rate_q).alias("w")).filter("w > 0.4")
-    return {r.word: r.w for r in found.collect()}
-
-
-def fields(line: str) -> tuple[int, float]:
-    """The largest number of short items that one separator cuts a line into, and their mean number of pieces."""
-    best = (1, float(len(line.split())))
-    for s in SEPARATORS:
-        if line.count(s) >= 2 and not (s == "/" and DATE.search(line)):
-            items = [x for x in line.split(s) if x.strip()]
-            if len(items) >= 3 and len(items) > best[0]:
-                sizes = [len(x.split()) for x in items]
-                if max(sizes) <= 6 and sum(sizes) / len(sizes) <= 3.6:
-                    best = (len(items), sum(sizes) / len(sizes))
-    return best
-
-
-def emission(line: str, common: dict[str, float], ws: list[str] | None = None) -> tuple[tuple[float, ...], int]:
-    """A line's log-score in each state, and its pieces."""
-    pieces = line.split()
-    n = len(pieces)
-    ws = words(line) if ws is None else ws
-    hits = [common[w] for w in ws if w in common]
-    varied = len({w for w in ws if w in common})
-    weight = sum(min(x, 3.0) for x in hits)
-    if n >= 7 and weight >= 5 and varied >= 4 and 4 * len(hits) >= len(ws) and PLAIN_LINE.fullmatch(line) and not MARKER.match(line):
-        return (0.9 * min(weight, 8.0) + 3.5 + (0.8 if END.search(line) else 0.0), -3.0, -1.0, -0.5), n  # nothing but prose comes into question
-    chars = len(line.replace(" ", "")) or 1
-    items, _ = fields(line)
-    mark = MARKER.match(line)
-    rest = line[mark.end() :].split() if mark else pieces
-    signs = sum(1 for p in rest if not spoken(p) and not (items >= 3 and len(p) == 1))
-    letters = letter_count(line) / chars
-    plain = len(hits) / max(1, len(ws))
-    ends = bool(END.search(line))
-    links = sum(len(m.group().split()) for m in LINK.finditer(line)) if "." in line else 0
-    tags = sum(1 for p in rest if p[0] in "#@" and len(p) > 1)
-    mash = sum(1 for p in pieces if mashed(p)) - links
-    broken = 0 if line.isascii() or not BROKEN.search(line) else sum(1 for p in pieces if BROKEN.search(p.strip(STRIP)) and len(BROKEN.findall(p)) * 2 >= min(4, len(p.strip(STRIP)))) + line.count("\ufffd")
-    noise = (signs + links + tags + max(0, mash) + broken) / max(1, n)
-    distinct = len({p.lower() for p in pieces}) / max(1, n)
-    marked = bool(mark)
-    tabs = line.count("\t")
-    bars = len(BAR.findall(line))
-    tiny = n >= 8 and sum(len(p) <= 3 for p in pieces) > 0.9 * n and plain < 0.3 and not INDIC.search(line)
-    boxes = bool(BOX.match(line))
-    gaps = len(GAP.findall(line)) if "  " in line else 0
-    eq = len(PAIR.findall(line)) if "=" in line else 0
-    quoted = len(QUOTED.findall(line)) if '"' in line or "'" in line else 0
-    digits = sum(1 for p in pieces if DIGIT.search(p)) if DIGIT.search(line) else 0
-    keyed = KEYED.match(line) if ":" in line else None
-
-    itemised = items >= 3 and n > 3 and (plain < 0.25 or varied <= 2)  # articles in items do not make a sentence
-    if itemised and varied <= 2:
-        weight = min(weight, 2.0 * varied)
-    prose = (-4.0 if itemised and varied <= 2 else 0.0) + 0.9 * min(weight, 8.0) + (1.0 if n >= 7 else -0.3) + (0.8 if ends and n >= 4 else 0.0) - 9 * max(0.0, noise - 0.25)
-    prose += 2.5 if n >= 7 and plain >= 0.25 else 0.0
-    prose -= 2.5 if n >= 7 and plain < 0.1 and letters > 0.5 else 0.0
-    lst = (4.0 if marked else 0.0) + (2.2 if n <= 5 else 0.6 if n <= 7 else -1.5) - 0.8 * min(weight, 6.0) * (n > 4 and not itemised) - 0.5 * min(weight, 4.0) * (n <= 4) - 8 * max(0.0, noise - 0.3 - (0.4 if marked else 0.0))
-    lst += 4.5 + 0.2 * min(items, 10) if itemised else 0.0
-    cells = max(tabs, bars - 1 if bars >= 2 else 0, quoted, eq if eq >= 2 else 0, gaps if gaps >= 2 else 0)
-    table = -1.0 + (4.5 + 0.7 * min(cells, 5) if cells >= 1 else 0.0) + (1.5 if digits and cells else 0.0) - 6 * max(0.0, noise - 0.5)
-    if items >= 3 and digits >= 1 and any(VALUE.fullmatch(x.strip()) for x in re.split(r"[,;|\t]", line)):
-        table += 6.5
-    if keyed and not cells and not links:
-        value = len((keyed.group(1) or "").split())
-        table += 4.0 if value <= 5 and weight < 2.5 and not marked else 0.0
-    if RULE.fullmatch(line) and ("|" in line or "+" in line or line.strip("-=_ ") == ""):
-        table += 9.0 if "|" in line and "-" in line else 2.0
-    table += (7.0 if boxes else 0.0) - (6.0 if tiny else 0.0)
-    lst -= 5.0 if tiny else 0.0
-    junk = -0.5 + 7.0 * noise + (2.5 if letters < 0.35 and not cells and not digits else 0.0)
-    junk += 0.0 if items >= 3 else 4.5 if n >= 8 and distinct < 0.5 else 2.5 if 3 <= n < 8 and distinct <= 0.5 else 0.0
-    junk += 4.0 if n >= 6 and plain < 0.08 and items < 3 and not marked and not cells else 0.0
-    junk += 5.0 if n <= 2 and max(0, mash) + links == n else 0.0
-    junk += 4.0 if tiny else 0.0
-    junk -= 4.0 if cells and noise < 0.5 else 0.0
-    return (prose, lst, table, junk), n
-
-
-STAY = math.log(0.85)
-MOVE = math.log(0.05)
-
-
-def label(text: str | None, common: dict[str, float], spoken_words: list[list[str]] | None = None) -> tuple[list[int], list[int]]:
-    """The states of a text's lines by Viterbi, and their pieces."""
-    ls = lines(text)
-    scored = [emission(x, common, w) for x, w in zip(ls, spoken_words or [None] * len(ls))]
-    if not scored:
-        return [], []
-    v = list(scored[0][0])
-    back = []
-    for e, _ in scored[1:]:
-        top = max(v)
-        best, move = v.index(top), top + MOVE
-        came = [k if v[k] + STAY >= move else best for k in range(4)]
-        v = [max(v[k] + STAY, move) + e[k] for k in range(4)]
-        back.append(came)
-    path = [v.index(max(v))]
-    for came in reversed(back):
-        path.append(came[path[-1]])
-    return path[::-1], [n for _, n in scored]
-
-
-def statistics(text: str | None, common: dict[str, float]) -> dict[str, float | int | str | None]:
-    """The statistics of one text."""
-    ls = lines(text)
-    per_line = [words(x) for x in ls]
-    ws = [w for x in per_line for w in x]
-    states, pieces = label(text, common, per_line)
-    total = sum(pieces)
-    share = [sum(n for s, n in zip(states, pieces) if s == k) / total if total else None for k in range(4)]
-    chars = len("".join((text or "").split()))
-    kind = None
-    if total and 1 - share[0] > 0.5:
-        kind = STATES[max((1, 2, 3), key=lambda k: (share[k], -k))]
-    return {
-        "pieces": total,
-        "words": len(ws),
-        "mean_word_length": sum(map(len, ws)) / len(ws) if ws else None,
-        "symbol_ratio": (len(NOT_SIGNS.sub("", text or "")) + (text or "").count("_")) / chars if chars else None,
-        "punctuated_lines": sum(bool(END.search(x)) for x in ls) / len(ls) if ls else None,
-        "common_words": sum(w in common for w in ws) / len(ws) if ws else None,
-        "prose": share[0],
-        "list": share[1],
-        "table": share[2],
-        "junk": share[3],
-        "kind": "prose" if total and kind is None else kind,
-    }
-
-
-def text_quality(documents: DataFrame, key: str = "doc_id", text: str = "text", common_share: float = 0.0015) -> DataFrame:
+    found = per.join(F.broadcast(total), "script").filter(F.col("p") >= F.col("tp") * common_share).filter(F.col("p") >= 3).filter(F.log(rate_p / rate_q) > 0.4)
+    return Words(np.array(sorted({r.word for r in found.select("word").collect()}), np.int64))
+
+
+def fitted(documents: DataFrame, words: Words, text: str = "text", sample_documents: int = 4000, sample_lines: int = 200) -> Model:
+    """The model fitted on a sample of the documents."""
+    share = min(1.0, sample_documents / max(1, documents.count()))
+    known = documents.sparkSession.sparkContext.broadcast(words)
+
+    def make():
+        def step(c):
+            out: dict[str, list] = {"key": [], "lines": []}
+            for _, some in chunks(c[text]):
+                found = measure(some)
+                v, _ = known.value.values(found)
+                table = np.stack([v[f] for f in FEATURES], axis=1)
+                begin, size = steps(found.doc)
+                for b, n in zip(begin.tolist(), size.tolist()):
+                    if n <= sample_lines:
+                        out["key"].append(some[int(found.doc[b])][:64])
+                        out["lines"].append(table[b : b + n].tobytes())
+            return out
+
+        return step
+
+    chosen = documents.filter(F.pmod(F.xxhash64(F.lit(9), text), F.lit(1 << 20)) < int(share * (1 << 20))).select(text)
+    rows = sorted(map_batches(chosen, make, "key string, lines binary").limit(2 * sample_documents).collect())
+    tables = [np.frombuffer(r["lines"], np.uint8).reshape(-1, len(FEATURES)) for r in rows]
+    doc = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+    both = np.concatenate([*tables, np.zeros((0, len(FEATURES)), np.uint8)])
+    given = [(k, x) for k, s in enumerate(STATES) for x in EXAMPLES.get(s, ())]
+    examples, _ = Words(np.zeros(0, np.int64)).values(measure([x for _, x in given]))
+    return fit(dict(zip(FEATURES, both.T)), doc, examples, np.array([k for k, _ in given]))
+
+
+def labelled(texts: list[str], words: Words, model: Model) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """The lines of texts, the kind of each, and its common words."""
+    found = measure(texts)
+    v, hits = words.values(found)
+    return found, KIND_OF[likeliest(model, model.scores(v), found.doc)], hits
+
+
+def statistics(texts: list[str | None], words: Words, model: Model) -> dict[str, list]:
+    """The statistics of texts, column by column."""
+    columns: dict[str, list] = {n: [] for n in ("pieces", "words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", *KINDS, "kind")}
+    for _, some in chunks(texts):
+        found, kind, hits = labelled(some, words, model)
+        n, s = len(some), found.stats
+        pieces = np.stack([np.bincount(found.doc[kind == k], weights=found.pieces[kind == k], minlength=n) for k in range(4)], axis=1)
+        total = pieces.sum(axis=1)
+
+        def ratio(x: np.ndarray, y: np.ndarray) -> list:
+            return [float(a) / float(b) if b else None for a, b in zip(x, y)]
+
+        largest = 1 + pieces[:, 1:].argmax(axis=1)
+        kinds = np.where(2 * pieces[:, 0] < total, largest, 0)
+        columns["pieces"] += total.astype(int).tolist()
+        columns["words"] += s["words"].tolist()
+        columns["mean_word_length"] += ratio(s["letters"], s["words"])
+        columns["symbol_ratio"] += ratio(s["signs"], s["chars"])
+        columns["punctuated_lines"] += ratio(s["ended"], s["lines"])
+        columns["common_words"] += ratio(np.bincount(found.doc, weights=hits, minlength=n), s["words"])
+        for k, name in enumerate(KINDS):
+            columns[name] += ratio(pieces[:, k], total)
+        columns["kind"] += [KINDS[k] if t else None for k, t in zip(kinds.tolist(), total.tolist())]
+    return columns
+
+
+def text_quality(documents: DataFrame, key: str = "doc_id", text: str = "text", common_share: float = 0.0015, sample_documents: int = 4000) -> DataFrame:
     """The statistics, label shares and kind of every document."""
-    common = documents.sparkSession.sparkContext.broadcast(common_words(documents, text, common_share))
-    names = ("pieces", "words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "prose", "list", "table", "junk", "kind")
+    words = common_words(documents, text, common_share)
+    known = documents.sparkSession.sparkContext.broadcast((words, fitted(documents, words, text, sample_documents)))
 
     def make():
-        known = common.value
+        words, model = known.value
 
         def step(c):
-            rows = [statistics(t, known) for t in c[text]]
-            return {key: c[key]} | {n: [r[n] for r in rows] for n in names}
+            return {key: c[key]} | statistics(c[text], words, model)
 
         return step
 
     kind = documents.schema[key].dataType.simpleString()
-    return map_batches(documents.select(key, text), make, f"`{key}` {kind}, pieces long, words long, " + ", ".join(f"`{n}` double" for n in names[2:10]) + ", kind string")
+    return map_batches(documents.select(key, text), make, f"`{key}` {kind}, pieces long, words long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, prose double, list double, table double, junk double, kind string")
