@@ -195,12 +195,12 @@ def meeting(cosine: float, deciding: int, cells: int, pairs: int = 20_000) -> fl
 def forest_plan(rows: int, cells: int = 2, cosine: float = 0.88, recall: float = 0.97, candidates: int = 170) -> tuple[int, int, int, int, int]:
     """(rows of a run, trees, deciding bits, branches, candidates) for a number of vectors of one aspect.
 
-    A run is a sixteenth of the vectors, from 24,576 up to 393,216 (101 MB of floats in a task). The branches are as many as find a pair
+    A run is a sixteenth of the vectors, from 2,048 up to 393,216 (101 MB of floats in a task). The branches are as many as find a pair
     inside a run with a probability of 0.95: with c candidates a branch, two vectors must share a prefix of log2(run / c) bits in one.
     Trees, three or more, are as many as find it in all with the probability ``recall``, counting pairs parted by the ends of runs.
     Such ends tell bits apart that are not whole in number; their chance is taken between those of the two whole numbers.
     """
-    run = min(393_216, max(24_576, rows // 16))
+    run = min(393_216, max(2048, rows // 16))
     same_bit = 1 - math.acos(cosine) / math.pi
     branch = same_bit ** math.log2(run / candidates)
     branches = max(11, math.ceil(math.log(0.05) / math.log(1 - branch)))
@@ -236,11 +236,12 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: in
             yield pa.RecordBatch.from_arrays([b.column("aspect").take(take), b.column("meme_id").take(take), b.column("stamp").take(take), pa.array([r.tobytes() for r in q], pa.binary())], ["aspect", "meme_id", "stamp", "v"])
 
     packed = vectors.filter("meme_id is not null").select("aspect", "meme_id", age("created_at").alias("stamp"), "embedding").mapInArrow(pack, "aspect string, meme_id string, stamp timestamp_ntz, v binary")
-    live = newest(packed, ["aspect", "meme_id"], "stamp", ["v"])
-    # copies: (aspect, meme_id, rep) of all members of classes of several; only (id, hash) is moved to find them
-    hashed = live.select("aspect", "meme_id", F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y"))
+    packed = packed.withColumns({"x": F.xxhash64("v"), "y": F.xxhash64(F.lit(1), "v")})
+    # copies: (aspect, meme_id, rep) of all members of classes of several; only hashes are moved to find them
+    hashed = newest(packed.drop("v"), ["aspect", "meme_id"], "stamp", ["x", "y"])
     shared = hashed.groupBy("aspect", "x", "y").agg(F.min("meme_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = persist_table(hashed.join(shared, ["aspect", "x", "y"]).select("aspect", "meme_id", "rep"), "copies")
+    live = newest(packed, ["aspect", "meme_id"], "stamp", ["x", "y", "v"]).drop("x", "y")  # of equal stamps the same row as above
     alone = live.join(copies.filter("meme_id <> rep"), ["aspect", "meme_id"], "left_anti")
 
     def strung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
