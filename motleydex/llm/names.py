@@ -8,11 +8,12 @@ all names; a part at the back whose partners are first names is a surname, howev
 
 Cores that may be spellings of one another come from suffix blocking: every suffix of
 at least ``shortest`` letters of a core, read forwards and backwards, is indexed together with
-the initial; a block that is too common is refined by the core's other end, and
-only then discarded if it still holds more than ``most`` cores (longer suffixes of the same
-cores stay indexed). Pairs are compared by the ratio of their longest common
-subsequence. Each core follows the more frequent core that it resembles, so a group
-gathers around its usual spelling; groups that hold spellings a single edit apart are joined. Names without a first name, and abbreviations, join a group
+the initial, a field of its own. A block that is too common, over ``most`` cores, is refined by the core's other end,
+then by its length; what is still over ``most`` is sorted, and each core meets those up to ``most``
+places away. Pairs are compared by the ratio of their longest common
+subsequence. Each core is linked to the most frequent core that it resembles, so a group
+gathers around its usual spelling, and to all that are a single edit apart; groups are the connected
+components of these links, followed to the end. Names without a first name, and abbreviations, join a group
 through the aliases that records state in parentheses, or the only or clearly
 most frequent bearer of that core.
 
@@ -24,13 +25,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import persist_table
 from .common import map_batches, parse
+from .components import components
 from .unify import skeleton
 
 # Titles, and the ends of companies' names, that do not tell entities apart.
@@ -122,13 +124,18 @@ class Parser:
 
     def __init__(self, common: dict[str, str]):
         self.common = common
-        self.firsts = sorted((t for t, k in common.items() if k == "F"), key=lambda t: (-len(t), t))
-        self.kinds = sorted((t for t, k in common.items() if k == "O"), key=lambda t: (-len(t), t))
+        order = sorted(common, key=lambda t: (common[t] == "F", -len(t), t))
+        self.firsts = {t for t in order if common[t] == "F"}
+        self.kinds = {t for t in order if common[t] == "O"}
+        self.longest = max(map(len, common), default=0)
         self.seen: dict[str, str] = {}
         self.by_end: dict[tuple[int, str, int], list[str]] = {}
-        for t in common:
+        self.by_start: dict[str, str] = {}  # a part's beginning: the first common part that begins so, kinds before first names, long ones before short ones
+        for t in order:
             for end in (0, -1):
                 self.by_end.setdefault((end, t[end], len(t)), []).append(t)
+            for n in range(3, len(t) + 1):
+                self.by_start.setdefault(t[:n], t)
 
     def near(self, part: str) -> list[tuple[float, str]]:
         """The common parts of about the same length and with the same first or last letter, with their likeness."""
@@ -148,8 +155,8 @@ class Parser:
                 if near and max(near)[0] >= 0.82:
                     got = self.common[max(near)[1]]
                 elif t.endswith(".") or len(bare) <= 5:
-                    at = [c for c in (*self.kinds, *self.firsts) if len(bare) >= 3 and c.startswith(bare)]
-                    got = self.common[at[0]] if at else "S" if len(bare) <= 5 else ""
+                    at = self.by_start.get(bare)
+                    got = self.common[at] if at else "S" if len(bare) <= 5 else ""
             if len(self.seen) < 1 << 17:
                 self.seen[t] = got
         return got
@@ -163,15 +170,15 @@ class Parser:
             t = ts[0].strip(".")
             if len(t) <= 4:
                 return "!", t
-            for f in self.firsts:
-                if t.startswith(f) and len(t) - len(f) >= 5:
-                    return f[0], t[len(f) :]
+            for n in range(min(self.longest, len(t) - 5), 0, -1):
+                if t[:n] in self.firsts:
+                    return t[0], t[n:]
             joined = self._org(t)
             if joined:
                 return "#", joined
-            near = [f for f in self.firsts if len(t) - len(f) >= 6 and lcs_ratio(t[: len(f)], f) >= 0.82 and t[0] == f[0]]
-            if near and len(t) >= 13:
-                return near[0][0], t[len(near[0]) :]
+            for n in range(min(self.longest + 2, len(t) - 6), 0, -1) if len(t) >= 13 else ():
+                if any(c in self.firsts and lcs_ratio(t[:n], c) >= 0.82 for c in self.by_end.get((0, t[0], n), ())):
+                    return t[0], t[n:]
             return "", t
         kinds = [self.kind(t) for t in ts]
         bare = [t.strip(".") for t in ts]
@@ -193,24 +200,21 @@ class Parser:
         return "", core
 
     def _org(self, t: str) -> str:
+        """A joined name without the kinds of organisation at its end, or the empty string if there is none."""
         rest = t
-        cut = True
-        while cut:
-            cut = False
-            for k in self.kinds:
-                if rest.endswith(k) and len(rest) - len(k) >= 5:
-                    rest, cut = rest[: -len(k)], True
+        while n := next((n for n in range(min(self.longest, len(rest) - 5), 0, -1) if rest[-n:] in self.kinds), 0):
+            rest = rest[:-n]
         return rest if rest != t else ""
 
 
-def common_parts(names: DataFrame, least_initials: int = 5, most_parts: int = 20_000) -> dict[str, str]:
+def common_parts(names: DataFrame, least_initials: int = 5, most_parts: int = 500_000) -> dict[str, str]:
     """The common parts of names, at the front (F) or the back (O).
 
     A part is more varied than its partners if it has three or more, of two or more initials, and two thirds of its
     rows are beside parts with fewer initials; that does not depend on the size of the table. F also are parts with
     ``least_initials`` at the front. O are only those whose partners, by rows,
     are not mostly first names (at the front, and varied or of four initials): others are surnames.
-    At most the ``most_parts`` most varied ones are broadcast; the others count as rare.
+    They are broadcast; more than ``most_parts`` (some 10 MB) raise an error.
     """
 
     def make():
@@ -243,7 +247,9 @@ def common_parts(names: DataFrame, least_initials: int = 5, most_parts: int = 20
     given = beside.join(firsts, "other", "left_semi").groupBy("part").agg(F.sum("n").alias("given"))
     judged = judged.filter((F.col("first") & (F.col("initials") >= least_initials)) | F.col("varied"))
     common = judged.join(given, "part", "left").filter("first or 2 * coalesce(given, 0) <= n")
-    rows = common.orderBy(F.desc("initials"), "part").limit(most_parts).collect()
+    rows = common.limit(most_parts + 1).collect()
+    if len(rows) > most_parts:
+        raise ValueError(f"more than {most_parts} common parts of names")
     return {r.part: "F" if r["first"] else "O" for r in rows}
 
 
@@ -268,42 +274,78 @@ def stated_aliases(memes: DataFrame) -> DataFrame:
     return map_batches(memes.filter(F.col("people").contains("(")).select("people"), make, "alias string, full string").groupBy("alias", "full").agg(F.count("*").alias("n"))
 
 
-def resembling(left: DataFrame, right: DataFrame, least: float, shortest: int, most: int, fold: bool) -> DataFrame:
-    """Pairs (key_a, key_b, ratio) of left and right cores (key, initial, core) that share a suffix and resemble each other."""
+def blocks(cores: DataFrame, shortest: int, fold: bool) -> DataFrame:
+    """(block, finer, finest, key, core, n): the suffixes of cores (key, initial, core, n), both ways, with what refines them."""
 
-    def emit(df, side):
-        def make():
-            def step(c):
-                out: dict[str, list] = {"block": [], "finer": [], f"key_{side}": [], f"core_{side}": []}
-                for key, initial, core in zip(c["key"], c["initial"], c["core"]):
-                    core = folded(core) if fold else core
-                    for way, s in ((">", core), ("<", core[::-1])):
-                        first = max(0, len(s) - LONGEST_SUFFIX)  # cores that share a longer suffix share this one too
-                        for i in range(first, max(first + 1, len(s) - shortest + 1)):
-                            out["block"].append(f"{'' if fold else initial}{way}{s[i:]}")
-                            out["finer"].append(s[:2])
-                            out[f"key_{side}"].append(key)
-                            out[f"core_{side}"].append(core)
-                return out
+    def make():
+        def step(c):
+            out: dict[str, list] = {k: [] for k in ("block", "finer", "finest", "key", "core", "n")}
+            for key, initial, core, n in zip(c["key"], c["initial"], c["core"], c["n"]):
+                core = folded(core) if fold else core
+                for way, s in ((">", core), ("<", core[::-1])):
+                    first = max(0, len(s) - LONGEST_SUFFIX)  # cores that share a longer suffix share this one too
+                    for i in range(first, max(first + 1, len(s) - shortest + 1)):
+                        block = f"{'' if fold else initial}{way}{s[i:]}"
+                        out["block"].append(block)
+                        out["finer"].append(f"{block}/{s[:2]}")
+                        out["finest"].append(f"{block}/{s[:2]}/{len(s)}")
+                        out["key"].append(key)
+                        out["core"].append(core)
+                        out["n"].append(n)
+            return out
 
-            return step
+        return step
+
+    return map_batches(cores.select("key", "initial", "core", "n"), make, "block string, finer string, finest string, key string, core string, n long")
 
-        return map_batches(df.select("key", "initial", "core"), make, f"block string, finer string, key_{side} string, core_{side} string")
 
-    a, b = emit(left, "a"), emit(right, "b")
-    size = b.groupBy("block").agg(F.count("*").alias("size"))
-    finer = b.groupBy("block", "finer").agg(F.count("*").alias("finer_size")).join(size, "block")
-    wide = a.join(b.drop("finer").join(size.filter(F.col("size") <= most), "block"), "block").select("key_a", "core_a", "key_b", "core_b")
-    narrow = a.join(b.join(finer.filter((F.col("size") > most) & (F.col("finer_size") <= most)), ["block", "finer"]), ["block", "finer"]).select("key_a", "core_a", "key_b", "core_b")
-    pairs = wide.unionByName(narrow).filter("key_a <> key_b").distinct()
+def placed(left: DataFrame, right: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of both tables of blocks() at the places where they meet: (place, key, core, n).
+
+    A place is a block of at most ``most`` rows of the right table, or one of its refinements that is small enough,
+    or a stretch of the sorted finest refinement: there left rows stand in one stretch of ``most``, right rows also in the two beside it.
+    """
+    columns = ["key", "core", "n"]
+    out_left, out_right = [], []
+    rest_left, rest_right = left, right
+    for level in ("block", "finer", "finest"):
+        size = rest_right.groupBy(level).agg((F.count("*") <= most).alias("fits"))
+        here = [x.hint("merge").join(size, level) for x in (rest_left, rest_right)]
+        for x, out in zip(here, (out_left, out_right)):
+            out.append(x.filter("fits").select(F.col(level).alias("place"), *columns))
+        rest_left, rest_right = (x.filter("not fits").drop("fits") for x in here)
+    both = rest_left.withColumn("side", F.lit(0)).unionByName(rest_right.withColumn("side", F.lit(1)))
+    stretch = F.floor(F.row_number().over(Window.partitionBy("finest").orderBy("core", "key", "side")) / most)
+    both = both.withColumn("stretch", stretch)
+    at = lambda c: F.concat_ws("/", "finest", c.cast("string"))
+    out_left.append(both.filter("side = 0").select(at(F.col("stretch")).alias("place"), *columns))
+    beside = F.explode(F.sequence(F.col("stretch") - 1, F.col("stretch") + 1))
+    out_right.append(both.filter("side = 1").withColumn("stretch", beside).select(at(F.col("stretch")).alias("place"), *columns))
+    return tuple(reduce(DataFrame.unionByName, x) for x in (out_left, out_right))
+
+
+def resembling(left: DataFrame, right: DataFrame, least: float, shortest: int, most: int, fold: bool) -> DataFrame:
+    """Pairs (key_a, n_a, key_b, n_b, ratio) of left and right cores (key, initial, core, n) that share a suffix and resemble each other."""
+    indexed = persist_table(blocks(right, shortest, fold), "blocks")
+    a, b = placed(indexed if left is right else persist_table(blocks(left, shortest, fold), "blocks"), indexed, most)
+    a, b = (x.select("place", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "core", "n")]) for x, side in ((a, "a"), (b, "b")))
+    pairs = a.hint("merge").join(b, "place").filter("key_a <> key_b").drop("place").distinct()
 
     def make():
         def step(c):
-            return {"key_a": c["key_a"], "key_b": c["key_b"], "ratio": [lcs_ratio(x, y) for x, y in zip(c["core_a"], c["core_b"])]}
+            return {k: c[k] for k in ("key_a", "n_a", "key_b", "n_b")} | {"ratio": [lcs_ratio(x, y) for x, y in zip(c["core_a"], c["core_b"])]}
 
         return step
 
-    return map_batches(pairs, make, "key_a string, key_b string, ratio double").filter(F.col("ratio") >= least)
+    return map_batches(pairs, make, "key_a string, n_a long, key_b string, n_b long, ratio double").filter(F.col("ratio") >= least)
+
+
+def linked(pairs: DataFrame, one_edit: float) -> DataFrame:
+    """(key, grp): the groups of the cores of resembling pairs: components of the links to the most frequent core and of those a single edit apart."""
+    up = pairs.filter("n_b > n_a or (n_b = n_a and key_b < key_a)")
+    followed = up.groupBy("key_a").agg(F.max_by("key_b", F.struct("n_b", "ratio", "key_b")).alias("b")).select(F.col("key_a").alias("a"), "b")
+    close = pairs.filter(F.col("ratio") >= one_edit).filter("key_a > key_b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return components(followed.unionByName(close)).select(F.col("a").alias("key"), F.col("b").alias("grp"))
 
 
 def name_groups(meme_people: DataFrame, memes: DataFrame | None = None, least: float = 0.8, shortest: int = 4, most: int = 400, one_edit: float = 0.88) -> DataFrame:
@@ -325,38 +367,20 @@ def name_groups(meme_people: DataFrame, memes: DataFrame | None = None, least: f
         return make
 
     parsed = persist_table(map_batches(names, split("person_name"), "person_name string, n long, initial string, core string").filter("core <> ''").withColumn("key", F.concat_ws("|", "initial", "core")), "names")
-    cores = parsed.groupBy("key", "initial", "core").agg(F.sum("n").alias("n"))
+    cores = persist_table(parsed.groupBy("key", "initial", "core").agg(F.sum("n").alias("n")), "cores")
     known = cores.filter("initial not in ('', '!')")
-    # each core follows the most frequent one that it resembles
-    pairs = resembling(known, known, least, shortest, most, False)
-    weight = known.select(F.col("key").alias("key_b"), F.col("n").alias("n_b"))
-    own = known.select(F.col("key").alias("key_a"), F.col("n").alias("n_a"))
-    up = pairs.join(weight, "key_b").join(own, "key_a").filter("n_b > n_a or (n_b = n_a and key_b < key_a)")
-    followed = up.groupBy("key_a").agg(F.max_by("key_b", F.struct("n_b", "ratio", "key_b")).alias("to"))
-    link = persist_table(known.join(followed, F.col("key") == F.col("key_a"), "left").select("key", "n", F.coalesce("to", "key").alias("to")), "name-links")
-    for _ in range(3):
-        link = link.alias("x").join(link.alias("y").select(F.col("key").alias("k"), F.col("to").alias("t")), F.col("to") == F.col("k"), "left").select("key", "n", F.coalesce("t", "to").alias("to"))
-    link = persist_table(link, "name-roots")
-    # groups whose spellings are a single edit apart are one, though their usual spellings may be further apart
-    ends = {x: link.select(F.col("key").alias(f"key_{x}"), F.col("to").alias(f"to_{x}")) for x in "ab"}
-    close = pairs.filter(F.col("ratio") >= one_edit).join(ends["a"], "key_a").join(ends["b"], "key_b").filter("to_a <> to_b").select("to_a", "to_b").distinct()
-    close = persist_table(close.unionByName(close.select(F.col("to_b").alias("to_a"), F.col("to_a").alias("to_b"))).distinct(), "name-joins")
-    least_label = close.groupBy("to_a").agg(F.least(F.min("to_b"), F.first("to_a")).alias("label"))
-    for _ in range(3):
-        reached = close.join(least_label.select(F.col("to_a").alias("to_b"), F.col("label").alias("l")), "to_b").groupBy("to_a").agg(F.min("l").alias("l"))
-        least_label = least_label.join(reached, "to_a", "left").select("to_a", F.least("label", "l").alias("label"))
-    link = persist_table(link.join(least_label, F.col("to") == F.col("to_a"), "left").select("key", "n", F.coalesce("label", "to").alias("to")), "name-groups")
+    pairs = persist_table(resembling(known, known, least, shortest, most, False), "pairs")
+    link = persist_table(known.hint("merge").join(linked(pairs, one_edit), "key", "left").select("key", "n", F.coalesce("grp", "key").alias("to")), "name-links")
     # names without a first name: the bearers of the most similar core, if one of them is clearly the most frequent
-    bare = cores.filter("initial = ''")
-    near = resembling(bare, known, 0.86, shortest, most, True).join(link.select(F.col("key").alias("key_b"), "to", F.col("n").alias("n_b")), "key_b")
-    bearers = near.groupBy("key_a", "to").agg(F.max("ratio").alias("ratio"), F.sum("n_b").alias("n_b"))
-    w = Window.partitionBy("key_a")
-    placed = bearers.withColumn("share", F.col("n_b") / F.sum("n_b").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n_b"), "to"))).filter("r = 1 and share >= 0.6").select(F.col("key_a").alias("key"), F.col("to").alias("base"))
-    groups = parsed.join(link.select("key", "to"), "key", "left").join(placed, "key", "left")
+    near = resembling(cores.filter("initial = ''"), known, 0.86, shortest, most, True)
+    bearers = near.select("key_a", F.col("key_b").alias("key"), "ratio", "n_b").hint("merge").join(link.select("key", "to"), "key").groupBy("key_a", "to").agg(F.sum("n_b").alias("n_b"))
+    of = bearers.groupBy("key_a").agg(F.max(F.struct("n_b", "to")).alias("best"), F.sum("n_b").alias("all"))
+    base = of.filter("best.n_b >= 0.6 * all").select(F.col("key_a").alias("key"), F.col("best.to").alias("base"))
+    groups = parsed.hint("merge").join(link.select("key", "to"), "key", "left").join(base, "key", "left")
     if memes is not None:
-        full = map_batches(stated_aliases(memes), split("full"), "alias string, full string, n long, initial string, core string").withColumn("full_key", F.concat_ws("|", "initial", "core"))
-        stated = full.join(link.select(F.col("key").alias("full_key"), F.col("to").alias("of")), "full_key").groupBy("alias", "of").agg(F.sum("n").alias("n")).groupBy("alias").agg(F.max_by("of", F.struct("n", "of")).alias("of"))
-        groups = groups.join(stated, F.col("person_name") == F.col("alias"), "left")
+        full = map_batches(stated_aliases(memes), split("full"), "alias string, full string, n long, initial string, core string").withColumn("key", F.concat_ws("|", "initial", "core"))
+        stated = full.hint("merge").join(link.select("key", F.col("to").alias("of")), "key").groupBy("alias", "of").agg(F.sum("n").alias("n")).groupBy("alias").agg(F.max_by("of", F.struct("n", "of")).alias("of"))
+        groups = groups.hint("merge").join(stated.withColumnRenamed("alias", "person_name"), "person_name", "left")
         return groups.select("person_name", F.when(F.col("initial").isin("", "!"), F.coalesce("of", "to", "base", "key")).otherwise(F.coalesce("to", "key")).alias("grp"))
     return groups.select("person_name", F.coalesce("to", "base", "key").alias("grp"))
 
