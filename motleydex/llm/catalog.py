@@ -41,6 +41,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_fields(table(spark, sf_dir, "memes"))
 
 
+def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every document's text, and what was found in it; only texts that change."""
+    from .unify import unify_columns
+
+    texts = unify_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
+    return texts.filter("text <> text_unified").select("doc_id", "text_unified", F.concat_ws(",", "text_findings").alias("findings"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .canonical import mapped_fields
 
@@ -74,7 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_unified, p6_found, p7_ids, p8_mix, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

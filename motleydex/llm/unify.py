@@ -1,12 +1,13 @@
 """Problem 5: one consistent form for text that looks the same.
 
-A word's letters each belong to a script; look-alike letters also stand for a
-letter of another script. Intersecting the letters' own script sets over a word
+A letter belongs to a script; a letter that has look-alikes (LOOKALIKES, both ways) can also be spelled in
+their scripts: its resolved set. Intersecting the letters' own scripts over a word
 tells whether the word is of one script. If it is not, intersecting the resolved
-sets (own scripts and those of look-alikes) gives the scripts in which the whole
-word can be spelled, and the word is respelled in that one. A word wholly of one
+sets gives the scripts in which the whole word can be spelled; of these the one is selected in which most of its
+letters are already (Latin if as many are), and the word is respelled in it, whichever it is: a Latin letter in a Cyrillic word becomes
+Cyrillic. A word that no script can spell (a brand with a foreign letter) is reported and stays. A word wholly of one
 script that could be spelled in another (a whole-script confusable) is reported
-but left as it is. The remaining forms (full width, ligatures, separate accents
+but left as it is. The remaining forms (full width, ligatures, mathematical and other styled letters, separate accents
 and vowel signs, invisible characters, spaces) are then normalised.
 
 Defined cases: null stays null, the empty string stays empty; the operator is
@@ -17,36 +18,57 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
 from .common import age, map_batches, newest, parse, strings
 
-# Letters of other alphabets and the Latin letters that they look like (after Unicode's confusables).
-LOOKALIKE = {
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y",
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "к": "k", "т": "t", "м": "m", "н": "h", "в": "b", "г": "r", "п": "n", "ӏ": "l", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "З": "3",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C",
-    "α": "a", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j",
-    "Տ": "S", "Ս": "U", "Օ": "O", "Լ": "L", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "զ": "q", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i",
-}
+# Latin letters and their look-alikes in each script (after Unicode's confusables). Only letters in everyday use are spelled into.
+LATIN = {
+    "CYRILLIC": ("ABCEHIJKMOPSTXYaceijopsxyh", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһ"),
+    "GREEK": ("ABEZHIKMNOPTYXaiopvuy", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιορνυγ"),
+    "ARMENIAN": ("SUOLonuhqg", "ՏՍՕԼօոսհզց"),
+    "CHEROKEE": ("DRTAJEWMHGZSLCPKBVY", "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦᏴᏙᎩ"),
+}
+# Letters that look like a Latin one but are rare in their own script; no word is spelled into them.
+RARE = {"ԁ": "d", "ԛ": "q", "ѵ": "v", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ϲ": "C", "ϲ": "c", "ϳ": "j", "ɑ": "a", "ɡ": "g", "ı": "i"}
+# a letter: the scripts in which it can be spelled, and how
+LOOKALIKES: dict[str, dict[str, str]] = {}
+for _script, (_plain, _other) in LATIN.items():
+    for _a, _b in zip(_plain, _other, strict=True):
+        LOOKALIKES.setdefault(_a, {"LATIN": _a})[_script] = _b
+        LOOKALIKES[_b] = LOOKALIKES[_a]
+for _b, _a in RARE.items():
+    LOOKALIKES[_b] = LOOKALIKES.get(_a, {"LATIN": _a})
+ALPHABETS = {"LATIN", *LATIN}
+LOOKALIKE = {b: x["LATIN"] for b, x in LOOKALIKES.items() if x["LATIN"] != b}
 # Letter pairs joined into one character, besides the block of Latin ligatures.
 JOINED = "ĲĳǄǅǆǇǈǉǊǋǌǱǲǳ"
 # Invisible characters, besides the two joiners.
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff\uffa0"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff\uffa0\ufff9\ufffa\ufffb"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-KINDS = ("wide", "joined", "separate", "invisible", "space", "mixed", "whole")
+KINDS = ("wide", "joined", "separate", "invisible", "space", "mixed", "whole", "styled")
 
+OTHER = "ıɑɡͰ-֏Ꭰ-᏿ᲀ-᲏ἀ-῿ⷠ-ⷿꙀ-ꚟꭰ-ꮿ"
+STYLES = "℀-⅏Ⅰ-ↈ\U0001d400-\U0001d7ff"
+TAGS = "\U000e0001\U000e0020-\U000e007f"
 WIDE = re.compile("[！-～￠-￦]")
 LIGATURE = re.compile(f"[ﬀ-ﬆ{JOINED}]")
 HIDDEN = re.compile(f"[{INVISIBLE}]")
 SPACE = re.compile(f"[{SPACES}]")
-JOINER = re.compile("[\u200c\u200d\ufe00-\ufe0f]")
-FOREIGN = re.compile("[ıɑɡͰ-֏ᲀ-\u1c8fἀ-\u1fff\u2de0-\u2dffꙀ-\ua69f]")
+JOINER = re.compile("[‌‍︀-️]")
+TAG = re.compile(f"(\U0001f3f4?)([{TAGS}]+)")  # behind a black flag they make the flags of regions
+FOREIGN = re.compile(f"[{OTHER}]")
+STYLED = re.compile(f"[{STYLES}]")
+SMALL = re.compile("[ʙɢʜɪʟɴʀʏᴀ-ᴢꜰ]")
 WORD = re.compile(r"[^\W\d_]+")
-SUSPECT = re.compile(f"[！-～￠-￦ﬀ-ﬆ{JOINED}{INVISIBLE}{SPACES}\u200c\u200d\ufe00-\ufe0fıɑɡͰ-֏ᲀ-\u1c8fἀ-\u1fffꙀ-\ua69f]")
+SUSPECT = re.compile(f"[！-～￠-￦ﬀ-ﬆ{JOINED}{INVISIBLE}{SPACES}‌‍︀-️{OTHER}{STYLES}{TAGS}ʙɢʜɪʟɴʀʏᴀ-ᴢꜰ]")
 
 
 @lru_cache(65536)
@@ -62,8 +84,32 @@ def script(ch: str) -> str:
 def resolved(ch: str) -> frozenset[str]:
     """The scripts in which a letter can be spelled: its own and those of its look-alikes."""
     base = unicodedata.normalize("NFD", ch)[0]
-    own = script(base)
-    return frozenset({own, "LATIN"} if base in LOOKALIKE else {own})
+    return frozenset({script(base), *LOOKALIKES.get(base, ())})
+
+
+@lru_cache(4096)
+def styled(ch: str) -> str:
+    """The plain form of a mathematical, script, black-letter or double-struck letter or a Roman numeral; other signs as they are."""
+    name = unicodedata.name(ch, "")
+    if any(x in name for x in ("MATHEMATICAL", "SCRIPT ", "BLACK-LETTER", "DOUBLE-STRUCK", "ROMAN NUMERAL")):
+        plain = unicodedata.normalize("NFKC", ch)
+        return plain if plain.isalnum() else ch
+    return ch
+
+
+def small_capitals(word: str) -> str:
+    """A word written in small capitals in plain letters; other words, among them phonetic ones, as they are."""
+    out = []
+    for ch in word:
+        name = unicodedata.name(ch, "")
+        last = name.removeprefix("LATIN LETTER SMALL CAPITAL ")
+        if name != last and len(last) == 1:
+            out.append(last.lower())
+        elif ch.isascii():
+            out.append(ch)
+        else:
+            return word
+    return "".join(out) if len(SMALL.findall(word)) > 1 else word
 
 
 def token_scripts(word: str) -> tuple[frozenset[str], frozenset[str]]:
@@ -79,9 +125,9 @@ def token_scripts(word: str) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def is_mixed(word: str) -> bool:
-    """Whether letters of other alphabets stand in a word beside Latin ones."""
+    """Whether letters of another alphabet stand in a word beside those of Latin or one that looks like it."""
     kinds = {s for ch in word if (s := script(ch))}
-    return "LATIN" in kinds and len(kinds) > 1 and bool(FOREIGN.search(word))
+    return len(kinds) > 1 and len(kinds & ALPHABETS) > 1 and bool(FOREIGN.search(word))
 
 
 def joiner_needed(text: str, i: int) -> bool:
@@ -93,7 +139,7 @@ def joiner_needed(text: str, i: int) -> bool:
     ch = text[i]
     kind = unicodedata.category(before)
     if "\ufe00" <= ch <= "\ufe0f":
-        return kind in ("So", "Sm", "Po", "Nd", "Sk") or ord(before) >= 0x1F000
+        return kind in ("So", "Sm", "Po", "Nd", "Sk") or ord(before) >= 0x1F000 or before == "ℹ"
     if unicodedata.combining(before) == 9:  # a virama: the joiner chooses the form of the letters around it
         return True
     if kind in ("So", "Sk") or ord(before) >= 0x1F000 or "\ufe00" <= before <= "\ufe0f":
@@ -125,7 +171,9 @@ def findings(text: str | None) -> set[str]:
         found.add("wide")
     if LIGATURE.search(text):
         found.add("joined")
-    if HIDDEN.search(text) or any(not joiner_needed(text, m.start()) for m in JOINER.finditer(text)):
+    if STYLED.search(text) and any(styled(m.group()) != m.group() for m in STYLED.finditer(text)) or SMALL.search(text) and any(small_capitals(m.group()) != m.group() for m in WORD.finditer(text)):
+        found.add("styled")
+    if HIDDEN.search(text) or any(not m.group(1) for m in TAG.finditer(text)) or any(not joiner_needed(text, m.start()) for m in JOINER.finditer(text)):
         found.add("invisible")
     if SPACE.search(text):
         found.add("space")
@@ -142,12 +190,24 @@ def findings(text: str | None) -> set[str]:
 
 
 def respell(word: str) -> str:
-    """A mixed word in the one script in which all of it can be spelled; other words as they are."""
-    own, can = token_scripts(word)
-    if own or "LATIN" not in can:
-        if not is_mixed(word):
-            return word
-    return "".join(unicodedata.normalize("NFC", LOOKALIKE.get(d[0], d[0]) + d[1:]) for d in (unicodedata.normalize("NFD", c) for c in word))
+    """A word of several scripts in the one script in which all of it can be spelled; other words as they are.
+
+    Letters of scripts without look-alikes (a character of another language between) take no part.
+    """
+    letters = [c for c in word if script(c) in ALPHABETS]
+    if len({script(c) for c in letters}) < 2:
+        return word
+    own, can = token_scripts("".join(letters))
+    if own or not can:
+        return word
+    count = Counter(script(c) for c in letters)
+    to = max(sorted(can), key=lambda s: (count[s], s == "LATIN"))
+
+    def spelled(ch: str) -> str:
+        d = unicodedata.normalize("NFD", ch)
+        return unicodedata.normalize("NFC", LOOKALIKES[d[0]].get(to, d[0]) + d[1:]) if script(ch) in ALPHABETS and script(ch) != to else ch
+
+    return "".join(map(spelled, word))
 
 
 def unify(text: str | None) -> str | None:
@@ -155,11 +215,16 @@ def unify(text: str | None) -> str | None:
     if not text or text.isascii():
         return text
     if SUSPECT.search(text):
-        text = "".join(c for i, c in enumerate(text) if not (JOINER.match(c) and not joiner_needed(text, i)))
+        if JOINER.search(text):
+            text = "".join(c for i, c in enumerate(text) if not (JOINER.match(c) and not joiner_needed(text, i)))
+        text = TAG.sub(lambda m: m.group() if m.group(1) else "", text)
         text = SPACE.sub(" ", HIDDEN.sub("", text))
         text = WIDE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
         text = LIGATURE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
+        text = STYLED.sub(lambda m: styled(m.group()), text)
         text = unicodedata.normalize("NFC", text)
+        if SMALL.search(text):
+            text = WORD.sub(lambda m: small_capitals(m.group()), text)
         return WORD.sub(lambda m: respell(m.group()) if FOREIGN.search(m.group()) else m.group(), text)
     return unicodedata.normalize("NFC", text)
 
@@ -175,11 +240,29 @@ def skeleton(text: str) -> str:
 
 
 def unify_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with ``<column>_unified`` and ``<column>_findings`` for each text column; nulls stay null."""
-    from pyspark.sql.types import ArrayType, StringType
+    """``df`` with ``<column>_unified`` and ``<column>_findings`` for each text column; nulls stay null, columns of these names are replaced.
 
-    texts, kinds = F.udf(unify, StringType(), useArrow=True), F.udf(lambda s: sorted(findings(s)), ArrayType(StringType()), useArrow=True)
-    return df.withColumns({f"{c}_unified": texts(F.col(c)) for c in columns} | {f"{c}_findings": kinds(F.col(c)) for c in columns})
+    One pass over Arrow batches; each different text of a batch is unified once.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    ship(df.sparkSession)
+    df = df.drop(*[f"{c}_{x}" for c in columns for x in ("unified", "findings")])
+    kind = StructType([*df.schema.fields, *[f for c in columns for f in (StructField(f"{c}_unified", StringType()), StructField(f"{c}_findings", ArrayType(StringType())))]])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            added = []
+            for c in columns:
+                texts = b.column(c).to_pylist()
+                done = {t: (unify(t), sorted(findings(t))) for t in set(texts)}
+                added += [[done[t][0] for t in texts], [done[t][1] for t in texts]]
+            arrays = [pa.array(x, type=f.type) for x, f in zip(added, list(arrow)[len(b.schema) :])]
+            yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(b.columns, arrow)), *arrays], schema=arrow)
+
+    return df.mapInArrow(run, kind)
 
 
 FIELDS = ("caption", "ocr_text", "meaning")

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from motleydex.llm.unify import findings, odd_fields, skeleton, token_scripts, unify, unify_columns
+from motleydex.llm.unify import findings, odd_fields, respell, script, skeleton, token_scripts, unify, unify_columns
 
 PLAIN = ["", "plain text", "café résumé piñata", "5 km² 10²", "👨‍👩‍👧 🤦‍♂️ ❤️", "Ωμέγα Привет", "साफ्ट‍वेयर".replace("‍", ""), "క్‌ష", "क्‍ष", "தமிழ் ಕನ್ನಡ", "क़लम", None]
 ODD = [
@@ -22,7 +22,19 @@ ODD = [
     ("a　b", "space", "a b"),
     ("WНILЕ", "mixed", "WHILE"),
     ("οriginal", "mixed", "original"),
+    ("п\u0070ивет", "mixed", "привет"),
+    ("М\u006fсква", "mixed", "Москва"),
+    ("рус\u0063кий", "mixed", "русский"),
+    ("Π\u0061ρις", "mixed", "Παρις"),
+    ("ᎪPPLE", "mixed", "APPLE"),
+    ("𝐡𝐞𝐥𝐥𝐨 𝒳", "styled", "hello X"),
+    ("ℌello", "styled", "Hello"),
+    ("Ⅻ ⅳ", "styled", "XII iv"),
+    ("ʜᴇʟʟᴏ", "styled", "hello"),
+    ("a\ufff9b", "invisible", "ab"),
+    ("hi\U000e0068\U000e0069", "invisible", "hi"),
 ]
+WHOLE = ["VКонтакте", "Москва", "Παρις", "ısı", "№ 5 ™ ℃ ℹ️", "[ˈhɪstəɹi]", "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "日本語text", "Ω"]
 
 
 @pytest.mark.parametrize("text", PLAIN)
@@ -37,6 +49,18 @@ def test_odd_is_found_and_mended(text, kind, plain):
     assert kind in findings(text) and unify(text) == plain and not findings(plain)
 
 
+@pytest.mark.parametrize("text", WHOLE)
+def test_scripts_and_signs_that_need_their_characters_stay(text):
+    assert unify(text) == text and not findings(text) & {"wide", "joined", "separate", "invisible", "space", "styled"}
+
+
+def test_the_script_of_most_letters_is_selected():
+    assert respell("СОP") == "СОР" and script(respell("СОP")[2]) == "CYRILLIC"
+    assert respell("COР") == "COP" and respell("COР").isascii()
+    assert respell("СP") == "CP"  # as many of each: Latin
+    assert token_scripts("п\u0070и") == (frozenset(), frozenset({"CYRILLIC"}))
+
+
 def test_scripts():
     assert token_scripts("WНILЕ") == (frozenset(), frozenset({"LATIN"}))
     assert findings("СОР") == {"whole"} and unify("СОР") == "СОР" and skeleton("СОР") == "cop"
@@ -70,5 +94,7 @@ def test_fields_of_live_rows(spark):
 
 
 def test_columns(spark):
+    clash = spark.createDataFrame([("ﬁ", "old", 1, [1.5])], "t string, t_unified string, n int, xs array<double>")
+    assert unify_columns(clash, ["t"]).collect()[0].asDict() == {"t": "ﬁ", "n": 1, "xs": [1.5], "t_unified": "fi", "t_findings": ["joined"]}
     r = unify_columns(spark.createDataFrame([("ＡＢ",), (None,), ("",)], "t string"), ["t"]).collect()
     assert [(x.t_unified, x.t_findings) for x in r] == [("AB", ["wide"]), (None, []), ("", [])]
