@@ -8,21 +8,23 @@ difference. A similarity above t bounds d by (1 - t) / (1 + t) * (n_a + n_b).
 
 Candidates come from a pigeonhole join. Within a band of sizes (half an octave) the
 words are thrown into m buckets, whose XOR of full hashes is the bucket's part of the
-sketch; fewer than m differing words leave a bucket untouched, so such pairs
-always meet. One partition into more than d buckets would be exact but useless here:
+sketch; a bucket without differing words is the same in both records. One partition into more than d buckets
+would leave one untouched for certain but is useless here:
 with two or three words each, buckets of common words would join everything. So
 buckets hold about ``words_per_bucket`` words, and independent partitions follow until
 a pair at the very threshold is missed with probability ``miss`` at most in the
 middle of a band: a bucket stays untouched with probability (1 - 1/m)^d. Closer pairs are all but
-never missed (at 0.75 about two in a thousand). Words per bucket grow with the logarithm of the
-number of records, so the chance meetings per record stay bounded, and with them
-the number of buckets. A set takes part in its own band and in the lower ones
+never missed (at 0.75 about one in a thousand). A set takes part in its own band and in the lower ones
 in which a smaller partner could stand. Candidates must pass the size bound and the Hamming
 bound on a 96-bit sketch carried along, then the exact similarity on the word sets.
 
-Records with the same set of words are one class, merged before the signatures are
-shuffled, so a group of copies costs a row a task however large it is. Buckets are joined by a
-sort-merge join (skewed keys are split by adaptive execution), never collected.
+A bucket that more than ``most`` classes share (the words of a popular template) is not joined pairwise but refined, without loss:
+its members meet only where they also share one of their rarest words. Of n words the n - floor(t * n) rarest, in one order for
+all, must have a word in common if two sets are to be more similar than t (a prefix filter). So the work in a hot bucket follows from its rare words.
+
+Records with the same set of words are one class, merged before signatures are
+made, so a group of copies costs one row of signatures however large it is. One exchange on the signature serves
+counting and both sides of the sort-merge join (skewed keys are split by adaptive execution); buckets are never collected.
 
 Defined cases: null or unreadable fields count as empty; a record without words
 has no partners; repeated rows and older versions of an id count once (latest
@@ -40,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import persist_table
@@ -119,14 +121,14 @@ def sketches(h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low.view(np.int64), high.astype(np.uint32).view(np.int32)
 
 
-def bucket_plan(rows: int, threshold: float = THRESHOLD, miss: float = 0.04) -> tuple[float, int]:
+def bucket_plan(rows: int, threshold: float = THRESHOLD, miss: float = 0.03) -> tuple[float, int]:
     """(words per bucket, signatures) for a number of records.
 
-    Up to 200,000 records a bucket has 5.7 words; from there each factor e adds 0.64, which offsets
-    the growing number of unrelated records (they differ in about 1.6 of their words per word of a
+    A bucket has 5.7 words: unrelated records meet by chance about 18 times each in 100,000 records, and in proportion. From 20 million records, some
+    4,000 meetings each, every factor e adds 0.64 words, which keeps that number (unrelated records differ in about 1.6 of their words per word of a
     bucket). Signatures follow from the chance that a pair at the threshold leaves a bucket untouched.
     """
-    words_per_bucket = 5.7 + 0.64 * max(0.0, math.log(max(1, rows) / 200_000))
+    words_per_bucket = 5.7 + 0.64 * max(0.0, math.log(max(1, rows) / 20_000_000))
     untouched = math.exp(-words_per_bucket * 2 * (1 - threshold) / (1 + threshold))
     return words_per_bucket, math.ceil(math.log(miss) / math.log(1 - untouched))
 
@@ -159,8 +161,8 @@ def band_signatures(h: np.ndarray, rec: np.ndarray, band: int, words_per_bucket:
     return np.concatenate(recs), np.concatenate(sigs)
 
 
-def signed(sets: DataFrame, words_per_bucket: float, signatures: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds to (id, words) the class of the set, its sketch and the signatures of its size bands, 32 bits each.
+def signed(classes: DataFrame, words_per_bucket: float, signatures: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Adds to (cls, words) the sketch and the signatures of the set's size bands, 32 bits each.
 
     ``rest`` packs the last 32 bits of the sketch and the set's size, 31 bits.
     """
@@ -185,42 +187,56 @@ def signed(sets: DataFrame, words_per_bucket: float, signatures: int, threshold:
             r, s = np.concatenate(recs), np.concatenate(sigs).view(np.int32)
             order = np.argsort(r, kind="stable")
             offsets = np.r_[0, np.cumsum(np.bincount(r, minlength=len(n)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cls"), col, pa.ListArray.from_arrays(offsets, pa.array(s[order])), pa.array(low), pa.array(high.view(np.uint32).astype(np.int64) << 31 | n)], ["id", "cls", "words", "sigs", "low", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("cls"), col, pa.ListArray.from_arrays(offsets, pa.array(s[order])), pa.array(low), pa.array(high.view(np.uint32).astype(np.int64) << 31 | n)], ["cls", "words", "sigs", "low", "rest"])
+
+    return classes.select("cls", "words").mapInArrow(run, "cls long, words array<int>, sigs array<int>, low long, rest long")
+
 
-    return sets.withColumn("cls", F.xxhash64("words")).select("id", "cls", "words").mapInArrow(run, "id string, cls long, words array<int>, sigs array<int>, low long, rest long")
+def rarest_words(classes: DataFrame, threshold: float) -> DataFrame:
+    """(cls, word): of each class the rarest words of which it must share one with any set more similar than the threshold."""
+    each = classes.select("cls", F.size("words").alias("n"), F.explode("words").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("often"))
+    lists = each.join(often, "word").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    first = F.slice("ranked", 1, (F.col("n") - F.floor(F.col("n") * threshold)).cast("int"))
+    return lists.select("cls", F.explode(first).alias("w")).select("cls", "w.word")
 
 
-def class_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def class_pairs(classes: DataFrame, threshold: float = THRESHOLD, most: int = 2000) -> DataFrame:
     """(cls_a, cls_b): pairs of classes whose word sets have a Jaccard similarity above ``threshold``.
 
-    ``sets`` is a stored table of signed(); both sides of each join read the same
-    exchange of it. Copies are merged before the shuffle.
+    ``classes`` is a stored table of signed().
     """
-    rows = sets.select(F.explode("sigs").alias("sig"), "cls", "low", "rest")
-    once = rows.groupBy("sig", "cls").agg(F.min("low").alias("low"), F.min("rest").alias("rest"))
-    a, b = (once.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "low", "rest")]) for x in "ab")
-    n_a, n_b = (F.col(f"rest_{x}").bitwiseAND(F.lit(2**31 - 1)) for x in "ab")
-    bound = (n_a + n_b) * F.lit((1 - threshold) / (1 + threshold))
-    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.shiftrightunsigned(F.col("rest_a").bitwiseXOR(F.col("rest_b")), 31))
-    near = (F.col("cls_a") < F.col("cls_b")) & (apart <= bound) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold)
-    met = a.join(b, "sig").filter(near).select("cls_a", "cls_b").distinct()
-    classes = sets.groupBy("cls").agg(F.first("words").alias("words"))
+    rows = classes.select(F.explode("sigs").alias("sig"), "cls", "low", "rest").repartition("sig")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    usual, hot = rows.filter(F.col("n") <= most).drop("n"), rows.filter(F.col("n") > most).drop("n")
+
+    def met(side: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = (side.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "low", "rest")]) for x in "ab")
+        n_a, n_b = (F.col(f"rest_{x}").bitwiseAND(F.lit(2**31 - 1)) for x in "ab")
+        bound = (n_a + n_b) * F.lit((1 - threshold) / (1 + threshold))
+        apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.shiftrightunsigned(F.col("rest_a").bitwiseXOR(F.col("rest_b")), 31))
+        near = (F.col("cls_a") < F.col("cls_b")) & (apart <= bound) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold)
+        return a.join(b, keys).filter(near).select("cls_a", "cls_b")
+
+    rare = rarest_words(classes.select("cls", "words").join(hot.select("cls").distinct(), "cls"), threshold)
+    pairs = met(usual, ["sig"]).unionByName(met(hot.join(rare, "cls"), ["sig", "word"])).distinct()
     left = classes.select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a"))
     right = classes.select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     either = F.size("words_a") + F.size("words_b") - both
-    return met.join(left, "cls_a").join(right, "cls_b").filter(both > either * threshold).select("cls_a", "cls_b")
+    return pairs.join(left, "cls_a").join(right, "cls_b").filter(both > either * threshold).select("cls_a", "cls_b")
 
 
-def near_duplicates(memes: DataFrame, threshold: float = THRESHOLD, miss: float = 0.04) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(memes: DataFrame, threshold: float = THRESHOLD, miss: float = 0.03, most: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Membership (id, cls) of every record with words, and the pairs (cls_a, cls_b) of similar classes."""
-    sets = persist_table(signed(word_sets(memes), *bucket_plan(memes.count(), threshold, miss), threshold), "word-sets")
-    return sets.select("id", "cls"), class_pairs(sets, threshold)
+    sets = persist_table(word_sets(memes).withColumn("cls", F.xxhash64("words")), "word-sets")
+    classes = persist_table(signed(sets.groupBy("cls").agg(F.first("words").alias("words")), *bucket_plan(memes.count(), threshold, miss), threshold), "classes")
+    return sets.select("id", "cls"), class_pairs(classes, threshold, most)
 
 
-def duplicate_pairs(memes: DataFrame, threshold: float = THRESHOLD, miss: float = 0.04) -> DataFrame:
+def duplicate_pairs(memes: DataFrame, threshold: float = THRESHOLD, miss: float = 0.03, most: int = 2000) -> DataFrame:
     """(id_a, id_b): all pairs of similar records, smaller id first, each once; copies expanded."""
-    members, pairs = near_duplicates(memes, threshold, miss)
+    members, pairs = near_duplicates(memes, threshold, miss, most)
     one, two = members.select(F.col("id").alias("x"), F.col("cls").alias("cls_a")), members.select(F.col("id").alias("y"), F.col("cls").alias("cls_b"))
     between = pairs.join(one, "cls_a").join(two, "cls_b").select("x", "y")
     shared = members.groupBy("cls").count().filter("count > 1").select("cls")

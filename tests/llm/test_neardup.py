@@ -7,7 +7,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from motleydex.llm.neardup import bucket_plan, duplicate_pairs, near_duplicates, sketches, words
+from motleydex.llm.neardup import bucket_plan, duplicate_pairs, near_duplicates, rarest_words, sketches, words
 
 SCHEMA = "id string, labeled_at timestamp_ntz, caption string, ocr_text string, image_description string, stamp int, words string, cls int"
 
@@ -55,6 +55,32 @@ def test_groups_against_all_pairs(spark, size):
     assert len(got) >= 0.95 * len(brute(sets))
 
 
+def test_hot_buckets_are_refined_without_loss(spark):
+    """A template fills two thirds of 400 records; with buckets of at most 20 classes the same pairs come out as without refinement."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(150)]
+    template = [f"t{i}" for i in range(40)]
+    texts = {f"{i:03}": " ".join(template + rng.sample(vocab, 20)) for i in range(400)}
+    for k in range(0, 400, 8):
+        own = texts[f"{k:03}"].split()
+        texts[f"{k + 1:03}"] = " ".join(own[:-2] + rng.sample(vocab, 2))
+    df = spark.createDataFrame([row(i, None, t, None) for i, t in texts.items()], SCHEMA)
+    whole, cut = ({tuple(r) for r in duplicate_pairs(df, most=most).collect()} for most in (10**9, 20))
+    assert whole == cut and len(whole) >= 50
+    assert whole <= brute({i: set(t.split()) for i, t in texts.items()})
+
+
+def test_similar_sets_share_one_of_their_rarest_words(spark):
+    rng = random.Random(12)
+    sets = {k: sorted(set(rng.sample(range(60), rng.randrange(1, 30)))) for k in range(150)}
+    df = spark.createDataFrame([(k, v) for k, v in sets.items()], "cls long, words array<int>")
+    rare = {}
+    for r in rarest_words(df, 0.5).collect():
+        rare.setdefault(r.cls, set()).add(r.word)
+    pairs = brute({k: set(v) for k, v in sets.items()}, 0.5)
+    assert pairs and all(rare[a] & rare[b] for a, b in pairs)
+
+
 def test_plan_grows_slowly():
     small, large = bucket_plan(100_000), bucket_plan(100_000_000)
     assert bucket_plan(1_000) == small and small[0] < large[0] < 2 * small[0] and small[1] < large[1] < 8 * small[1]
