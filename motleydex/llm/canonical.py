@@ -1,17 +1,20 @@
 """Problem 6: the entry of a reference list that is meant by a freely typed value.
 
 Values are first made distinct, then normalised (look-alikes, case, separators and
-punctuation removed). An inverted index from letter pairs (adjacent or one apart,
+punctuation removed). An inverted index from n-grams (single letters, pairs of letters, and letters one apart,
 with marks for both ends) to the names of the list, entries and aliases, retrieves
-candidates whose cosine of pair vectors weighted by rarity reaches ``least`` and that
-a bounded number of single edits (neighbouring letters swapped count as one) turns into the
-value. The fewest edits decide; the cosine breaks ties, and none is taken if another
-entry with as many edits comes within ``margin``.
+candidates. They are scored by the cosine of n-gram vectors weighted by rarity; the entry with the best one is
+accepted if it reaches ``LEAST`` and is ahead of every other entry by ``MARGIN`` or more. An exact check follows that only
+rejects: a bounded number of single edits (neighbouring letters swapped count as one) must turn the value into the name.
+
+The index of a list of up to ``most_names`` names is broadcast. A longer list is a table joined by n-grams (``joined_lookup``), with the
+same result: a value need only meet names with which it shares one of its rarer n-grams, as those it leaves out
+have together too small a norm to reach ``LEAST``.
 
 Defined cases: null and blank values are no values; lists may be JSON arrays, single
 JSON strings, null or unreadable (then without values); a value that is nothing but
 signs has no entry; of equal candidates none is taken; an empty list of names matches
-nothing. The index is broadcast, so the list is limited to ``most_names`` names; more raise an error.
+nothing.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import persist_table
 from .common import age, map_batches, newest, parse
 from .unify import skeleton
 
@@ -35,10 +39,13 @@ def plain(value: str) -> str:
     return SIGNS.sub("", skeleton(value))
 
 
-def pairs(s: str) -> Counter[str]:
-    """The pairs of letters, adjacent or one apart, with marks at both ends."""
+LEAST, MARGIN = 0.25, 0.03
+
+
+def grams(s: str) -> Counter[str]:
+    """The n-grams of a value: letters, pairs and letters one apart, with marks at both ends."""
     t = f"^{s}$"
-    return Counter([t[i : i + 2] for i in range(len(t) - 1)] + [t[i] + t[i + 2] for i in range(len(t) - 2)])
+    return Counter([t[i : i + 2] for i in range(len(t) - 1)] + [f"s{t[i]}{t[i + 2]}" for i in range(len(t) - 2)] + [f"u{c}" for c in s])
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -69,18 +76,17 @@ def allowed(value: str, name: str) -> int:
 class Index:
     """The inverted index of one kind's names."""
 
-    def __init__(self, names: list[tuple[str, str]], least: float = 0.2, margin: float = 0.01):
-        self.least, self.margin = least, margin
+    def __init__(self, names: list[tuple[str, str]]):
         self.names = sorted({(plain(n), e) for n, e in names if plain(n)})
         self.exact: dict[str, set[str]] = defaultdict(set)
         for n, e in self.names:
             self.exact[n].add(e)
-        seen = Counter(g for n, _ in self.names for g in pairs(n))
+        seen = Counter(g for n, _ in self.names for g in grams(n))
         self.weight = {g: math.log(1 + len(self.names) / c) for g, c in seen.items()}
         self.unseen = math.log(1 + len(self.names)) if self.names else 0.0
         self.index: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (n, _) in enumerate(self.names):
-            v = {g: c * self.weight[g] for g, c in pairs(n).items()}
+            v = {g: c * self.weight[g] for g, c in grams(n).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             for g, x in v.items():
                 self.index[g].append((k, x / norm))
@@ -92,24 +98,27 @@ class Index:
             return "", 0.0
         if len(own := self.exact.get(p, ())) == 1:
             return next(iter(own)), 1.0
-        v = {g: c * self.weight.get(g, self.unseen) for g, c in pairs(p).items()}
+        v = {g: c * self.weight.get(g, self.unseen) for g, c in grams(p).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         score: dict[int, float] = defaultdict(float)
         for g, x in v.items():
             for k, w in self.index.get(g, ()):
                 score[k] += x * w / norm
-        best: dict[str, tuple[int, float]] = {}
+        best: dict[str, tuple[float, str]] = {}
         for k, s in score.items():
             name, entry = self.names[k]
-            if s >= self.least:
-                most = allowed(p, name)
-                d = edits(p, name, most)
-                if d <= most:
-                    best[entry] = min(best.get(entry, (99, 0.0)), (d, -s))
-        ranked = sorted((d, s, e) for e, (d, s) in best.items())
-        if not ranked or len(ranked) > 1 and ranked[1][0] == ranked[0][0] and ranked[1][1] - ranked[0][1] < self.margin:
-            return "", 0.0
-        return ranked[0][2], -ranked[0][1]
+            if entry not in best or (-s, name) < best[entry]:
+                best[entry] = (-s, name)
+        return accepted(p, sorted((s, n, e) for e, (s, n) in best.items())[:2])
+
+
+def accepted(p: str, ranked: list[tuple[float, str, str]]) -> tuple[str, float]:
+    """The entry and score of the first of at most two candidates (-cosine, name, entry) of a normalised value, or the empty string."""
+    if not ranked or -ranked[0][0] < LEAST or len(ranked) > 1 and ranked[1][0] - ranked[0][0] < MARGIN:
+        return "", 0.0
+    s, name, entry = ranked[0]
+    most = allowed(p, name)
+    return (entry, -s) if edits(p, name, most) <= most else ("", 0.0)
 
 
 def live_values(memes: DataFrame) -> DataFrame:
@@ -130,18 +139,73 @@ def live_values(memes: DataFrame) -> DataFrame:
     return newest(rows, ["id"], "stamp", ["vals"]).select("id", F.explode("vals").alias("v")).select("id", "v.*")
 
 
+def joined_lookup(values: DataFrame, names: DataFrame) -> DataFrame:
+    """(fld, raw, entry, score) of distinct values (fld, raw) against names (kind, entry, name) of any number, by joins on n-grams."""
+
+    def counted(df: DataFrame, columns: list[str], text: str, normal: str) -> DataFrame:
+        def make():
+            def step(c):
+                out: dict[str, list] = {k: [] for k in (*columns, normal, "g", "c")}
+                for i, t in enumerate(c[text]):
+                    p = plain(t or "")
+                    for g, n in (grams(p) if p else {}).items():
+                        for k in columns:
+                            out[k].append(c[k][i])
+                        for k, v in ((normal, p), ("g", g), ("c", n)):
+                            out[k].append(v)
+                return out
+
+            return step
+
+        return map_batches(df, make, ", ".join(f"{k} string" for k in (*columns, normal)) + ", g string, c int")
+
+    ng = persist_table(counted(names, ["kind", "entry"], "name", "name").distinct(), "name-grams")
+    size = ng.select("kind", "entry", "name").distinct().groupBy("kind").agg(F.count("*").alias("names"))
+    weight = persist_table(ng.groupBy("kind", "g").agg(F.count("*").alias("often")).join(size, "kind").withColumn("w", F.log(1 + F.col("names") / F.col("often"))), "gram-weights")
+    ng = ng.join(weight.select("kind", "g", "w"), ["kind", "g"]).withColumn("x", F.col("c") * F.col("w"))
+    own = Window.partitionBy("kind", "entry", "name")
+    ng = persist_table(ng.select("kind", "entry", "name", "g", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(own))).alias("y")), "name-vectors")
+    vg = counted(values, ["fld", "raw"], "raw", "p").withColumnRenamed("fld", "kind").join(size, "kind").join(weight.drop("names"), ["kind", "g"], "left")
+    vg = vg.withColumn("x", F.col("c") * F.coalesce("w", F.log(1 + F.col("names")))).withColumn("often", F.coalesce("often", F.lit(0)))
+    mine = Window.partitionBy("kind", "raw")
+    vg = vg.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(mine)))
+    left_out = F.sum(F.col("x") * F.col("x")).over(mine.orderBy(F.desc("often"), "g"))  # the commonest n-grams together
+    vg = persist_table(vg.withColumn("needed", left_out >= LEAST * LEAST * 0.98).select("kind", "raw", "p", "g", "x", "needed"), "value-vectors")
+    met = vg.filter("needed").select("kind", "g", "raw").join(ng.select("kind", "g", "entry", "name"), ["kind", "g"]).select("kind", "raw", "entry", "name").distinct()
+    score = met.join(ng, ["kind", "entry", "name"]).join(vg.select("kind", "raw", "p", "g", "x"), ["kind", "raw", "g"]).groupBy("kind", "raw", "p", "entry", "name").agg((-F.sum(F.col("x") * F.col("y"))).alias("s"))
+    best = score.groupBy("kind", "raw", "p", "entry").agg(F.min(F.struct("s", "name")).alias("b"))
+    ranked = best.groupBy("kind", "raw", "p").agg(F.slice(F.array_sort(F.collect_list(F.struct("b.s", "b.name", "entry"))), 1, 2).alias("ranked"))
+    same = ng.select("kind", "name", "entry").distinct().groupBy("kind", "name").agg(F.min("entry").alias("same"), F.count("*").alias("n")).filter("n = 1")
+    ranked = ranked.join(same.select("kind", F.col("name").alias("p"), "same"), ["kind", "p"], "left")
+
+    def make():
+        def step(c):
+            found = [(e, 1.0) if e is not None else accepted(p, [(x["s"], x["name"], x["entry"]) for x in r]) for p, e, r in zip(c["p"], c["same"], c["ranked"])]
+            return {"fld": c["kind"], "raw": c["raw"], "entry": [e for e, _ in found], "score": [s for _, s in found]}
+
+        return step
+
+    found = map_batches(ranked, make, "fld string, raw string, entry string, score double")
+    return values.join(found, ["fld", "raw"], "left").na.fill({"entry": "", "score": 0.0})
+
+
 def mapped(values: DataFrame, vocabulary: DataFrame, most_names: int = 100_000) -> DataFrame:
     """Adds ``entry`` and ``score`` to (.., fld, raw): each distinct value is looked up once and joined back."""
-    rows = vocabulary.select("kind", "entry", "aliases").limit(most_names + 1).collect()
+    spark = values.sparkSession
+    listed = F.array_union(F.array("entry"), F.coalesce("aliases", F.array().cast("array<string>")))
+    names = vocabulary.select("kind", "entry", F.explode(listed).alias("name")).filter("kind is not null and entry is not null and name is not null")
+    # few distinct values may stand in one task after they are merged
+    distinct = values.select("fld", "raw").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = names.limit(most_names + 1).collect()
     if len(rows) > most_names:
-        raise ValueError(f"the reference list has more than {most_names} names")
+        return values.join(joined_lookup(persist_table(distinct, "values"), names), ["fld", "raw"])
     by_kind: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for r in rows:
-        by_kind[r.kind] += [(r.entry, r.entry), *[(a, r.entry) for a in r.aliases or () if a]]
-    names = values.sparkSession.sparkContext.broadcast(dict(by_kind))
+        by_kind[r.kind].append((r.name, r.entry))
+    known = spark.sparkContext.broadcast(dict(by_kind))
 
     def make():
-        index = {k: Index(v) for k, v in names.value.items()}
+        index = {k: Index(v) for k, v in known.value.items()}
         none = Index([])
 
         def step(c):
@@ -150,8 +214,7 @@ def mapped(values: DataFrame, vocabulary: DataFrame, most_names: int = 100_000)
 
         return step
 
-    looked_up = map_batches(values.select("fld", "raw").distinct(), make, "fld string, raw string, entry string, score double")
-    return values.join(looked_up, ["fld", "raw"])
+    return values.join(map_batches(distinct, make, "fld string, raw string, entry string, score double"), ["fld", "raw"])
 
 
 def mapped_fields(memes: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -53,9 +53,9 @@ def letters(text: str) -> str:
 
 
 def grams(s: str) -> str:
-    """The pairs of letters of a value, adjacent or one apart."""
+    """The n-grams of a value: letters, pairs and letters one apart."""
     t = f"('^' || {s} || '$')"
-    return f"list_concat(list_transform(range(1, length({t})), lambda i: {t}[i:i + 1]), list_transform(range(1, length({t}) - 1), lambda i: {t}[i] || {t}[i + 2]))"
+    return f"list_concat(list_concat(list_transform(range(1, length({t})), lambda i: {t}[i:i + 1]), list_transform(range(1, length({t}) - 1), lambda i: 's' || {t}[i] || {t}[i + 2])), list_transform(range(1, length({s}) + 1), lambda i: 'u' || {s}[i]))"
 
 
 def listed(c: str) -> str:
@@ -70,10 +70,10 @@ P6 = f"""WITH {LIVE}, vals AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SEL
  nv AS (SELECT kind, entry, name, g, c * w AS x, sqrt(sum((c * w) * (c * w)) OVER (PARTITION BY kind, entry, name)) AS norm FROM ng JOIN weight USING (kind, g)),
  vg AS (SELECT fld, raw, p, g, count(*) AS c FROM (SELECT *, unnest({grams("p")}) AS g FROM v WHERE p <> '') GROUP BY ALL),
  vv AS (SELECT fld, raw, p, vg.g, c * coalesce(w, ln(1 + n)) AS x, sqrt(sum((c * coalesce(w, ln(1 + n))) * (c * coalesce(w, ln(1 + n)))) OVER (PARTITION BY fld, raw)) AS norm FROM vg JOIN size ON size.kind = fld LEFT JOIN weight ON weight.kind = fld AND weight.g = vg.g),
- score AS (SELECT fld, raw, p, entry, name, sum(vv.x * nv.x / vv.norm / nv.norm) AS s FROM vv JOIN nv ON nv.kind = fld AND nv.g = vv.g GROUP BY ALL HAVING s >= 0.2),
- near AS (SELECT fld, raw, entry, min({{'d': damerau_levenshtein(p, name), 's': -s}}) AS k FROM score WHERE damerau_levenshtein(p, name) <= (CASE WHEN greatest(length(p), length(name)) <= 4 THEN 1 WHEN greatest(length(p), length(name)) <= 11 THEN 2 ELSE 3 END) GROUP BY ALL),
- best AS (SELECT *, row_number() OVER w AS r, lead(k) OVER w AS nxt FROM near WINDOW w AS (PARTITION BY fld, raw ORDER BY k, entry)),
+ score AS (SELECT fld, raw, p, entry, name, sum(vv.x * nv.x / vv.norm / nv.norm) AS s FROM vv JOIN nv ON nv.kind = fld AND nv.g = vv.g GROUP BY ALL),
+ near AS (SELECT fld, raw, p, entry, min({{'s': -s, 'name': name}}) AS k FROM score GROUP BY ALL),
+ best AS (SELECT *, row_number() OVER w AS r, lead(k.s) OVER w AS nxt FROM near WINDOW w AS (PARTITION BY fld, raw ORDER BY k, entry)),
  exact AS (SELECT fld, raw, min(entry) AS entry FROM v JOIN names ON kind = fld AND name = p GROUP BY fld, raw HAVING count(DISTINCT entry) = 1)
- SELECT id, t.fld, t.raw, coalesce(e.entry, CASE WHEN b.nxt IS NOT NULL AND b.nxt.d = b.k.d AND b.nxt.s - b.k.s < 0.01 THEN '' ELSE b.entry END, '') AS entry FROM todo t LEFT JOIN exact e USING (fld, raw) LEFT JOIN best b ON b.fld = t.fld AND b.raw = t.raw AND b.r = 1"""
+ SELECT id, t.fld, t.raw, coalesce(e.entry, CASE WHEN -b.k.s >= 0.25 AND (b.nxt IS NULL OR b.nxt - b.k.s >= 0.03) AND damerau_levenshtein(b.p, b.k.name) <= (CASE WHEN greatest(length(b.p), length(b.k.name)) <= 4 THEN 1 WHEN greatest(length(b.p), length(b.k.name)) <= 11 THEN 2 ELSE 3 END) THEN b.entry END, '') AS entry FROM todo t LEFT JOIN exact e USING (fld, raw) LEFT JOIN best b ON b.fld = t.fld AND b.raw = t.raw AND b.r = 1"""
 
 SQL: dict[str, str] = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p6_found": P6}

@@ -1,11 +1,12 @@
 """Problem 6."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
 
-from motleydex.llm.canonical import Index, edits, live_values, mapped_fields, plain
+from motleydex.llm.canonical import Index, accepted, edits, joined_lookup, live_values, mapped, mapped_fields, plain
 
 VOCAB = [("emotion", 1, "joy", ["happiness"]), ("emotion", 2, "approval", ["thumbs up"]), ("emotion", 3, "disapproval", ["thumbs down"]), ("intent", 4, "react_to_absurdity", []), ("regions", 5, "pan_india", None), ("regions", 6, "bengal", ["bangla"])]
 
@@ -49,4 +50,28 @@ def test_fields(spark):
     got = sorted((r.id, r.fld, r.raw[:20], r.entry) for r in mapped_fields(df, vocab).collect())
     assert got == [("a", "emotion", "Joyy", "joy"), ("a", "emotion", "zz", ""), ("a", "intent", "react to absurdity", "react_to_absurdity"), ("b", "regions", "pan india ", "pan_india"), ("c", "emotion", "x" * 20, "")]
     assert mapped_fields(df.limit(0), vocab).count() == 0 and mapped_fields(df, vocab.limit(0)).filter("entry <> ''").count() == 0
+    for values in (live_values(df), live_values(df).limit(0)):
+        small, large = (sorted(map(tuple, mapped(values, vocab, most_names=n).select('id', 'fld', 'raw', 'entry').collect())) for n in (100_000, 3))
+        assert small == large
     assert live_values(df).filter("id = 'a' and fld = 'emotion'").count() == 3
+
+
+def test_margin_and_threshold():
+    assert accepted("abcd", [(-0.8, "abcx", "x"), (-0.5, "abqx", "y")]) == ("x", 0.8)
+    assert accepted("abcd", [(-0.8, "abcx", "x"), (-0.78, "abcy", "y")]) == ("", 0.0)
+    assert accepted("abcd", [(-0.2, "abcx", "x")]) == ("", 0.0) and accepted("abcd", [(-0.8, "axyz", "x")]) == ("", 0.0) and accepted("abcd", []) == ("", 0.0)
+
+
+def test_the_joined_index_equals_the_broadcast_one(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("aeioklmnrst") for _ in range(rng.randrange(3, 12))) for _ in range(200)]
+    typed = []
+    for n in names:
+        t = list(n)
+        for _ in range(rng.randrange(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice("aeioklmnrst")
+        typed.append("".join(t))
+    index = Index([(n, n) for n in names])
+    vocab = spark.createDataFrame([("k", n, n) for n in names], "kind string, entry string, name string")
+    got = {r.raw: r.entry for r in joined_lookup(spark.createDataFrame([("k", t) for t in {*typed, "!!", "zzz"}], "fld string, raw string"), vocab).collect()}
+    assert got == {t: index.lookup(t)[0] for t in got} and len(got) == len({*typed}) + 2 and sum(e != "" for e in got.values()) > 100
