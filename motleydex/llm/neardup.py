@@ -201,12 +201,13 @@ def rarest_words(classes: DataFrame, threshold: float) -> DataFrame:
     return lists.select("cls", F.explode(first).alias("w")).select("cls", "w.word")
 
 
-def class_pairs(classes: DataFrame, threshold: float = THRESHOLD, most: int = 2000) -> DataFrame:
+def class_pairs(classes: DataFrame, threshold: float = THRESHOLD, most: int = 2000, tasks: int | None = None) -> DataFrame:
     """(cls_a, cls_b): pairs of classes whose word sets have a Jaccard similarity above ``threshold``.
 
-    ``classes`` is a stored table of signed().
+    ``classes`` is a stored table of signed(); ``tasks`` defaults to the session's number of shuffle partitions.
     """
-    rows = classes.select(F.explode("sigs").alias("sig"), "cls", "low", "rest").repartition("sig")
+    tasks = tasks or int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.select(F.explode("sigs").alias("sig"), "cls", "low", "rest").repartition(tasks, "sig")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("sig")))
     usual, hot = rows.filter(F.col("n") <= most).drop("n"), rows.filter(F.col("n") > most).drop("n")
 
@@ -230,8 +231,12 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD, most: int = 20
 def near_duplicates(memes: DataFrame, threshold: float = THRESHOLD, miss: float = 0.03, most: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Membership (id, cls) of every record with words, and the pairs (cls_a, cls_b) of similar classes."""
     sets = persist_table(word_sets(memes).withColumn("cls", F.xxhash64("words")), "word-sets")
-    classes = persist_table(signed(sets.groupBy("cls").agg(F.first("words").alias("words")), *bucket_plan(memes.count(), threshold, miss), threshold), "classes")
-    return sets.select("id", "cls"), class_pairs(classes, threshold, most)
+    records = memes.count()
+    words_per_bucket, signatures = bucket_plan(records, threshold, miss)
+    classes = persist_table(signed(sets.groupBy("cls").agg(F.first("words").alias("words")), words_per_bucket, signatures, threshold), "classes")
+    # a set has its signatures in about two bands; a task takes some 300,000 of them, whatever the session's number of partitions
+    tasks = max(int(memes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * signatures * records // 300_000)
+    return sets.select("id", "cls"), class_pairs(classes, threshold, most, tasks)
 
 
 def duplicate_pairs(memes: DataFrame, threshold: float = THRESHOLD, miss: float = 0.03, most: int = 2000) -> DataFrame:
