@@ -62,7 +62,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen documents with their repeats."""
+    """The chosen documents, span by span, with their repeats."""
     from .mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from motleydex.llm.encode import VOCABULARY
-from motleydex.llm.mixing import mixture, packed, permuted
+from motleydex.llm.mixing import mixture, packed, permuted, shard_counts, source_slots
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
 
@@ -19,16 +19,38 @@ def test_permutations():
     assert (a != b).mean() > 0.9
 
 
-def test_blocks_hold_what_starts_in_them(spark):
-    df = spark.range(500).selectExpr("id doc_id", "if(id % 3 = 0, 'x', 'y') source", "cast(id % 40 + 1 as bigint) tokens")
+def test_blocks_are_of_fixed_length_and_spans_cover_documents(spark):
+    df = spark.range(500).selectExpr("id doc_id", "if(id % 3 = 0, 'x', 'y') source", "cast(if(id = 9, 1000, id % 40 + 1) as bigint) tokens")
+    size = {r.doc_id: r.tokens for r in df.collect()}
     rows = packed(df, 100, 7).collect()
-    assert len(rows) == 500
+    spans, blocks = {}, {}
+    for r in rows:
+        spans.setdefault(r.doc_id, []).append((r.from_token, r.tokens))
+        blocks[r.source, r.block] = blocks.get((r.source, r.block), 0) + r.tokens
+    assert set(spans) == set(size) and len(spans[9]) >= 10
+    for i, got in spans.items():
+        assert sorted(got)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(got), sorted(got)[1:])) and sum(n for _, n in got) == size[i]
     for s in "xy":
-        blocks = {}
-        for r in rows:
-            if r.source == s:
-                blocks.setdefault(r.block, []).append(r.tokens)
-        assert sorted(blocks) == list(range(max(blocks) + 1)) and all(sum(v) <= 100 + 40 for v in blocks.values())
+        own = [blocks[s, b] for b in range(max(b for t, b in blocks if t == s) + 1)]
+        assert set(own[:-1]) == {100} and 0 < own[-1] <= 100
+
+
+def test_shards_add_up_to_the_totals():
+    totals = np.array([700, 300, 21, 0, 3])
+    shards = 4
+    rows = [shard_counts(totals, s, shards, 256, 5) for s in range(shards)]
+    assert np.array_equal(sum(n for n, _ in rows), totals) and all(n.sum() == 256 for n, _ in rows)
+    for s, (_, before) in enumerate(rows):
+        assert np.array_equal(before, sum((n for n, _ in rows[:s]), np.zeros(5, np.int64)))
+    assert len({tuple(n) for n, _ in rows}) > 1  # drawn, not divided
+    big = np.array([3 * 10**9, 10**9])
+    parts = [shard_counts(big, s, 8, 500_000_000, 1)[0] for s in range(8)]
+    assert np.array_equal(sum(parts), big) and all(p.sum() == 500_000_000 for p in parts)
+
+
+def test_slots_stay_within_passes():
+    got = source_slots(np.array([0.5, 0.5, 0.0]), np.array([10_000, 100, 50]), np.array([100, 1, 1]), np.array([1, 3, 1]), 8000)
+    assert got.tolist() == [40, 3, 0]
 
 
 def test_shares_and_repeats(spark):
@@ -37,9 +59,9 @@ def test_shares_and_repeats(spark):
     chosen, report = mixture(docs, targets, block_tokens=64, shard_slots=64)
     got = {r.source: r for r in report.collect()}
     assert got["absent"].reached_share == 0 and got["small"].most_repeats == 2 and got["big"].most_repeats == 1
-    assert got["big"].reached_share == pytest.approx(0.5 / 0.9, abs=0.08) and sum(r.reached_share for r in got.values()) == pytest.approx(1)
+    assert got["big"].reached_share == pytest.approx(0.5 / 0.9, rel=0.02) and sum(r.reached_share for r in got.values()) == pytest.approx(1)
     rows = chosen.collect()
-    assert len({r.doc_id for r in rows}) == len(rows) and {r.source for r in rows} == {"big", "small"} and all(r.doc_id % 50 != 49 for r in rows)
+    assert len({(r.doc_id, r.from_token) for r in rows}) == len(rows) and {r.source for r in rows} == {"big", "small"} and all(r.doc_id % 50 != 49 for r in rows)
     again = mixture(docs, targets, block_tokens=64, shard_slots=64)[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
