@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.text import shown_caption
 from ..sources.items import Items, as_items
 from ..sources.schema import SearchOptions, SearchRequest
+from ..sources.tables import persist_table
 from .fulltext import bm25
 from .people import exact_people
 from .rerank import OverlapReranker, Reranker, cross_encode
-from .vector_search import metadata_filter, search_aspect
+from .vector_search import metadata_filter, rankings
 
 RRF_K = 60
 
@@ -38,14 +39,21 @@ def fused_order() -> list[Column]:
 def fused_search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: Items | DataFrame, query: list[float], text: str, names: list[str], options: SearchOptions) -> DataFrame:
     """The fused hits: items with rrf_score and their place, up to 4 x limit, after the metadata filter.
 
-    Lists in order: exact people twice, the four vector rankings, BM25. Rankings carry ids only;
-    the at most 4 x limit ids that survive are broadcast to fetch the items.
+    Lists in order: exact people twice, the four vector rankings, BM25. Rankings carry ids only, and the vectors of all aspects are read in one
+    pass; the at most 4 x limit ids that survive are stored once and broadcast to fetch the items.
     """
     k = max(options.limit * 8, 80)
-    exact = exact_people(people, names)
-    rankings = [exact, exact, *[search_aspect(vectors[a], items, query, k, options.min_similarity) for a in ("main", "people", "context", "use_case")], bm25(texts, text, k)]
-    top = rrf(union_rankings(rankings)).orderBy(*fused_order()).limit(options.limit * 4)
-    top = top.withColumnRenamed("meme_id", "id")
+    place = {a: i for i, a in enumerate(("main", "people", "context", "use_case"), 3)}
+    same = {}  # aspects that read the same vectors are scored once
+    for a in place:
+        same.setdefault(id(vectors[a]), []).append(a)
+    near = rankings({group[0]: vectors[group[0]] for group in same.values()}, items, query, k, options.min_similarity)
+    numbers = F.create_map(*[x for group in same.values() for x in (F.lit(group[0]), F.array(*[F.lit(place[a]) for a in group]))])
+    near = near.select(F.explode(numbers[F.col("aspect")]).alias("list_no"), "meme_id", F.col("pos").cast("int").alias("pos"))
+    exact = exact_people(people, names).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("list_no"), "meme_id", F.col("pos").cast("int").alias("pos"))
+    words = bm25(texts, text, k).select(F.lit(7).alias("list_no"), "meme_id", F.col("pos").cast("int").alias("pos"))
+    top = rrf(exact.unionByName(near).unionByName(words)).orderBy(*fused_order()).limit(options.limit * 4)
+    top = persist_table(top.withColumnRenamed("meme_id", "id"), "fused")
     hits = as_items(items).pick(top).join(F.broadcast(top), "id").filter(metadata_filter(options))
     return hits.withColumn("similarity", F.lit(1.0)).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*fused_order())))
 

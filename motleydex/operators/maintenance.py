@@ -93,15 +93,18 @@ TABLES = {"items": "ITEMS", "vectors": "VECTORS", "people": "PEOPLE", "search_te
 
 
 def create_tables(spark: SparkSession, root: str) -> list[str]:
-    """Writes an empty table of each schema under ``root`` where none is; returns the names of those written."""
+    """Writes an empty table of each schema under ``root`` where none is; returns the names of those written.
+
+    A table is made only where the path does not exist; one that cannot be read is an error and stays as it is.
+    """
     from ..sources import schema
+    from ..sources.tables import exists
 
     made = []
     for name, kind in TABLES.items():
-        try:
-            spark.read.parquet(f"{root}/{name}.parquet")
-        except Exception:
-            spark.createDataFrame([], getattr(schema, kind)).write.mode("overwrite").parquet(f"{root}/{name}.parquet")
+        path = f"{root}/{name}.parquet"
+        if not exists(spark, path):
+            spark.createDataFrame([], getattr(schema, kind)).write.mode("errorifexists").parquet(path)
             made.append(name)
     return made
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..sources.items import Items, as_items
 from ..sources.schema import SearchOptions
+from ..sources.tables import ship
 
 MOST_QUERIES = 10_000
 
@@ -35,6 +36,21 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return scored.orderBy(F.desc("similarity"), "meme_id").limit(k)
 
 
+def rankings(vectors: dict[str, DataFrame], items: Items | DataFrame, query: list[float], k: int, min_similarity: float) -> DataFrame:
+    """(aspect, meme_id, similarity, pos): search_aspect() for several aspects in one pass over their vectors.
+
+    Of each aspect the k nearest are found per task before anything is shuffled for the ranking; the ids of all are looked up together.
+    """
+    similarity = cosine(F.col("embedding"), as_vector(query)).alias("similarity")
+    one = [v.select(F.lit(a).alias("aspect"), "meme_id", *(["created_at"] if "created_at" in v.columns else [F.lit(None).cast("timestamp_ntz").alias("created_at")]), similarity) for a, v in vectors.items()]
+    scored = reduce(DataFrame.unionByName, one).groupBy("aspect", "meme_id").agg(F.max(F.struct("created_at", "similarity")).alias("v")).select("aspect", "meme_id", "v.similarity")
+    order = Window.partitionBy("aspect").orderBy(F.desc("similarity"), "meme_id")
+    top = scored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+    known = as_items(items).known(top.select(F.col("meme_id").alias("id"))).select(F.col("id").alias("meme_id"))
+    kept = top.join(F.broadcast(known), "meme_id", "left_semi").filter(F.col("similarity") >= min_similarity)  # at most k rows an aspect
+    return kept.withColumn("pos", F.row_number().over(order))
+
+
 def search_aspect(vectors: DataFrame, items: Items | DataFrame, query: list[float], k: int, min_similarity: float) -> DataFrame:
     """(meme_id, similarity, pos): the k nearest vectors first, then those with an item and at least the similarity, by rank.
 
@@ -75,9 +91,10 @@ def nearest_for_queries(vectors: DataFrame, queries: DataFrame, k: int | str) ->
     """(query_id, meme_id, similarity, pos): the k nearest vectors of each query (query_id, vector[, k]).
 
     The queries are broadcast in blocks of ``MOST_QUERIES``, each a pass over the vectors; each task multiplies its
-    batches of vectors with them and keeps its best k per query, so what is shuffled does not
+    batches of vectors with them and keeps its best k per query (similarities that agree in 12 digits are ties), so what is shuffled does not
     grow with the vectors but with tasks x queries x k.
     """
+    ship(vectors.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
     blocks, rows = [], []
     for r in queries.toLocalIterator():
@@ -101,27 +118,32 @@ def _nearest_for_block(vectors: DataFrame, rows: list, kind: str, k: int | str)
 
     def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, kk, q, qn = shared.value
-        if not len(qids):
+        n_queries = len(qids)
+        if not n_queries:
             return
-        best: list[list[tuple[float, str]]] = [[] for _ in qids]
+        kept = np.array(kk)
+        bar = np.full(n_queries, -np.inf)  # the similarity that a vector must reach to be among a query's best so far
+        at, name, sim = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         for b in batches:
-            if not b.num_rows:
+            names = np.array(b.column("meme_id").to_pylist(), dtype=object)
+            if not len(names):
                 continue
-            names = b.column("meme_id").to_pylist()
             v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-            size = np.linalg.norm(v, axis=1)[:, None] * qn[None, :]
-            sims = np.divide(v @ q.T, size, out=np.zeros_like(size), where=size > 0)
-            for j in range(len(qids)):
-                n = kk[j]
-                col = sims[:, j]
-                if len(col) > n:
-                    bar = np.partition(-col, n - 1)[n - 1]
-                    at = np.flatnonzero(-col <= bar)
-                else:
-                    at = np.arange(len(col))
-                best[j] = sorted([*best[j], *((-float(col[i]), names[i]) for i in at)])[:n]
-        out = [(qids[j], name, -s) for j in range(len(qids)) for s, name in best[j]]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string() if kind == "string" else pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "meme_id", "similarity"])
+            norm = np.linalg.norm(v, axis=1)
+            rows = max(1, 4_000_000 // n_queries)
+            for lo in range(0, len(names), rows):
+                size = norm[lo : lo + rows, None] * qn[None, :]
+                sims = np.round(np.divide(v[lo : lo + rows] @ q.T, size, out=np.zeros_like(size), where=size > 0), 12)
+                i, j = np.nonzero(sims >= bar)
+                at, name, sim = np.concatenate([at, j]), np.concatenate([name, names[lo + i]]), np.concatenate([sim, sims[i, j]])
+                order = np.lexsort((name.astype(str), -sim, at))
+                at, name, sim = at[order], name[order], sim[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+                last = place == kept[at] - 1
+                bar[at[last]] = sim[last]
+                best = place < kept[at]
+                at, name, sim = at[best], name[best], sim[best]
+        yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in at.tolist()], pa.string() if kind == "string" else pa.int64()), pa.array(name.tolist(), pa.string()), pa.array(sim, pa.float64())], ["query_id", "meme_id", "similarity"])
 
     met = vectors.select("meme_id", "embedding").mapInArrow(local_best, f"query_id {'string' if kind == 'string' else 'long'}, meme_id string, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "meme_id")
@@ -140,7 +162,7 @@ def batch_search(vectors: DataFrame, items: Items | DataFrame, queries: DataFram
     top = nearest_for_queries(vectors, queries, limit * 10)
     options = queries.select("query_id", *[F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c) for c in ("language", "region")])
     top = top.withColumnRenamed("meme_id", "id")
-    hits = top.join(as_items(items).among(top), "id").join(F.broadcast(options), "query_id")
+    hits = top.join(as_items(items).among(top), "id").join(options, "query_id")
     lang = F.col("language").isNull() | (F.col("language") == "") | F.array_contains("supported_languages", F.col("language")) | F.col("primary_language").eqNullSafe(F.col("language"))
     region = F.col("region").isNull() | (F.col("region") == "") | F.array_contains("regions", F.col("region")) | F.array_contains("regions", "pan_india")
     kept = hits.filter(lang & region & (F.col("similarity") >= min_similarity))

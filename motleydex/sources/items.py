@@ -118,7 +118,8 @@ def vector_versions(spark: SparkSession, sf_dir: str, dim: int = 64) -> dict[str
     out = {}
     for a in ASPECTS:
         t = table(spark, sf_dir, f"embeddings_{'context' if a == 'use_case' else a}")
-        out[a] = t.filter("meme_id is not null").filter(usable("embedding", dim)).select("meme_id", "embedding", "created_at")
+        # the data have no use-case vectors; that aspect is the context's own frame, so searches read it once
+        out[a] = out["context"] if a == "use_case" else t.filter("meme_id is not null").filter(usable("embedding", dim)).select("meme_id", "embedding", "created_at")
     return out
 
 

@@ -9,13 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.embed_job import Embedder, aspect_texts, embedded, missing_aspects
 from ..sources.items import live_rows, parsed
 from ..sources.schema import ASPECTS, ITEM_COLUMNS, ITEMS, NESTED, VECTORS
+from ..sources.tables import exists
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(VECTORS).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], VECTORS)
+    """The stored vectors; only a path that does not exist counts as none, any other failure is an error."""
+    return spark.read.schema(VECTORS).parquet(path) if exists(spark, path) else spark.createDataFrame([], VECTORS)
 
 
 def fill_vectors(spark: SparkSession, items_path: str, vectors_path: str, checkpoint: str, embedder: Embedder, files_per_batch: int = 100) -> StreamingQuery:

@@ -187,3 +187,20 @@ def test_debounce(spark):
 
 def test_scratch_follows_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_an_unreadable_table_is_an_error_and_stays(spark, tmp_path):
+    """A failed read never counts as an empty table: nothing is overwritten, nothing is embedded again."""
+    from motleydex.streaming.ingest import read_vectors
+
+    root = str(tmp_path / "db")
+    maintenance.create_tables(spark, root)
+    broken = tmp_path / "db" / "items.parquet"
+    for f in broken.iterdir():
+        f.unlink()
+    (broken / "part-0.parquet").write_bytes(b"half written")
+    assert maintenance.create_tables(spark, root) == []
+    assert (broken / "part-0.parquet").read_bytes() == b"half written"
+    with pytest.raises(Exception, match="part-0"):
+        read_vectors(spark, str(broken)).count()
+    assert read_vectors(spark, str(tmp_path / "absent")).count() == 0

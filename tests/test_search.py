@@ -118,3 +118,18 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "MOST_QUERIES", 2)
     for k, rows in whole.items():
         assert sorted(map(tuple, vector_search.nearest_for_queries(vectors, queries, k).collect())) == rows and rows
+
+
+def test_batch_search_beyond_a_block_of_queries(spark):
+    """25,000 queries, worked through in blocks, against brute force."""
+    rng = np.random.default_rng(2)
+    v, q = rng.standard_normal((40, 4)), rng.standard_normal((25_000, 4))
+    vectors = spark.createDataFrame([(f"m{i:02}", x.tolist()) for i, x in enumerate(v)] + [("a", v[0].tolist())], "meme_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>")
+    got = nearest_for_queries(vectors, queries, 3).toPandas().sort_values(["query_id", "pos"])
+    assert len(got) == 75_000
+    ids = ["a", *(f"m{i:02}" for i in range(40))]
+    both = np.concatenate([v[:1], v])
+    sims = np.round((both @ q.T) / np.linalg.norm(both, axis=1)[:, None] / np.linalg.norm(q, axis=1), 10)
+    best = np.lexsort((np.arange(41)[:, None] + np.zeros_like(sims), -sims), axis=0)[:3]
+    assert got.meme_id.tolist() == [ids[i] for i in best.T.ravel()]
