@@ -45,6 +45,19 @@ class HashEmbedder:
         return np.divide(out, norm, out=out, where=norm > 0)
 
 
+class LetterEmbedder:
+    """A deterministic stand-in that SQL can repeat: how often each letter a to z and digit stands in a text, to unit length."""
+
+    model = "letter-embedder-1"
+    dim = 36
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+        out = np.array([[t.count(c) + (t.count(c.upper()) if c.isalpha() else 0) for c in signs] for t in (x or "" for x in texts)], np.float64).reshape(len(texts), self.dim)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+
 def missing_aspects(items: DataFrame, vectors: dict[str, DataFrame]) -> DataFrame:
     """(id, missing): items without a vector in at least one aspect, with those aspects.
 

@@ -11,6 +11,7 @@ from ..functions.text import shown_caption
 from ..sources.items import Items, as_items
 from ..sources.schema import SearchOptions, SearchRequest
 from ..sources.tables import persist_table
+from .analysis import QueryAnalyzer, analysed_names
 from .fulltext import bm25
 from .people import exact_people
 from .rerank import OverlapReranker, Reranker, cross_encode
@@ -84,13 +85,13 @@ def response(ranked: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: Items | DataFrame, query: list[float], request: SearchRequest, reranker: Reranker | None = None, names: list[str] | None = None) -> DataFrame:
+def search(vectors: dict[str, DataFrame], texts: DataFrame, people: DataFrame, items: Items | DataFrame, query: list[float], request: SearchRequest, reranker: Reranker | None = None, names: list[str] | None = None, analyzer: QueryAnalyzer | None = None) -> DataFrame:
     """A whole search: fused with three times the limit, reranked if asked for, ranked, cut. One plan but for the reranker's rows.
 
-    The live request names no people, as nothing detects them; pass ``names`` to use that ranking.
+    The people's ranking uses ``names``, or those that an ``analyzer`` finds in the query; the live request has neither.
     """
     options = SearchOptions(request.language, request.region, request.emotion, request.limit * 3, 0.30)
-    hits = fused_search(vectors, texts, people, items, query, request.query, names or [], options)
+    hits = fused_search(vectors, texts, people, items, query, request.query, names or analysed_names(request.query, analyzer), options)
     if request.rerank:
         hits = cross_encode(hits, request.query, 15, reranker or OverlapReranker())
     return response(rank(hits, options), request.limit)

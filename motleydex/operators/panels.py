@@ -11,6 +11,7 @@ PAD = 6
 STRIP_SHARE, STRIP_LEAST = 0.42, 30
 COVERED = 0.12
 FLAT, THIN, NARROW, DARK, BRIGHT, DEPTH = 8.0, 3, 40, 40, 215, 6
+WEAK, STRONG, VOTES, RUN, GAP, SEAM, MERGE = 50, 150, 60, 0.3, 12, 0.55, 3
 
 
 def whole(c: Column) -> Column:
@@ -134,26 +135,80 @@ def gutter(spread: np.ndarray, mean: np.ndarray) -> tuple[int, int] | None:
     return min(found, key=lambda r: abs((r[0] + r[1]) / 2 - n / 2), default=None)
 
 
-def split_panels(gray: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """The panels (x, y, w, h) of a gray picture cut at its gutters, rows before columns, at most 6 cuts deep.
+def edges(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(across, upright): the pixels of edges that run across and upright in a gray picture.
 
-    Seams without a gutter need an edge detector that this environment lacks; they are not found.
+    Gradients of a 3 x 3 neighbourhood; a pixel counts where none beside it across the edge is stronger and it is strong
+    (WEAK to STRONG only if connected with a strong one).
+    """
+    g = np.pad(gray.astype(float), 1, mode="edge")
+    rows = g[:-2] + 2 * g[1:-1] + g[2:]
+    columns = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
+    gx, gy = np.abs(rows[:, 2:] - rows[:, :-2]), np.abs(columns[2:] - columns[:-2])
+    size = gx + gy
+    wide = np.pad(size, 1)
+    flat = gy >= gx
+    before = np.where(flat, wide[:-2, 1:-1], wide[1:-1, :-2])
+    behind = np.where(flat, wide[2:, 1:-1], wide[1:-1, 2:])
+    ridge = (size > before) & (size >= behind)
+    weak, on = ridge & (size > WEAK), ridge & (size > STRONG)
+    while True:
+        near = np.pad(on, 1)
+        grown = weak & np.logical_or.reduce([near[i : i + gray.shape[0], j : j + gray.shape[1]] for i in range(3) for j in range(3)])
+        if (grown == on).all():
+            return on & flat, on & ~flat
+        on = grown
+
+
+def seams(lines: np.ndarray) -> list[tuple[int, float]]:
+    """(position, coverage) of straight seams in the edges that run across: rows where long straight runs cover most of the span.
+
+    Text has strokes too short for such runs. Runs within 3 rows of one another count together.
     """
+    n, span = lines.shape
+    if n < 2 * NARROW:
+        return []
+    found: list[tuple[int, np.ndarray]] = []
+    for at in range(NARROW, n - NARROW + 1):
+        on = np.flatnonzero(lines[max(0, at - 1) : at + 2].any(axis=0))
+        if not lines[at : at + 1].any() or len(on) < VOTES:
+            continue
+        parts = np.split(on, np.flatnonzero(np.diff(on) > GAP + 1) + 1)
+        cover = np.zeros(span, bool)
+        for r in parts:
+            if r[-1] - r[0] + 1 >= RUN * span and len(r) >= max(VOTES, 0.8 * (r[-1] - r[0] + 1)):
+                cover[r[0] : r[-1] + 1] = True
+        if cover.any():
+            near = next((k for k, (q, _) in enumerate(found) if abs(q - at) <= MERGE), None)
+            if near is None:
+                found.append((at, cover))
+            else:
+                found[near] = (found[near][0], found[near][1] | cover)
+    return [(q, float(c.mean())) for q, c in found if c.mean() >= SEAM]
+
+
+def split_panels(gray: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The panels (x, y, w, h) of a gray picture: cut at its gutters, rows before columns, and where there are none at the grid of
+    its seams, at most 6 cuts deep."""
     out, todo = [], [(0, 0, gray.shape[1], gray.shape[0], 0)]
     while todo:
         x, y, w, h, depth = todo.pop()
-        part, cut, rows = gray[y : y + h, x : x + w].astype(float), None, True
+        part = gray[y : y + h, x : x + w].astype(float)
+        ys, xs = [(0, h)], [(0, w)]
         if depth < DEPTH:
-            if h >= 2 * NARROW:
-                cut = gutter(part.std(axis=1), part.mean(axis=1))
-            if cut is None and w >= 2 * NARROW:
-                cut, rows = gutter(part.std(axis=0), part.mean(axis=0)), False
-        if cut is None:
+            cut = gutter(part.std(axis=1), part.mean(axis=1)) if h >= 2 * NARROW else None
+            if cut:
+                ys = [(0, cut[0]), (cut[1], h)]
+            elif w >= 2 * NARROW and (cut := gutter(part.std(axis=0), part.mean(axis=0))):
+                xs = [(0, cut[0]), (cut[1], w)]
+            else:
+                across, upright = edges(part)
+                rows, columns = ([0, *(q for q, _ in seams(e)), n] for e, n in ((across, h), (upright.T, w)))
+                ys, xs = list(zip(rows, rows[1:])), list(zip(columns, columns[1:]))
+        if len(ys) * len(xs) == 1:
             out.append((x, y, w, h))
-        elif rows:
-            todo += [(x, y + cut[1], w, h - cut[1], depth + 1), (x, y, w, cut[0], depth + 1)]
         else:
-            todo += [(x + cut[1], y, w - cut[1], h, depth + 1), (x, y, cut[0], h, depth + 1)]
+            todo += [(x + x0, y + y0, x1 - x0, y1 - y0, depth + 1) for y0, y1 in reversed(ys) for x0, x1 in reversed(xs)]
     return out
 
 
@@ -176,3 +231,22 @@ def detect_panels(images: DataFrame) -> DataFrame:
 def ink(bright: Column, dark: Column) -> Column:
     """Whether text is dark on bright: only if strictly more pixels are dark (under 55) than bright (over 200)."""
     return F.when(dark > bright, "black").otherwise("white")
+
+
+def ink_counts(pictures: DataFrame) -> DataFrame:
+    """(image, bright, dark): the pixels over 200 and under 55 in a box (x, y, w, h) of colour pictures (image, width, height, pixels as bytes, three a pixel).
+
+    The box is cut at the picture's edges; an empty one has no pixels. A pixel's brightness is the mean of its colours.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for image, width, height, pixels, x, y, w, h in zip(*(b.column(c).to_pylist() for c in ("image", "width", "height", "pixels", "x", "y", "w", "h"))):
+                crop = np.frombuffer(pixels, np.uint8).reshape(height, width, 3)[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)]
+                level = crop.mean(axis=2) if crop.size else np.zeros(0)
+                out.append((image, int((level > 200).sum()), int((level < 55).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 0 else pa.int32()) for k in range(3)], ["image", "bright", "dark"])
+
+    return pictures.select("image", "width", "height", "pixels", "x", "y", "w", "h").mapInArrow(run, "image string, bright int, dark int")

@@ -204,3 +204,26 @@ def test_an_unreadable_table_is_an_error_and_stays(spark, tmp_path):
     with pytest.raises(Exception, match="part-0"):
         read_vectors(spark, str(broken)).count()
     assert read_vectors(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_seams_without_gutters():
+    rng = np.random.default_rng(1)
+    levels = np.repeat(np.repeat(np.array([[60, 170], [200, 90]]), 150, axis=0), 200, axis=1)
+    gray = (levels + rng.integers(-4, 5, levels.shape)).astype(np.uint8)
+    got = panels.split_panels(gray)
+    assert len(got) == 4 and sorted((round(x / 200), round(y / 150)) for x, y, _, _ in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert all(abs(w - 200) <= 3 and abs(h - 150) <= 3 for _, _, w, h in got)
+    letters = np.full((300, 400), 120, np.uint8)
+    for x in range(20, 380, 24):
+        letters[140:150, x : x + 8] = 250  # strokes of text are no seam
+    assert panels.split_panels(letters) == [(0, 0, 400, 300)]
+    assert panels.split_panels(np.full((50, 50), 128, np.uint8)) == [(0, 0, 50, 50)]
+
+
+def test_ink_is_counted_in_the_box(spark):
+    picture = np.full((10, 20, 3), 128, np.uint8)
+    picture[2:4, 3:9] = 10
+    picture[5, 3:6] = (255, 250, 240)
+    df = spark.createDataFrame([("a", 20, 10, bytearray(picture.tobytes()), 0, 0, 20, 10), ("b", 20, 10, bytearray(picture.tobytes()), -5, 5, 12, 100), ("c", 20, 10, bytearray(picture.tobytes()), 30, 30, 5, 5)], "image string, width int, height int, pixels binary, x int, y int, w int, h int")
+    got = {r.image: (r.bright, r.dark, r.ink) for r in panels.ink_counts(df).withColumn("ink", panels.ink(F.col("bright"), F.col("dark"))).collect()}
+    assert got == {"a": (3, 12, "black"), "b": (3, 0, "white"), "c": (0, 0, "white")}
