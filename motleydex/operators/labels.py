@@ -15,7 +15,7 @@ from ..sources.schema import LANGUAGES
 
 REQUIRED_MARK = "multilingual_embedding_text:"
 MOST_TRIES = 3
-NUMBER = re.compile(r"[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+")
+NUMBER = re.compile(r"[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+", re.ASCII)
 TABLE = re.compile(r"(\w+)\[(\d+)\]\{([^}]+)\}:")
 INLINE = re.compile(r"(\w+)\[(\d+)\]:(.*)", re.S)
 WORDS = {"true": True, "false": False, "null": None}

@@ -311,9 +311,9 @@ def crosslingual_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the items' own use-case texts for their example queries of ids divisible by 50, with the stand-in embedder."""
+    """Recall of the items' own use-case texts for their example queries of ids divisible by 50, with a stand-in embedder."""
     live = items(spark, d, ["id", "meaning", "query_examples", "tags", "emotion", "intent", "regions", "multilingual_embedding_text"])
-    e = embed_job.HashEmbedder()
+    e = embed_job.LetterEmbedder()
     vectors = embed_job.embedded(live.select(F.col("id").alias("meme_id"), fx.use_case_text().alias("text")), e).select("meme_id", "embedding")
     cases = evaluation.golden_cases(live.filter(numbered() % 50 == 0))
     return evaluation.recall(evaluation.hits(cases, vectors, e, 10), 10)
@@ -409,10 +409,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in PLAIN} | MADE
+    from . import more
+
+    return {f.__name__: f for f in PLAIN} | MADE | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import SQL
+    from . import more_oracle, oracle
 
-    return SQL
+    return oracle.SQL | more_oracle.SQL

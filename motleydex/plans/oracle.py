@@ -55,9 +55,14 @@ def lists(first: int, k: int, least: float) -> str:
 
 NAMES = ["Arvind Tipanusopu (ALT)", "Kevobedulu"]
 NORMAL = "trim(regexp_replace(lower({}), '\\s*\\(.*?\\)', '', 'g'))"
-EXACT = "asked AS (SELECT ord, " + NORMAL.format("raw") + " AS wanted FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES)) + """) t(ord, raw)),
+def exact_of(names: list[str]) -> str:
+    asked = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    return f"""asked AS (SELECT ord, {NORMAL.format("raw")} AS wanted FROM (VALUES {asked}) t(ord, raw)),
  hits AS (SELECT ord, meme_id, row_number() OVER (PARTITION BY ord ORDER BY person_name, meme_id) AS n FROM meme_people, asked WHERE contains(person_name, wanted)),
- exact AS (SELECT meme_id, row_number() OVER (ORDER BY a.ord, a.n, meme_id)::INT AS pos FROM (SELECT meme_id, min({'ord': ord, 'n': n}) AS a FROM hits WHERE n <= 50 GROUP BY meme_id))"""
+ exact AS (SELECT meme_id, row_number() OVER (ORDER BY a.ord, a.n, meme_id)::INT AS pos FROM (SELECT meme_id, min({{'ord': ord, 'n': n}}) AS a FROM hits WHERE n <= 50 GROUP BY meme_id))"""
+
+
+EXACT = exact_of(NAMES)
 FUSE = "fused AS (SELECT meme_id, round(sum(1.0::DOUBLE / (60 + pos)), 12) AS rrf, min(list_no * 1000000 + pos) AS first FROM lists GROUP BY meme_id)"
 
 
@@ -125,12 +130,12 @@ EXAM_RESULT = [("a", word("exam")), ("b", word("result"))]
 BOOST = "(CASE WHEN primary_language = '{lang}' THEN 20 ELSE 0 END) + (CASE WHEN list_contains(regions, '{region}') THEN 15 ELSE 0 END) + (CASE WHEN list_contains(regions, 'pan_india') THEN 5 ELSE 0 END) + least(coalesce(popularity_score, 0), 50) * 0.2::DOUBLE"
 
 
-def searched(limit: int, least: float, names: bool, where: str = "TRUE") -> str:
+def searched(limit: int, least: float, names: list[str] | None, where: str = "TRUE", phrases: list[tuple[str, str]] = EXAM_RESULT, where_text: str = "a > 0 AND b > 0") -> str:
     """CTEs from the tables to ``found``: the fused hits with their place."""
     k = max(limit * 8, 80)
     exact = "SELECT 1 AS list_no, meme_id, pos FROM exact UNION ALL SELECT 2, meme_id, pos FROM exact UNION ALL " if names else ""
-    extra = f"{EXACT}, " if names else ""
-    return f"""WITH {LIVE}, {ITEM}, {VECTORS}, {FTS}, {bm25(EXAM_RESULT, "a > 0 AND b > 0", k)}, {extra}lists AS ({exact}{lists(3, k, least)} UNION ALL SELECT 7, meme_id, pos FROM bm),
+    extra = f"{exact_of(names)}, " if names else ""
+    return f"""WITH {LIVE}, {ITEM}, {VECTORS}, {FTS}, {bm25(phrases, where_text, k)}, {extra}lists AS ({exact}{lists(3, k, least)} UNION ALL SELECT 7, meme_id, pos FROM bm),
  {FUSE}, sliced AS (SELECT * FROM fused ORDER BY rrf DESC, first LIMIT {limit * 4}), found AS (SELECT item.*, rrf, row_number() OVER (ORDER BY rrf DESC, first)::INT AS pos FROM sliced JOIN item ON id = meme_id WHERE {where})"""
 
 
@@ -170,6 +175,17 @@ def first_of(x: str) -> str:
     return f"list_filter(list_transform(q_{x}, lambda q: {tr('q')}), lambda q: q <> '')[1]"
 
 
+DESCRIPTION = filled([f"(CASE WHEN length({x}) > 0 THEN '{p}' || {x} ELSE '' END)" if one else f"(CASE WHEN len({x}) > 0 THEN '{p}' || {joined(x)} ELSE '' END)" for p, x, one in (("Scene: ", "scene_description", 1), ("Source: ", "source", 1), ("People: ", "people", 0), ("Meaning: ", "m_english", 1), ("Caption: ", CAPTION, 1), ("Emotion: ", "emotion", 0))], ". ")
+# the stand-in reranker: ten times the share of the query's words that the description has
+OVERLAP = f"(SELECT 10.0::DOUBLE * (list_contains(w, 'exam')::INT + list_contains(w, 'result')::INT) / 2 FROM (SELECT {TERMS.replace('search_text', DESCRIPTION)} AS w))"
+NUMBER = "^\\s*([+-]?(Infinity|([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)?\\s*$"
+
+
+def not_text(v: str) -> str:
+    """Whether the label format reads a trimmed value as something other than a string."""
+    return f"({v} IN ('true', 'false', 'null') OR (NOT (length({v}) > 0 AND starts_with({v}, '\"') AND ends_with({v}, '\"')) AND regexp_matches({v}, '{NUMBER}')))"
+
+
 RESULT = f"SELECT id, image_path, primary_language, {joined('langs', ',')} AS supported_languages, {joined('emotion', ',')} AS emotion, {joined('regions', ',')} AS regions, {joined('people', ',')} AS people, to_json(intent)::VARCHAR AS intent, coalesce(popularity_score, 0) AS popularity_score, coalesce(source, '') AS source, coalesce(scene_description, '') AS scene_description FROM item"
 SEGMENTS = "WITH q AS (SELECT p_partkey, [0] || list_sort([p_size * 3, 40]) || [200] AS b FROM part) SELECT p_partkey, no::INT AS no, b[no + 1]::INT AS start, b[no + 2]::INT AS \"end\" FROM q, (VALUES (0), (1), (2)) t(no)"
 
@@ -184,10 +200,15 @@ SQL: dict[str, str] = {
     "multi_aspect_rankings": f"WITH {LIVE}, {VECTORS} {lists(1, 80, 0.1)}",
     "rrf_fusion": f"WITH {LIVE}, {VECTORS}, lists AS ({lists(1, 80, 0.1)}), {FUSE} SELECT meme_id, round(rrf, 9) AS rrf_score, (first // 1000000)::INT AS first_list, (first % 1000000)::INT AS first_pos FROM (SELECT * FROM fused ORDER BY rrf DESC, first LIMIT 120)",
     "rrf_double_weight_people": f"WITH {LIVE}, {VECTORS}, {EXACT}, lists AS (SELECT 1 AS list_no, meme_id, pos FROM exact UNION ALL SELECT 2, meme_id, pos FROM exact UNION ALL {lists(3, 80, 0.1)}), {FUSE} SELECT meme_id, round(rrf, 9) AS rrf_score FROM fused",
-    "fused_search_filters": searched(30, 0.1, True, "(list_contains(langs, 'hinglish') OR primary_language = 'hinglish') AND (list_contains(regions, 'delhi') OR list_contains(regions, 'pan_india'))") + " SELECT pos, id, round(rrf, 9) AS rrf_score FROM found",
+    "fused_search_filters": searched(30, 0.1, NAMES, "(list_contains(langs, 'hinglish') OR primary_language = 'hinglish') AND (list_contains(regions, 'delhi') OR list_contains(regions, 'pan_india'))") + " SELECT pos, id, round(rrf, 9) AS rrf_score FROM found",
     "rank_boosts": f"WITH {LIVE}, {ITEM} SELECT id, round(50 + {BOOST.format(lang='hindi', region='pan_india')}, 6) AS score FROM item",
-    "search_end_to_end_no_rerank": searched(60, 0.3, False, "list_contains(langs, 'hindi') OR primary_language = 'hindi'") + " " + answer("NULL::DOUBLE", "rrf * 100", "(CASE WHEN primary_language = 'hindi' THEN 20 ELSE 0 END) + " + NO_BOOST, 20),
-    "search_rerank_failed": searched(60, 0.3, True) + ", crossed AS (SELECT * REPLACE (row_number() OVER (ORDER BY round(cross_, 9) DESC, pos)::INT AS pos) FROM (SELECT *, rrf * (CASE WHEN pos <= 15 THEN 100 ELSE 50 END) AS cross_ FROM found) WHERE cross_ >= 2) " + answer("round(cross_, 6)", "cross_ * 10", NO_BOOST, 20, "crossed"),
+    "search_end_to_end_no_rerank": searched(60, 0.3, None, "list_contains(langs, 'hindi') OR primary_language = 'hindi'") + " " + answer("NULL::DOUBLE", "rrf * 100", "(CASE WHEN primary_language = 'hindi' THEN 20 ELSE 0 END) + " + NO_BOOST, 20),
+    "search_rerank_failed": searched(60, 0.3, NAMES) + ", crossed AS (SELECT * REPLACE (row_number() OVER (ORDER BY round(cross_, 9) DESC, pos)::INT AS pos) FROM (SELECT *, rrf * (CASE WHEN pos <= 15 THEN 100 ELSE 50 END) AS cross_ FROM found) WHERE cross_ >= 2) " + answer("round(cross_, 6)", "cross_ * 10", NO_BOOST, 20, "crossed"),
+    "search_end_to_end_rerank": searched(60, 0.3, None, "list_contains(regions, 'delhi') OR list_contains(regions, 'pan_india')") + f", crossed AS (SELECT * REPLACE (row_number() OVER (ORDER BY round(cross_, 9) DESC, pos)::INT AS pos) FROM (SELECT *, (CASE WHEN pos <= 15 THEN {OVERLAP} ELSE rrf * 50 END) AS cross_ FROM found) WHERE cross_ >= 2) " + answer("round(cross_, 6)", "cross_ * 10", "(CASE WHEN list_contains(regions, 'delhi') THEN 15 ELSE 0 END) + " + NO_BOOST, 20, "crossed"),
+    "toon_parse": f"""WITH {LIVE}, {ITEM}, t AS (SELECT id, trim(coalesce(primary_language, 'unknown')) AS lang, list_transform(string_split({joined('emotion', ',')}, ','), lambda x: {not_text('trim(x)')}) AS bad, {tr("regexp_replace(coalesce(original, 'none'), '[\\r\\n]+', ' ', 'g')")} AS o FROM item),
+ e AS (SELECT *, CASE WHEN lang = '' OR {not_text('lang')} THEN 'primary_language: expected a string' WHEN o = '' OR {not_text('o')} THEN 'caption.original: expected a string'
+ WHEN list_contains(bad, TRUE) THEN 'emotion.' || (list_position(bad, TRUE) - 1) || ': expected a string' END AS error FROM t)
+ SELECT id, error, CASE WHEN error IS NULL THEN (CASE WHEN starts_with(o, '"') AND ends_with(o, '"') THEN substr(o, 2, greatest(length(o) - 2, 0)) ELSE o END) END AS original, CASE WHEN error IS NULL THEN 'true' END AS is_meme FROM e""",
     "people_normalise": f"WITH {LIVE}, {ITEM} SELECT DISTINCT {NORMAL.format('p')} AS person_name, id AS meme_id FROM (SELECT id, unnest(people) AS p FROM item)",
     "people_exact": f"WITH {EXACT} SELECT meme_id, pos FROM exact",
     "people_index_merge": f"WITH {LIVE}, {ITEM} SELECT person_name, meme_id FROM meme_people UNION SELECT {NORMAL.format('p')}, id FROM (SELECT id, unnest(people) AS p FROM item)",
@@ -226,7 +247,7 @@ SQL: dict[str, str] = {
     "panel_anchors": f"WITH {OCR}, {COVER}, big AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY w * h DESC, block_num, grp) AS n FROM blocks) SELECT image, font_px, x, w, c < 0.12 AS clear, CASE WHEN font_px <> 0 THEN font_px END AS shared_px, 'hello' AS caption FROM big JOIN cover USING (image) WHERE n = 1",
     "golden_cases": f"WITH {LIVE}, {ITEM}, s AS ({SAMPLED}) SELECT id, lang, n::INT AS at, {tr('q')} AS query FROM s WHERE {tr('q')} <> ''",
     "crosslingual_cases": f"WITH {LIVE}, {ITEM} SELECT * FROM (SELECT id, coalesce(image_path, id) AS theme, {first_of('english')} AS english, {first_of('hindi')} AS hindi, {first_of('hinglish')} AS hinglish FROM item) WHERE english IS NOT NULL AND hindi IS NOT NULL AND hinglish IS NOT NULL",
-    "description_text": "WITH " + LIVE + ", " + ITEM + " SELECT id, " + filled([f"(CASE WHEN length({x}) > 0 THEN '{p}' || {x} ELSE '' END)" if one else f"(CASE WHEN len({x}) > 0 THEN '{p}' || {joined(x)} ELSE '' END)" for p, x, one in (("Scene: ", "scene_description", 1), ("Source: ", "source", 1), ("People: ", "people", 0), ("Meaning: ", "m_english", 1), ("Caption: ", CAPTION, 1), ("Emotion: ", "emotion", 0))], ". ") + " AS description FROM item",
+    "description_text": f"WITH {LIVE}, {ITEM} SELECT id, {DESCRIPTION} AS description FROM item",
     "pk_multi_get": f"WITH {LIVE}, {ITEM} {RESULT} WHERE ('0x' || substr(id, 6, 8))::BIGINT % 50 = 0",
     "result_defaults": f"WITH {LIVE}, {ITEM} {RESULT}",
     "shown_captions": f"WITH {LIVE}, {ITEM} SELECT id, {CAPTION} AS caption FROM item",

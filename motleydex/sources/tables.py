@@ -19,7 +19,10 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that none of them needs it installed.
 
     The archive lies in the shared folder. A cluster without one must have the package installed.
+    Also turns off taking a union's partitioning from its inputs: in Spark 4.1 an aggregation or join above such a union goes without an
+    exchange although adaptive execution may have merged the inputs' partitions differently, and then gives wrong rows.
     """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -76,6 +79,7 @@ def scratch_root(spark: SparkSession) -> str:
 def persist_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = os.path.join(scratch_root(spark), f"{tag}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
