@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
+
 OLDEST = "timestamp_ntz'0001-01-01 00:00:00'"
 
 
@@ -61,6 +63,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    ship(df.sparkSession)  # frames that were not read by this package's own functions, too
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
