@@ -1,6 +1,5 @@
-"""Full-text search: BM25 over search texts, with a query language of AND, OR, NOT, phrases and prefixes.
-
-Column filters, NEAR groups and the sign for a text's first term are not part of it.
+"""Full-text search: BM25 over search texts, with a query language of AND, OR, NOT, phrases, prefixes, NEAR groups, column filters
+and ``^`` for a text's first term. The columns are search_text and meme_id, of which the latter holds no terms.
 
 score = sum over phrases of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)),
 idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; k1 = 1.2, b = 0.75.
@@ -14,7 +13,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,24 @@ class Phrase:
 
     terms: tuple[str, ...]
     prefix: bool = False
+    first: bool = False  # only where a text begins
+    nowhere: bool = False  # only in columns without terms
+
+
+@dataclass(frozen=True)
+class Near:
+    """Phrases that all stand within a distance: between the end of the first and the beginning of the last at most so many terms."""
+
+    phrases: tuple[Phrase, ...]
+    distance: int = 10
+
+
+@dataclass(frozen=True)
+class Member:
+    """One phrase of a Near group; it counts where the group matches."""
+
+    group: Near
+    at: int
 
 
 @dataclass(frozen=True)
@@ -58,7 +76,8 @@ def query_terms(text: str) -> tuple[str, ...]:
     return tuple(out + [cur] if cur else out)
 
 
-LEXEME = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()*+])|([^\s"()*+]+))')
+LEXEME = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()*+{}:,^-])|([^\s"()*+{}:,^-]+))')
+COLUMNS = {"search_text", "meme_id"}
 BAREWORD = re.compile(r"(?:[A-Za-z0-9_\x1a]|[^\x00-\x7f])+")
 
 
@@ -113,18 +132,70 @@ class _Reader:
         """A parenthesis, or phrases one after another, which all must match."""
         bracket = self.peek() == "("
         node = self.one()
-        while not bracket and self.peek() == "text":
+        bracket = bracket or self.lexemes[self.at - 1][0] == ")" and not isinstance(node, Near)
+        while not bracket and self.peek() in ("text", "^", "-", "{"):
             node = Op("AND", node, self.one())
         return node
 
+    def take(self, kind: str) -> str:
+        if self.peek() != kind:
+            raise QuerySyntaxError(f"{kind} expected, not {self.peek() or 'the end'}")
+        self.at += 1
+        return self.lexemes[self.at - 1][1]
+
+    def columns(self) -> set[str] | None:
+        """The columns of a filter, if one stands here."""
+        start = self.at
+        without = self.peek() == "-"
+        self.at += without
+        if self.peek() == "{":
+            self.at += 1
+            names = {self.take("text")}
+            while self.peek() == "text":
+                names.add(self.take("text"))
+            self.take("}")
+        elif self.peek() == "text" and (without or self.lexemes[self.at + 1 : self.at + 2] == [(":", ":")]):
+            names = {self.take("text")}
+        else:
+            self.at = start
+            return None
+        self.take(":")
+        names = {n.lower() for n in names}
+        if names - COLUMNS:
+            raise QuerySyntaxError(f"no such column: {min(names - COLUMNS)}")
+        return COLUMNS - names if without else names
+
     def one(self) -> object:
+        allowed = self.columns()
         if self.peek() == "(":
             self.at += 1
             node = self.either()
             if self.peek() != ")":
                 raise QuerySyntaxError("a parenthesis is not closed")
             self.at += 1
-            return node
+        elif self.lexemes[self.at : self.at + 2] == [("text", "NEAR"), ("(", "(")]:
+            self.at += 2
+            parts = [self.phrase()]
+            while self.peek() == "text":
+                parts.append(self.phrase())
+            distance = 10
+            if self.peek() == ",":
+                self.at += 1
+                number = self.take("text")
+                if not number.isascii() or not number.isdigit():
+                    raise QuerySyntaxError(f"expected a number, not {number!r}")
+                distance = int(number)
+            self.take(")")
+            parts = [x for x in parts if x.terms]
+            node = Near(tuple(parts), distance) if len(parts) > 1 else parts[0] if parts else Phrase(())
+        else:
+            first = self.peek() == "^"
+            self.at += first
+            node = self.phrase()
+            node = replace(node, first=first)
+        return node if allowed is None or "search_text" in allowed else nowhere(node)
+
+    def phrase(self) -> Phrase:
         if self.peek() != "text":
             raise QuerySyntaxError(f"unexpected {self.peek() or 'end'}")
         words = query_terms(self.lexemes[self.at][1])
@@ -140,6 +211,15 @@ class _Reader:
         return Phrase(words, prefix)
 
 
+def nowhere(node: object) -> object:
+    """A query of which no phrase can stand anywhere."""
+    if isinstance(node, Phrase):
+        return replace(node, nowhere=True)
+    if isinstance(node, Near):
+        return Near(tuple(map(nowhere, node.phrases)), node.distance)
+    return Op(node.name, nowhere(node.left), nowhere(node.right))
+
+
 def parse_query(text: str) -> object:
     """A query's tree; raises QuerySyntaxError."""
     reader = _Reader(_lex(text))
@@ -149,15 +229,17 @@ def parse_query(text: str) -> object:
     return node
 
 
-def phrases(node: object) -> list[Phrase]:
-    """The phrases with terms in a tree, in order."""
+def phrases(node: object) -> list[Phrase | Member]:
+    """The phrases with terms in a tree, in order; those of a Near group as its members."""
     if isinstance(node, Phrase):
         return [node] if node.terms else []
+    if isinstance(node, Near):
+        return [Member(node, i) for i in range(len(node.phrases))]
     return phrases(node.left) + phrases(node.right)
 
 
-def occurrences(tokens: Column, p: Phrase) -> Column:
-    """How often a phrase stands in an array of terms."""
+def standing(tokens: Column, p: Phrase) -> Column:
+    """For each term of an array whether a phrase begins there."""
     last = len(p.terms) - 1
 
     def same(i: int):
@@ -168,12 +250,37 @@ def occurrences(tokens: Column, p: Phrase) -> Column:
     for i in range(1, last + 1):
         later = F.transform(F.slice(tokens, F.lit(i + 1), F.greatest(F.size(tokens), F.lit(1))), same(i))
         here = F.zip_with(here, later, lambda a, b: a & F.coalesce(b, F.lit(False)))
-    return F.size(F.filter(here, lambda x: x))
+    return F.slice(here, 1, 1) if p.first else here
+
+
+def occurrences(tokens: Column, p: Phrase | Member) -> Column:
+    """How often a phrase stands in an array of terms."""
+    if isinstance(p, Member):
+        group = p.group
+        if any(x.nowhere for x in group.phrases):
+            return F.lit(0)
+        places = [F.filter(F.transform(standing(tokens, x), lambda on, i: F.when(on, i)), lambda i: i.isNotNull()) for x in group.phrases]
+
+        def within(at: Column, end: Column, k: int) -> Column:
+            return (at <= end) & (at >= end - len(group.phrases[k].terms) - group.distance)
+
+        def stands(end: Column, k: int) -> Column:
+            return F.exists(places[k], lambda at: within(at, end, k))
+
+        def whole(end: Column) -> Column:
+            return reduce(lambda a, b: a & b, [stands(end, k) for k in range(len(places))])
+
+        # the last beginnings of stretches in which every phrase stands, then the phrase's places in such stretches
+        ends = F.filter(reduce(F.array_union, places), whole)
+        return F.size(F.filter(places[p.at], lambda at: F.exists(ends, lambda end: within(at, end, p.at))))
+    return F.lit(0) if p.nowhere else F.size(F.filter(standing(tokens, p), lambda x: x))
 
 
-def _matches(node: object, counts: dict[Phrase, str]) -> Column:
+def _matches(node: object, counts: dict[Phrase | Member, str]) -> Column:
     if isinstance(node, Phrase):
         return F.col(counts[node]) > 0 if node.terms else F.lit(False)
+    if isinstance(node, Near):
+        return F.col(counts[Member(node, 0)]) > 0
     # a phrase without terms takes no part in AND and OR
     sides = [x for x in (node.left, node.right) if not (isinstance(x, Phrase) and not x.terms)]
     if node.name in ("AND", "OR") and len(sides) == 1:
@@ -198,12 +305,14 @@ def bm25(texts: DataFrame, query: str, limit: int) -> DataFrame:
     if not found:
         return none
     name = {p: f"tf{i}" for i, p in enumerate(found)}
+    # how rare a phrase is goes by the texts that hold it at all, also where a group counts only some of its places
+    alone = {n: f"any{i}" for i, (p, n) in enumerate(name.items()) if isinstance(p, Member)}
     version = ["labeled_at"] if "labeled_at" in texts.columns else []
-    counted = texts.select("meme_id", *version, terms(F.col("search_text")).alias("t")).select("meme_id", *version, F.size("t").alias("dl"), *[occurrences(F.col("t"), p).alias(n) for p, n in name.items()])
+    counted = texts.select("meme_id", *version, terms(F.col("search_text")).alias("t")).select("meme_id", *version, F.size("t").alias("dl"), *[occurrences(F.col("t"), p).alias(n) for p, n in name.items()], *[occurrences(F.col("t"), p.group.phrases[p.at]).alias(alone[n]) for p, n in name.items() if n in alone])
     if version:
-        numbers = ["dl", *name.values()]
+        numbers = ["dl", *name.values(), *alone.values()]
         counted = counted.groupBy("meme_id").agg(F.max(F.struct("labeled_at", *numbers)).alias("v")).select("meme_id", *[f"v.{n}" for n in numbers])
-    corpus = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(n) > 0).cast("long")).alias(f"n_{n}") for n in name.values()])
+    corpus = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(alone.get(n, n)) > 0).cast("long")).alias(f"n_{n}") for n in name.values()])
     scored = counted.filter(_matches(tree, name)).join(F.broadcast(corpus))  # one row of corpus figures
     score: Column = F.lit(0.0)
     for n in name.values():

@@ -16,7 +16,7 @@ DOCS = [
     ("g", ""),
     ("h", "résumé naïve match of the day"),
 ]
-QUERIES = ["exam", "exam result", "cafe", '"cricket match"', "home*", "exam OR match", "match NOT cricket", "(exam OR match) AND result", '"match result"', "खुश", "ख", "मोगैम्बो", "cricket + match", "exam AND (result OR cricket)", '"cri" + "cket"', "naive", "nothing", "match NOT (cricket OR result)", '"the" match*']
+QUERIES = ["exam", "exam result", "cafe", '"cricket match"', "home*", "exam OR match", "match NOT cricket", "(exam OR match) AND result", '"match result"', "खुश", "ख", "मोगैम्बो", "cricket + match", "exam AND (result OR cricket)", '"cri" + "cket"', "naive", "nothing", "match NOT (cricket OR result)", '"the" match*', "NEAR(cricket exam, 5)", "NEAR(cricket exam, 3)", "NEAR(cricket exam)", 'NEAR("cricket match" before exam, 4)', "NEAR(match cricket, 0)", "NEAR(exam result, 0) OR cafe", "NEAR(match* day, 2)", "^exam", "^exam OR ^cricket", '^"the cricket" AND exam', "^match", "search_text : exam", "meme_id : a", "- meme_id : exam", "- search_text : exam", "{search_text meme_id} : match", "search_text : (exam OR match) AND result", "exam NOT meme_id : exam", "NEAR(exam)", "near", "search_text : NEAR(cricket exam, 5)", "search_text : ^ exam", "cricket OR meme_id : exam"]
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_same_scores(fts, texts, query):
     assert got == pytest.approx(expected, abs=2e-5)
 
 
-@pytest.mark.parametrize("query", ["what?", "don't", "exam-stress", "", '"open', "(exam", "exam)", "AND", "exam OR", "NOT exam", "a:b", "(exam OR match) result"])
+@pytest.mark.parametrize("query", ["what?", "don't", "exam-stress", "", '"open', "(exam", "exam)", "AND", "exam OR", "NOT exam", "a:b", "(exam OR match) result", "NEAR(exam result, x)", "NEAR(exam", "other : exam", "{search_text : exam", "^", "exam ^", "NEAR(exam, 5", "- exam", "search_text :"])
 def test_errors_give_nothing(texts, query):
     with pytest.raises(QuerySyntaxError):
         parse_query(query)
