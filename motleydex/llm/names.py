@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -299,35 +299,35 @@ def blocks(cores: DataFrame, shortest: int, fold: bool) -> DataFrame:
     return map_batches(cores.select("key", "initial", "core", "n"), make, "block string, finer string, finest string, key string, core string, n long")
 
 
-def placed(left: DataFrame, right: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of both tables of blocks() at the places where they meet: (place, key, core, n).
+def placed(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The left and the right rows of blocks(), with their ``side`` (0 left, 1 right, 2 both), at the places where they meet: (place, key, core, n).
 
-    A place is a block of at most ``most`` rows of the right table, or one of its refinements that is small enough,
+    A place is a block of at most ``most`` right rows, or one of its refinements that is small enough,
     or a stretch of the sorted finest refinement: there left rows stand in one stretch of ``most``, right rows also in the two beside it.
     """
-    columns = ["key", "core", "n"]
-    out_left, out_right = [], []
-    rest_left, rest_right = left, right
-    for level in ("block", "finer", "finest"):
-        size = rest_right.groupBy(level).agg((F.count("*") <= most).alias("fits"))
-        here = [x.hint("merge").join(size, level) for x in (rest_left, rest_right)]
-        for x, out in zip(here, (out_left, out_right)):
-            out.append(x.filter("fits").select(F.col(level).alias("place"), *columns))
-        rest_left, rest_right = (x.filter("not fits").drop("fits") for x in here)
-    both = rest_left.withColumn("side", F.lit(0)).unionByName(rest_right.withColumn("side", F.lit(1)))
-    stretch = F.floor(F.row_number().over(Window.partitionBy("finest").orderBy("core", "key", "side")) / most)
-    both = both.withColumn("stretch", stretch)
-    at = lambda c: F.concat_ws("/", "finest", c.cast("string"))
-    out_left.append(both.filter("side = 0").select(at(F.col("stretch")).alias("place"), *columns))
-    beside = F.explode(F.sequence(F.col("stretch") - 1, F.col("stretch") + 1))
-    out_right.append(both.filter("side = 1").withColumn("stretch", beside).select(at(F.col("stretch")).alias("place"), *columns))
-    return tuple(reduce(DataFrame.unionByName, x) for x in (out_left, out_right))
+    right = rows.filter("side <> 0")
+    place = F.lit(None).cast("string")
+    for level in ("finest", "finer", "block"):
+        wide = right.groupBy(level).agg(F.count("*").alias("size")).filter(F.col("size") > most).select(level, F.lit(True).alias(f"wide_{level}"))
+        rows = rows.join(wide, level, "left")  # few blocks are too common
+        place = F.when(F.col(f"wide_{level}").isNull(), F.col(level)).otherwise(place)
+    stored = persist_table(rows.select("side", place.alias("place"), "finest", "key", "core", "n"), "places")
+    columns = ["place", "key", "core", "n"]
+    rest = stored.filter("place is null").withColumn("stretch", F.floor(F.row_number().over(Window.partitionBy("finest").orderBy("core", "key", "side")) / most))
+    at = lambda c: F.concat_ws("/", "finest", c.cast("string")).alias("place")
+    one = rest.filter("side <> 1").select(at(F.col("stretch")), *columns[1:])
+    beside = rest.filter("side <> 0").withColumn("stretch", F.explode(F.sequence(F.col("stretch") - 1, F.col("stretch") + 1))).select(at(F.col("stretch")), *columns[1:])
+    small = stored.filter("place is not null")
+    return small.filter("side <> 1").select(*columns).unionByName(one), small.filter("side <> 0").select(*columns).unionByName(beside)
 
 
 def resembling(left: DataFrame, right: DataFrame, least: float, shortest: int, most: int, fold: bool) -> DataFrame:
     """Pairs (key_a, n_a, key_b, n_b, ratio) of left and right cores (key, initial, core, n) that share a suffix and resemble each other."""
-    indexed = persist_table(blocks(right, shortest, fold), "blocks")
-    a, b = placed(indexed if left is right else persist_table(blocks(left, shortest, fold), "blocks"), indexed, most)
+    if left is right:
+        rows = blocks(right, shortest, fold).withColumn("side", F.lit(2))
+    else:
+        rows = blocks(left, shortest, fold).withColumn("side", F.lit(0)).unionByName(blocks(right, shortest, fold).withColumn("side", F.lit(1)))
+    a, b = placed(persist_table(rows, "blocks"), most)
     a, b = (x.select("place", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "core", "n")]) for x, side in ((a, "a"), (b, "b")))
     pairs = a.hint("merge").join(b, "place").filter("key_a <> key_b").drop("place").distinct()
 
@@ -375,7 +375,7 @@ def name_groups(meme_people: DataFrame, memes: DataFrame | None = None, least: f
     near = resembling(cores.filter("initial = ''"), known, 0.86, shortest, most, True)
     bearers = near.select("key_a", F.col("key_b").alias("key"), "ratio", "n_b").hint("merge").join(link.select("key", "to"), "key").groupBy("key_a", "to").agg(F.sum("n_b").alias("n_b"))
     of = bearers.groupBy("key_a").agg(F.max(F.struct("n_b", "to")).alias("best"), F.sum("n_b").alias("all"))
-    base = of.filter("best.n_b >= 0.6 * all").select(F.col("key_a").alias("key"), F.col("best.to").alias("base"))
+    base = persist_table(of.filter("best.n_b >= 0.6 * all").select(F.col("key_a").alias("key"), F.col("best.to").alias("base")), "name-bearers")
     groups = parsed.hint("merge").join(link.select("key", "to"), "key", "left").join(base, "key", "left")
     if memes is not None:
         full = map_batches(stated_aliases(memes), split("full"), "alias string, full string, n long, initial string, core string").withColumn("key", F.concat_ws("|", "initial", "core"))
