@@ -195,12 +195,12 @@ def meeting(cosine: float, deciding: int, cells: int, pairs: int = 20_000) -> fl
 def forest_plan(rows: int, cells: int = 2, cosine: float = 0.88, recall: float = 0.97, candidates: int = 170) -> tuple[int, int, int, int, int]:
     """(rows of a run, trees, deciding bits, branches, candidates) for a number of vectors of one aspect.
 
-    A run is a sixteenth of the vectors, from 2,048 up to 393,216 (101 MB of floats in a task). The branches are as many as find a pair
+    A run is a quarter of the vectors, from 2,048 up to 393,216 (101 MB of floats in a task). The branches are as many as find a pair
     inside a run with a probability of 0.95: with c candidates a branch, two vectors must share a prefix of log2(run / c) bits in one.
     Trees, three or more, are as many as find it in all with the probability ``recall``, counting pairs parted by the ends of runs.
     Such ends tell bits apart that are not whole in number; their chance is taken between those of the two whole numbers.
     """
-    run = min(393_216, max(2048, rows // 16))
+    run = min(393_216, max(2048, rows // 4))
     same_bit = 1 - math.acos(cosine) / math.pi
     branch = same_bit ** math.log2(run / candidates)
     branches = max(11, math.ceil(math.log(0.05) / math.log(1 - branch)))

@@ -116,7 +116,7 @@ def test_ascent_stops_at_the_longest_prefix_with_enough_candidates():
 
 def test_plan_counts_both_losses():
     run, trees, _, branches, candidates = forest_plan(0)
-    assert (run, trees, candidates) == (2048, 3, 170 * branches) and forest_plan(100_000)[:2] == (6250, 3)
+    assert (run, trees, candidates) == (2048, 3, 170 * branches) and forest_plan(100_000)[:2] == (25_000, 3)
     for rows in (1_000_000, 27_000_000, 10**10):
         run, trees, bits, branches, _ = forest_plan(rows)
         branch = (1 - np.arccos(0.88) / np.pi) ** np.log2(run / 170)
