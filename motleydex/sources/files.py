@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,30 +52,77 @@ def cache_path(labels_path: str) -> str:
 
 
 def read_embedding_cache(spark: SparkSession, labels_path: str) -> DataFrame:
-    """(meme_id, embedding, model, built_at) of a label file's cache; a missing one is an error."""
+    """(meme_id, embedding, model, built_at) of a label file's cache; a missing one is an error.
+
+    A cache with an entry per line, as write_embedding_cache lays it out, is read in parallel and a line that is no entry is
+    an error; one in another layout is read as one row.
+    """
     path = cache_path(labels_path)
     if not exists(spark, path):
         raise FileNotFoundError(f"No embedding cache for {labels_path}")
+    if (head := _cache_head(spark, path)) is not None:
+        line, about = head
+        lines = spark.read.option("lineSep", "\n").text(path).filter(~F.col("value").isin(line, "]}"))
+        entry = F.from_json(F.rtrim("value", F.lit(",")), EMBEDDING_CACHE["entries"].dataType.elementType, {"mode": "FAILFAST"})
+        constant = [F.lit(about[k]).cast("string").alias(k) for k in ("model", "built_at")]
+        return lines.select(entry.alias("e")).select(F.col("e.id").alias("meme_id"), "e.embedding", *constant)
     rows = spark.read.schema(EMBEDDING_CACHE).option("multiLine", True).json(path)
     return rows.select("model", "built_at", F.explode("entries").alias("e")).select(F.col("e.id").alias("meme_id"), "e.embedding", "model", "built_at")
 
 
+def _cache_head(spark: SparkSession, path: str) -> tuple[str, dict[str, object]] | None:
+    """The first line of a cache and what it says, if it opens the list of entries; None in another layout."""
+    p, fs = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        line, end, _ = bytes(stream.readNBytes(1 << 16)).partition(b"\n")
+    finally:
+        stream.close()
+    try:
+        about = json.loads(line + b"]}") if end else None
+    except ValueError:
+        return None
+    return (line.decode(), about) if isinstance(about, dict) and list(about) == ["model", "built_at", "entries"] and about["entries"] == [] else None
+
+
 def write_embedding_cache(entries: DataFrame, labels_path: str, model: str) -> dict[str, object]:
-    """Writes (id, embedding) as one JSON document beside the label file. For files of the size that one
-    document allows; larger caches are Parquet tables."""
-    rows = [{"id": r.id, "embedding": list(r.embedding)} for r in entries.toLocalIterator()]
-    path = cache_path(labels_path)
-    _write_text(entries.sparkSession, path, json.dumps({"model": model, "built_at": datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "entries": rows}))
-    return {"path": path, "count": len(rows)}
+    """Writes (id, embedding) as one JSON document beside the label file, an entry per line.
+
+    The executors write the entries; the driver joins their files as bytes and holds none of them. An older cache stays until all are written.
+    """
+    spark, path = entries.sparkSession, cache_path(labels_path)
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    p, fs = _path(spark, parts)
+    entry = F.struct("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    try:
+        entries.select(F.to_json(entry, {"ignoreNullFields": "false"}).alias("value")).write.option("lineSep", ",\n").text(parts)
+        count = spark.read.option("lineSep", ",\n").text(parts).count()
+        about = json.dumps({"model": model, "built_at": datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "entries": []})
+        _join_files(spark, path, about.removesuffix("]}"), sorted((f for f in fs.listStatus(p) if f.getLen() and f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName()), ",\n", "]}")
+    finally:
+        fs.delete(p, True)
+    return {"path": path, "count": count}
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def _join_files(spark: SparkSession, path: str, head: str, parts: list, separator: str, tail: str) -> None:
+    """A file of lines: head, the bytes of the parts without the separator that ends the last, tail. A part goes once it is copied."""
+    copy = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge
     p, fs = _path(spark, path)
-    stream = fs.create(p, True)
+    out = fs.create(p, True)
     try:
-        stream.write(bytearray(text.encode()))
+        out.write(bytearray((head + "\n").encode()))
+        for n, part in enumerate(parts, 1):
+            stream = fs.open(part.getPath())
+            length = part.getLen() - (len(separator) if n == len(parts) else 0)
+            try:
+                if copy(stream, out, 0, length) != length:
+                    raise OSError(f"{part.getPath()} ended early")
+            finally:
+                stream.close()
+            fs.delete(part.getPath(), False)
+        out.write(bytearray((("\n" if parts else "") + tail).encode()))
     finally:
-        stream.close()
+        out.close()
 
 
 def write_labels_file(rows: DataFrame, path: str) -> int:

@@ -1,6 +1,7 @@
 """Files, embedding jobs, maintenance, panels, evaluation and the stream."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -58,6 +59,42 @@ def test_cache_round_trip_and_query(spark, labels_path):
         embed_job.label_cache(blank, e).collect()
 
 
+def test_cache_is_written_and_read_in_parallel(spark, labels_path, monkeypatch):
+    ids = ['q"}]},', "two\nlines\r", "\u2028", "]}", "", None, *map(str, range(3000))]
+    values = [[1.0, float("nan"), None], [float("inf"), -float("inf"), 1e-30], [0.1, 1 / 3, 16777217.0], []]
+    rows = [(i, values[n % 4]) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(5)
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    monkeypatch.setattr(type(df), "collect", lambda *a, **k: pytest.fail("rows come to the driver"))
+    assert files.write_embedding_cache(df, labels_path, 'm"1') == {"path": files.cache_path(labels_path), "count": len(ids)}
+    monkeypatch.undo()
+    document = json.load(open(files.cache_path(labels_path), encoding="utf-8"))
+    assert list(document) == ["model", "built_at", "entries"] and document["model"] == 'm"1' and {e["id"] for e in document["entries"]} == set(ids)
+    assert next(e["embedding"] for e in document["entries"] if e["id"] == "\u2028")[0] == float(np.float32(0.1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = files.read_embedding_cache(spark, labels_path)
+        assert got.rdd.getNumPartitions() > 5
+        assert sorted((str(r.meme_id), repr(r.embedding)) for r in got.collect()) == sorted((str(r.id), repr(r.embedding)) for r in df.collect())
+        assert {(r.model, r.built_at) for r in got.collect()} == {('m"1', document["built_at"])}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert files.write_embedding_cache(df.limit(0), labels_path, "m")["count"] == 0 and files.read_embedding_cache(spark, labels_path).count() == 0
+    assert not [f for f in os.listdir(os.path.dirname(labels_path)) if ".parts-" in f]
+
+
+def test_cache_in_other_layouts(spark, labels_path):
+    document = {"model": "m", "built_at": "t", "entries": [{"id": "a", "embedding": [1, 0.5]}, {"id": "b", "embedding": []}]}
+    whole = json.dumps(document)
+    for text in (whole, json.dumps(document, indent=2), json.dumps(document, separators=(",", ":")), whole.replace("[{", "[\n{").replace("}, ", "},\n").replace("}]", "}\n]"), json.dumps(dict(reversed(document.items())))):
+        open(files.cache_path(labels_path), "w").write(text)
+        assert [tuple(r) for r in files.read_embedding_cache(spark, labels_path).orderBy("meme_id").collect()] == [("a", [1.0, 0.5], "m", "t"), ("b", [], "m", "t")]
+    open(files.cache_path(labels_path), "w").write(whole.replace("[{", "[\n{").replace("}, ", "},\nx").replace("}]", "}\n]"))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_embedding_cache(spark, labels_path).collect()
+
+
 def test_images(spark, tmp_path):
     for n in ("10.jpg", "9.PNG", "note.txt", "a2.webp", "A10.jpeg"):
         (tmp_path / n).write_bytes(b"x")
