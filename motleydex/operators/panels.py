@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,12 +128,45 @@ def segments(positions: Column, n: Column) -> Column:
     return F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
+def plain_lines(part: np.ndarray, axis: int) -> np.ndarray:
+    """Which lines along an axis are of nearly one colour: their standard deviation is under FLAT.
+
+    Of bytes from whole sums, which floats hold exactly. Where a line's extremes are near it is plain, and where every eighth
+    pixel deviates too much it is not (the squared deviations of some pixels are at most those of all); the rest is summed up.
+    """
+    if part.dtype != np.uint8:
+        return part.std(axis=axis) < FLAT
+
+    def squares(lines: np.ndarray) -> np.ndarray:
+        """The squared deviations of each line, times its length."""
+        g = lines.astype(float)
+        return lines.shape[axis] * np.einsum("ij,ij->i" if axis else "ij,ij->j", g, g) - g.sum(axis=axis) ** 2
+
+    n, plain = part.shape[axis], part.max(axis=axis) - part.min(axis=axis) < 2 * FLAT
+    if plain.all():
+        return plain
+    some = part[:, ::8] if axis else part[::8]
+    maybe = np.flatnonzero(~plain & (squares(some) < FLAT * FLAT * n * some.shape[axis]))
+    if len(maybe):
+        plain[maybe] = squares(part[maybe] if axis else part[:, maybe]) < FLAT * FLAT * n * n
+    return plain
+
+
 def gutter(spread: np.ndarray, mean: np.ndarray) -> tuple[int, int] | None:
     """The gutter nearest the middle: a run of at least 3 rows of nearly one colour, dark or bright, away from the edges."""
-    n = len(spread)
-    flat = np.r_[0, (spread < FLAT).astype(int), 0]
-    starts, ends = np.flatnonzero(np.diff(flat) == 1), np.flatnonzero(np.diff(flat) == -1)
-    found = [(int(a), int(b)) for a, b in zip(starts, ends) if b - a >= THIN and a >= NARROW and n - b >= NARROW and not DARK <= mean[a:b].mean() <= BRIGHT]
+    return gutter_among(spread < FLAT, lambda a, b: mean[a:b].mean())
+
+
+def gutter_among(plain: np.ndarray, mean: Callable[[int, int], float]) -> tuple[int, int] | None:
+    """The gutter among lines of nearly one colour, given the mean brightness of lines a to b."""
+    n = len(plain)
+    if not plain.any():
+        return None
+    flat = np.zeros(n + 2, np.int8)
+    flat[1:-1] = plain
+    step = flat[1:] - flat[:-1]
+    runs = zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())
+    found = [(a, b) for a, b in runs if b - a >= THIN and a >= NARROW and n - b >= NARROW and not DARK <= mean(a, b) <= BRIGHT]
     return min(found, key=lambda r: abs((r[0] + r[1]) / 2 - n / 2), default=None)
 
 
@@ -141,23 +176,58 @@ def edges(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Gradients of a 3 x 3 neighbourhood; a pixel counts where none beside it across the edge is stronger and it is strong
     (WEAK to STRONG only if connected with a strong one).
     """
-    g = np.pad(gray.astype(float), 1, mode="edge")
-    rows = g[:-2] + 2 * g[1:-1] + g[2:]
-    columns = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
+    across, upright = np.zeros(gray.shape, bool), np.zeros(gray.shape, bool)
+    low, high = gray.min(axis=1), gray.max(axis=1)
+    low[1:-1], high[1:-1] = np.minimum(np.minimum(low[:-2], low[1:-1]), low[2:]), np.maximum(np.maximum(high[:-2], high[1:-1]), high[2:])
+    low[:1], low[-1:], high[:1], high[-1:] = gray[:2].min(), gray[-2:].min(), gray[:2].max(), gray[-2:].max()
+    ys = np.flatnonzero((high - low) * 8.0 > WEAK)  # a gradient is at most 8 times the difference of its neighbourhood's extremes
+    if not len(ys):
+        return across, upright
+    at, first, last = slice(ys[0], ys[-1] + 1), max(ys[0] - 2, 0), min(ys[-1] + 3, len(gray))  # the rest has no edges
+    used, skipped = gray[first:last], ys[0] - first
+    h, w = used.shape
+    g = np.empty((h + 2, w + 2), np.int16 if gray.dtype == np.uint8 else float)
+    g[1:-1, 1:-1] = used
+    g[0, 1:-1], g[-1, 1:-1] = used[0], used[-1]
+    g[:, 0], g[:, -1] = g[:, 1], g[:, -2]
+    rows = g[:-2] + g[2:]
+    rows += g[1:-1]
+    rows += g[1:-1]
+    columns = g[:, :-2] + g[:, 2:]
+    columns += g[:, 1:-1]
+    columns += g[:, 1:-1]
     gx, gy = np.abs(rows[:, 2:] - rows[:, :-2]), np.abs(columns[2:] - columns[:-2])
-    size = gx + gy
-    wide = np.pad(size, 1)
-    flat = gy >= gx
-    before = np.where(flat, wide[:-2, 1:-1], wide[1:-1, :-2])
-    behind = np.where(flat, wide[2:, 1:-1], wide[1:-1, 2:])
-    ridge = (size > before) & (size >= behind)
-    weak, on = ridge & (size > WEAK), ridge & (size > STRONG)
-    while True:
-        near = np.pad(on, 1)
-        grown = weak & np.logical_or.reduce([near[i : i + gray.shape[0], j : j + gray.shape[1]] for i in range(3) for j in range(3)])
-        if (grown == on).all():
-            return on & flat, on & ~flat
-        on = grown
+    wide = np.zeros_like(g)
+    np.add(gx, gy, out=wide[1:-1, 1:-1])
+    mine = slice(skipped, skipped + ys[-1] + 1 - ys[0])
+    around = wide[mine.start : mine.stop + 2]
+    size, flat = around[1:-1, 1:-1], gy[mine] >= gx[mine]
+    ridge = flat & (size > around[:-2, 1:-1]) & (size >= around[2:, 1:-1])
+    ridge |= ~flat & (size > around[1:-1, :-2]) & (size >= around[1:-1, 2:])
+    on = connected(ridge & (size > WEAK), ridge & (size > STRONG))
+    across[at], upright[at] = on & flat, on & ~flat
+    return across, upright
+
+
+def connected(weak: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """The pixels of ``weak`` that touch one of ``strong`` (a part of it), at a corner or through others; each is visited once."""
+    h, w = weak.shape
+    on, left = np.zeros((h + 2, w + 2), bool), np.zeros((h + 2, w + 2), bool)
+    on[1:-1, 1:-1], left[1:-1, 1:-1] = strong, weak & ~strong
+    near = on.copy()
+    near[1:] |= on[:-1]
+    near[:-1] |= on[1:]
+    beside = near.copy()
+    beside[:, 1:] |= near[:, :-1]
+    beside[:, :-1] |= near[:, 1:]
+    on1, left1 = on.ravel(), left.ravel()
+    around = np.array([i * (w + 2) + j for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    new = np.flatnonzero(beside & left)
+    while len(new):
+        on1[new], left1[new] = True, False
+        new = (new[:, None] + around).ravel()
+        new = np.unique(new[left1[new]])
+    return on[1:-1, 1:-1]
 
 
 def seams(lines: np.ndarray) -> list[tuple[int, float]]:
@@ -166,42 +236,53 @@ def seams(lines: np.ndarray) -> list[tuple[int, float]]:
     Text has strokes too short for such runs. Runs within 3 rows of one another count together.
     """
     n, span = lines.shape
-    if n < 2 * NARROW:
+    if not seamable(n, span) or not lines.any():
+        return []
+    wanted = np.flatnonzero(lines[NARROW : n - NARROW + 1].any(axis=1)) + NARROW
+    three = lines[wanted - 1] | lines[wanted] | lines[wanted + 1]
+    enough = np.count_nonzero(three, axis=1) >= VOTES
+    if not enough.any():
         return []
+    wanted = wanted[enough]
+    at, on = np.nonzero(three[enough])
+    ends = np.flatnonzero(np.r_[(np.diff(on) > GAP + 1) | (np.diff(at) > 0), True])
+    starts = np.r_[0, ends[:-1] + 1]
+    length, votes = on[ends] - on[starts] + 1, ends - starts + 1
+    long = (length >= RUN * span) & (votes >= np.maximum(VOTES, 0.8 * length))
+    covers: dict[int, np.ndarray] = {}
+    for a, b, row in zip(on[starts[long]].tolist(), on[ends[long]].tolist(), wanted[at[ends[long]]].tolist()):
+        covers.setdefault(row, np.zeros(span, bool))[a : b + 1] = True
     found: list[tuple[int, np.ndarray]] = []
-    for at in range(NARROW, n - NARROW + 1):
-        on = np.flatnonzero(lines[max(0, at - 1) : at + 2].any(axis=0))
-        if not lines[at : at + 1].any() or len(on) < VOTES:
-            continue
-        parts = np.split(on, np.flatnonzero(np.diff(on) > GAP + 1) + 1)
-        cover = np.zeros(span, bool)
-        for r in parts:
-            if r[-1] - r[0] + 1 >= RUN * span and len(r) >= max(VOTES, 0.8 * (r[-1] - r[0] + 1)):
-                cover[r[0] : r[-1] + 1] = True
-        if cover.any():
-            near = next((k for k, (q, _) in enumerate(found) if abs(q - at) <= MERGE), None)
-            if near is None:
-                found.append((at, cover))
-            else:
-                found[near] = (found[near][0], found[near][1] | cover)
+    for row, cover in covers.items():
+        near = next((k for k, (q, _) in enumerate(found) if abs(q - row) <= MERGE), None)
+        if near is None:
+            found.append((row, cover))
+        else:
+            found[near] = (found[near][0], found[near][1] | cover)
     return [(q, float(c.mean())) for q, c in found if c.mean() >= SEAM]
 
 
+def seamable(n: int, span: int) -> bool:
+    """Whether n rows of so many pixels can have a seam at all."""
+    return n >= 2 * NARROW and span >= VOTES
+
+
 def split_panels(gray: np.ndarray) -> list[tuple[int, int, int, int]]:
     """The panels (x, y, w, h) of a gray picture: cut at its gutters, rows before columns, and where there are none at the grid of
     its seams, at most 6 cuts deep."""
     out, todo = [], [(0, 0, gray.shape[1], gray.shape[0], 0)]
     while todo:
         x, y, w, h, depth = todo.pop()
-        part = gray[y : y + h, x : x + w].astype(float)
+        part = gray[y : y + h, x : x + w]
         ys, xs = [(0, h)], [(0, w)]
-        if depth < DEPTH:
-            cut = gutter(part.std(axis=1), part.mean(axis=1)) if h >= 2 * NARROW else None
+        extent = float(part.max()) - float(part.min()) if part.size else 0.0
+        if depth < DEPTH and extent >= 2 * FLAT:  # else it is flat from edge to edge
+            cut = gutter_among(plain_lines(part, 1), lambda a, b: part[a:b].mean()) if h >= 2 * NARROW else None
             if cut:
                 ys = [(0, cut[0]), (cut[1], h)]
-            elif w >= 2 * NARROW and (cut := gutter(part.std(axis=0), part.mean(axis=0))):
+            elif w >= 2 * NARROW and (cut := gutter_among(plain_lines(part, 0), lambda a, b: part[:, a:b].mean())):
                 xs = [(0, cut[0]), (cut[1], w)]
-            else:
+            elif (seamable(h, w) or seamable(w, h)) and 8 * extent > STRONG:  # else no gradient is strong
                 across, upright = edges(part)
                 rows, columns = ([0, *(q for q, _ in seams(e)), n] for e, n in ((across, h), (upright.T, w)))
                 ys, xs = list(zip(rows, rows[1:])), list(zip(columns, columns[1:]))
@@ -219,8 +300,8 @@ def detect_panels(images: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for image, width, height, pixels in zip(*(b.column(c).to_pylist() for c in ("image", "width", "height", "pixels"))):
-                gray = np.frombuffer(pixels, np.uint8).reshape(height, width)
+            for image, width, height, pixels in zip(*(b.column(c).to_pylist() for c in ("image", "width", "height")), b.column("pixels")):
+                gray = np.frombuffer(pixels.as_buffer(), np.uint8).reshape(height, width)  # not copied
                 out += [(image, width, height, i, *box) for i, box in enumerate(split_panels(gray))]
             names = ("image", "width", "height", "panel", "panel_x", "panel_y", "panel_w", "panel_h")
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 0 else pa.int32()) for k in range(8)], list(names))

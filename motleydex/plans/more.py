@@ -25,6 +25,8 @@ from ..sources.tables import scratch_root, table
 from ..streaming import ingest
 from . import catalog as base
 
+DRAWN_A_TASK, DRAWN_AT_ONCE = 1_000, 200
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder."""
@@ -321,6 +323,22 @@ def hit_invariants(spark: SparkSession, d: str) -> DataFrame:
 # pictures
 
 
+def _drawn(spark: SparkSession, d: str, draw: Callable[[int, int], np.ndarray]) -> DataFrame:
+    """Gray pictures drawn from (p_partkey, p_size), spread over tasks by their number: a part is some bytes in its file, its picture thousands of times that."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, DRAWN_AT_ONCE):
+                some = b.slice(at, DRAWN_AT_ONCE)
+                keys, pictures = some.column(0).to_pylist(), [draw(*row) for row in zip(*(some.column(k).to_pylist() for k in range(2)))]
+                values = ([str(k) for k in keys], [g.shape[1] for g in pictures], [g.shape[0] for g in pictures], [g.tobytes() for g in pictures])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["image", "width", "height", "pixels"])
+
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int"))
+    return parts.repartition(max(1, -(-parts.count() // DRAWN_A_TASK)), "p_partkey").mapInArrow(run, "image string, width int, height int, pixels binary")
+
+
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
     """Gray pictures of 120 x 200 by part: a pattern with a bright gutter of four rows at 45 + p_size, and every third also with one of five columns at 50."""
     import pyarrow as pa
@@ -348,18 +366,13 @@ def detected_panels(spark: SparkSession, d: str) -> DataFrame:
 
 def _seamed(spark: SparkSession, d: str) -> DataFrame:
     """Gray pictures of 160 x 240 by part: two flat halves of different gray without a gutter, cut at row 80 + p_size."""
-    import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for key, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = np.full((240, 160), 90, np.uint8)
-                g[80 + size :] = 170
-                out.append((str(key), 160, 240, g.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["image", "width", "height", "pixels"])
+    def draw(key: int, size: int) -> np.ndarray:
+        g = np.full((240, 160), 90, np.uint8)
+        g[80 + size :] = 170
+        return g
 
-    return table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int")).mapInArrow(run, "image string, width int, height int, pixels binary")
+    return _drawn(spark, d, draw)
 
 
 def seamed_panels(spark: SparkSession, d: str) -> DataFrame:

@@ -264,3 +264,51 @@ def test_ink_is_counted_in_the_box(spark):
     df = spark.createDataFrame([("a", 20, 10, bytearray(picture.tobytes()), 0, 0, 20, 10), ("b", 20, 10, bytearray(picture.tobytes()), -5, 5, 12, 100), ("c", 20, 10, bytearray(picture.tobytes()), 30, 30, 5, 5)], "image string, width int, height int, pixels binary, x int, y int, w int, h int")
     got = {r.image: (r.bright, r.dark, r.ink) for r in panels.ink_counts(df).withColumn("ink", panels.ink(F.col("bright"), F.col("dark"))).collect()}
     assert got == {"a": (3, 12, "black"), "b": (3, 0, "white"), "c": (0, 0, "white")}
+
+
+def test_flat_parts_are_not_searched_for_edges(monkeypatch):
+    searched, edges = [], panels.edges
+    monkeypatch.setattr(panels, "edges", lambda g: searched.append(g.shape) or edges(g))
+    gray = np.full((240, 160), 90, np.uint8)
+    gray[100:] = 170
+    assert [b[1::2] for b in panels.split_panels(gray)] in ([(0, n), (n, 240 - n)] for n in range(98, 103))
+    assert len(searched) == 2  # not the half that ends at the seam
+
+
+def test_edges_connect_along_a_winding_path():
+    rng = np.random.default_rng(3)
+    weak = np.zeros((61, 61), bool)
+    weak[::4] = True
+    for k, row in enumerate(range(2, 60, 4)):
+        weak[row - 1 : row + 2, 60 if k % 2 == 0 else 0] = True
+    strong = np.zeros_like(weak)
+    strong[0, 0] = True
+    assert (panels.connected(weak, strong) == weak).all()
+    for share in (0.2, 0.4, 0.6):
+        weak = rng.random((40, 50)) < share
+        strong = weak & (rng.random((40, 50)) < 0.02)
+        on = strong
+        while True:
+            near = np.pad(on, 1)
+            grown = weak & np.logical_or.reduce([near[i : i + 40, j : j + 50] for i in range(3) for j in range(3)])
+            if (grown == on).all():
+                break
+            on = grown
+        assert (panels.connected(weak, strong) == on).all()
+
+
+def test_plain_lines():
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 256, (90, 70)).astype(np.uint8)
+    g[20:30], g[:, 40:44], g[50, ::2], g[60:70, 1:] = 250, 5, 21, rng.integers(100, 126, (10, 69))
+    for axis in (0, 1):
+        want = g.std(axis=axis) < panels.FLAT
+        assert want.any() and (panels.plain_lines(g, axis) == want).all() and (panels.plain_lines(g.astype(float), axis) == want).all()
+
+
+def test_seamed_pictures_are_spread_over_tasks(spark, data, monkeypatch):
+    from motleydex.plans import more
+
+    parts = spark.read.parquet(f"{data}/part.parquet").count()
+    monkeypatch.setattr(more, "DRAWN_A_TASK", parts // 4)
+    assert more._seamed(spark, data).rdd.getNumPartitions() == -(-parts // (parts // 4))
