@@ -341,23 +341,17 @@ def _drawn(spark: SparkSession, d: str, draw: Callable[[int, int], np.ndarray])
 
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
     """Gray pictures of 120 x 200 by part: a pattern with a bright gutter of four rows at 45 + p_size, and every third also with one of five columns at 50."""
-    import pyarrow as pa
+    y, x = np.mgrid[0:200, 0:120]
+    pattern = ((x * 37 + y * 11 + x * y % 7 * 23) % 190 + 30).astype(np.uint8)
 
-    def run(batches):
-        y, x = np.mgrid[0:200, 0:120]
-        pattern = ((x * 37 + y * 11 + x * y % 7 * 23) % 190 + 30).astype(np.uint8)
-        for b in batches:
-            out = []
-            for key, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = pattern.copy()
-                g[45 + size : 49 + size] = 255
-                if key % 3 == 0:
-                    g[:, 50:55] = 0
-                    g[45 + size : 49 + size] = 255
-                out.append((str(key), 120, 200, g.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["image", "width", "height", "pixels"])
-
-    return table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int")).mapInArrow(run, "image string, width int, height int, pixels binary")
+    def draw(key: int, size: int) -> np.ndarray:
+        g = pattern.copy()
+        if key % 3 == 0:
+            g[:, 50:55] = 0
+        g[45 + size : 49 + size] = 255
+        return g
+
+    return _drawn(spark, d, draw)
 
 
 def detected_panels(spark: SparkSession, d: str) -> DataFrame:

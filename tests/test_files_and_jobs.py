@@ -312,3 +312,11 @@ def test_seamed_pictures_are_spread_over_tasks(spark, data, monkeypatch):
     parts = spark.read.parquet(f"{data}/part.parquet").count()
     monkeypatch.setattr(more, "DRAWN_A_TASK", parts // 4)
     assert more._seamed(spark, data).rdd.getNumPartitions() == -(-parts // (parts // 4))
+
+
+def test_pictures_to_cut_are_spread_over_tasks(spark, data, monkeypatch):
+    from motleydex.plans import more
+
+    parts = spark.read.parquet(f"{data}/part.parquet").count()
+    monkeypatch.setattr(more, "DRAWN_A_TASK", parts // 4)
+    assert more._pictures(spark, data).rdd.getNumPartitions() == -(-parts // (parts // 4))
