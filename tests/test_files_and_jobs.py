@@ -300,10 +300,12 @@ def test_edges_connect_along_a_winding_path():
 def test_plain_lines():
     rng = np.random.default_rng(4)
     g = rng.integers(0, 256, (90, 70)).astype(np.uint8)
-    g[20:30], g[:, 40:44], g[50, ::2], g[60:70, 1:] = 250, 5, 21, rng.integers(100, 126, (10, 69))
-    for axis in (0, 1):
-        want = g.std(axis=axis) < panels.FLAT
-        assert want.any() and (panels.plain_lines(g, axis) == want).all() and (panels.plain_lines(g.astype(float), axis) == want).all()
+    g[20:30], g[50, ::2], g[60:70] = 250, 21, rng.integers(100, 126, (10, 70))  # one colour, one in every other pixel, nearly one
+    g[75:80], g[75:80, :3] = 90, 120
+    want = g.std(axis=1) < panels.FLAT
+    assert want[20:30].all() and want[60:80].any() and not want[:20].any() and not want[50]
+    for lines, axis in ((g, 1), (g.T, 0), (g.astype(float), 1), (g.T.astype(float), 0)):
+        assert (panels.plain_lines(lines, axis) == want).all()
 
 
 def test_seamed_pictures_are_spread_over_tasks(spark, data, monkeypatch):
